@@ -253,9 +253,8 @@ check(
     "capped_comments",
     f"""{POSTS}, ranked as (select *, case listing when 'hot' then 0 when 'top' then 1 when 'new' then 2
         when 'controversial' then 3 end as listing_rank from comments where length(text) > 20 and {_valid})
-    select subreddit, comment_id, listing,
-           cast(row_number() over (partition by subreddit order by listing_rank, created_utc, comment_id) as integer) as rank
-    from ranked qualify rank <= 20""",
+    select subreddit, comment_id, listing from ranked
+    qualify row_number() over (partition by subreddit order by listing_rank, created_utc, comment_id) <= 20""",
 )
 
 
@@ -300,7 +299,7 @@ check(
     select comment_id, subreddit, sentiment, cast(length(text) as integer) as text_length,
            cast({raw_words('text')} as integer) as word_count from kept_3""",
 )
-check("distinct_comments", f"{BASE} select comment_id, case when listing > 'top' then 'top' else listing end as listing from comments")
+check("distinct_comments", f"{BASE} select comment_id, subreddit, case when listing > 'top' then 'top' else listing end as listing from comments")
 check(
     "validated_requests",
     rf"""{ctes('requests')}, filled as (select *, coalesce(period, 'week') as p,
@@ -540,7 +539,7 @@ listed as (select * from first_rows where length(text) > 20)"""
 check(
     "thread_comments",
     f"""{POSTS}, {FIRST}, {SCORED.format(source='listed')}
-    select p.post_id, t.title as post_title, rank, comment_id, sentiment, p.score, is_submitter
+    select p.post_id, t.title as post_title, comment_id, sentiment, p.score, is_submitter
     from predicted p join posts t on p.post_id = t.post_id""",
 )
 
@@ -570,7 +569,7 @@ check(
         {', '.join(f"case when r.reject_reason is null then (case when r.comment_id is not null then (case when s.sentiment = '{x}' then 1 else 0 end) else coalesce(t.{x}, 0) end) end as {x}" for x in W.LABELS)}
       from refs r left join post_predicted p on r.post_id = p.post_id
         left join threads t on r.post_id = t.post_id left join single_predicted s on r.comment_id = s.comment_id)
-    select *, {_shares} from joined""",
+    select * replace (cast(comments_analyzed as bigint) as comments_analyzed), {_shares} from joined""",
 )
 
 # --- Experiments ----------------------------------------------------------------

@@ -223,7 +223,7 @@ def keyword_mentions(spark, sf_dir):
 @query
 def capped_comments(spark, sf_dir):
     comments, posts = view(spark, sf_dir, "comments"), view(spark, sf_dir, "posts")
-    return Q.capped_comments(comments, posts, 20).select("subreddit", "comment_id", "listing", "rank")
+    return Q.capped_comments(comments, posts, 20).select("subreddit", "comment_id", "listing")
 
 
 @query
@@ -237,8 +237,8 @@ def quota_comments(spark, sf_dir):
 def distinct_comments(spark, sf_dir):
     comments = view(spark, sf_dir, "comments")
     copies = comments.unionByName(comments.withColumn("listing", F.lit("top")))
-    kept = Q.distinct_comments(copies, [F.asc("listing")])
-    return kept.select("comment_id", "listing")
+    kept = Q.distinct_comments(copies, F.col("listing"), "subreddit")
+    return kept.select("comment_id", "subreddit", F.col("_at").alias("listing"))
 
 
 @query
@@ -286,13 +286,13 @@ def _labelled(spark, sf_dir):
 
 @query
 def balanced_classes(spark, sf_dir):
-    df = B.balance_classes(_labelled(spark, sf_dir), copy_column="copy")
+    df = B.balance_classes(materialize(_labelled(spark, sf_dir), "labelled"), copy_column="copy")
     return df.select("comment_id", "sentiment", "copy")
 
 
 @query
 def stratified_split(spark, sf_dir):
-    return B.stratified_split(_labelled(spark, sf_dir)).select("comment_id", "sentiment", "split")
+    return B.stratified_split(materialize(_labelled(spark, sf_dir), "labelled")).select("comment_id", "sentiment", "split")
 
 
 @query
@@ -305,7 +305,8 @@ def standardized_features(spark, sf_dir):
             "score_log": F.when(F.col("controversiality") == 0, F.log1p(F.abs("score")) * F.signum("score")),
         }
     )
-    parts = B.stratified_split(df)
+    df = df.select("comment_id", "sentiment", "sentiment_score", "score_normalized", "score_log")
+    parts = B.stratified_split(materialize(df, "labelled"))
     columns = M.feature_columns(parts)
     scaled = M.Standardizer.fit(parts.filter("split = 'train'"), columns).transform(parts)
     return rounded(scaled, *columns).select("comment_id", "split", *columns)
@@ -480,7 +481,7 @@ def thread_report(spark, sf_dir):
 def thread_comments(spark, sf_dir):
     comments, posts = view(spark, sf_dir, "comments"), view(spark, sf_dir, "posts")
     df = reports.thread_comments(J.with_posts(comments, posts.select("post_id", "title")))
-    return df.select("post_id", "post_title", "rank", "comment_id", "sentiment", "score", "is_submitter")
+    return df.select("post_id", "post_title", "comment_id", "sentiment", "score", "is_submitter")
 
 
 # --- Experiments ----------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import wordlists as W
-from .text import SPACE, let
+from .text import SPACE, let, string_array
 
 WEIGHTED_WORDS = [
     (W.POSITIVE_STRONG, 2),
@@ -34,7 +34,7 @@ def lexicon_score(text: Column) -> Column:
 
     def score(low: Column) -> Column:
         found = [
-            F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))) * weight
+            F.size(F.filter(string_array(words), lambda w: F.contains(low, w))) * weight
             for words, weight in WEIGHTED_WORDS
         ]
         return reduce(add, found)
@@ -84,7 +84,7 @@ def estimated_score(text: Column, score: Column, controversiality: Column) -> Co
 
     def weigh(found: Column) -> Column:
         hits = [
-            F.size(F.array_intersect(found, F.array(*[F.lit(w) for w in words]))) * F.lit(float(weight))
+            F.size(F.array_intersect(found, string_array(words))) * F.lit(float(weight))
             for words, weight in WEIGHTED_ESTIMATE_WORDS
         ]
         return reduce(add, hits)

@@ -53,6 +53,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sql_strings(values: list[str]) -> str:
+    """String literals for an SQL expression; one parsed text is cheaper than many calls."""
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+
+
+def string_array(values: list[str]) -> Column:
+    """A constant array."""
+    return F.expr(f"array({sql_strings(values)})")
+
+
 def demojize(text: Column) -> Column:
     """Replace each emoji by ``:short_name:``; texts without one are only scanned."""
     names = F.from_json(F.lit(emoji.short_names_json()), "map<string,string>")
@@ -119,14 +129,17 @@ def tokens(text: Column) -> Column:
 
 
 def without_stop_words(words: Column, stop_words: list[str] = STOP_WORDS) -> Column:
-    return F.filter(words, lambda t: ~t.isin(stop_words))
+    if not stop_words:
+        return words
+    # As an IN list the words become a hash set.
+    return F.call_function("filter", words, F.expr(f"t -> t not in ({sql_strings(stop_words)})"))
 
 
 def with_lemmas(words: Column, lemmas: dict[str, str] | None) -> Column:
     """Look each token up in a small literal table; unknown tokens stay as they are."""
     if not lemmas:
         return words
-    table = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair])
+    table = F.map_from_arrays(string_array(list(lemmas)), string_array(list(lemmas.values())))
     return F.transform(words, lambda t: F.coalesce(F.try_element_at(table, t), t))
 
 
@@ -150,7 +163,7 @@ def letter_count(text: Column) -> Column:
 def terms(text: Column, stop_words: list[str] = TFIDF_STOP_WORDS) -> Column:
     """Words of two or more characters without stop words, then their bigrams."""
     words = F.regexp_extract_all(F.lower(text), F.lit(f"([{WORD}]{{2,}})"), F.lit(0))
-    return with_bigrams(F.filter(words, lambda t: ~t.isin(stop_words)))
+    return with_bigrams(without_stop_words(words, stop_words))
 
 
 def with_bigrams(words: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import preview
 from ..functions.wordlists import LABELS
+from ..session import materialize
 from .quantiles import exact_percentiles
 from .ranking import first_n, first_n_per_key
 
@@ -30,6 +31,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     long = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
     )
+    long = materialize(long, "describe")
     moments = long.groupBy("column").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),

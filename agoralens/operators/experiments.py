@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .quantiles import exact_percentiles
 
 
@@ -67,6 +68,7 @@ def result_statistics(results: DataFrame) -> DataFrame:
     """Mean, population deviation, count, median and 95th percentile per test, model and metric."""
     keys = ["test_id", "model_id", "metric"]
     long = results.select("test_id", "model_id", F.explode("metrics").alias("metric", "value"))
+    long = materialize(long, "metrics")
     moments = long.groupBy(*keys).agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("count")
     )

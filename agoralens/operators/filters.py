@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import REMOVED_MARKS
-from .ranking import first_n, first_n_per_key
+from .ranking import first_n, first_n_by_cutoff, first_n_per_key, newest_first
 
 # The accepted periods and their length.
 PERIODS = {
@@ -74,10 +74,10 @@ def top_posts(
 
 def newest_comments(comments: DataFrame, limit: int = 50, author: str | None = None) -> DataFrame:
     """The newest comments of one author, or of every author; limited before any other filter."""
-    order = [F.desc("created_utc"), F.asc("comment_id")]
     if author is not None:
+        order = [F.desc("created_utc"), F.asc("comment_id")]
         return first_n(comments.filter(F.col("author") == author), order, limit)
-    return first_n_per_key(comments, ["author"], order, limit).drop("rank")
+    return first_n_by_cutoff(comments, ["author"], newest_first("created_utc", "comment_id"), limit)
 
 
 def mentions(keyword: str, text: str = "text") -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ranking import first_n_per_key
+from .ranking import first_n_by_cutoff
 
 # Largest lemma table that is looked up as a literal inside the expression.
 LITERAL_LEMMAS = 500
@@ -32,7 +32,7 @@ def with_category(comments: DataFrame, categories: DataFrame) -> DataFrame:
 
 def first_comments(comments: DataFrame, limit: int = 20) -> DataFrame:
     """The first comments of each post in time order."""
-    return first_n_per_key(comments, ["post_id"], [F.asc("created_utc"), F.asc("comment_id")], limit)
+    return first_n_by_cutoff(comments, ["post_id"], F.struct("created_utc", "comment_id"), limit)
 
 
 def lemmatize(

@@ -20,7 +20,8 @@ def exact_percentiles(
     The built-in exact ``percentile`` holds all distinct values of a group in one
     task.  Here a sketch first brackets each wanted position (its rank error is
     bounded, so the bracket is certain to hold it); then only the values inside
-    the brackets, counted per distinct value, are put in order.
+    the brackets, counted per distinct value, are put in order.  The input is read
+    twice, so it should be at rest.
     """
     keys = list(keys)
     spread = 2.0 / accuracy

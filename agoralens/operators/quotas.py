@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import estimated_label, estimated_score
-from ..functions.text import word_count
+from ..functions.text import string_array, word_count
 from ..functions.wordlists import (
     BULK_LIMIT,
     BULK_LISTINGS,
@@ -24,17 +24,33 @@ from .ranking import first_n_per_key
 
 def _rank_in(column: str, values: list[str]) -> Column:
     """Position in a constant list from 0; null when absent."""
-    at = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column))
+    at = F.array_position(string_array(values), F.col(column))
     return F.when(at > 0, (at - 1).cast("int"))
 
 
-def distinct_comments(comments: DataFrame, order: list[Column]) -> DataFrame:
-    """One row per comment: the first by the order.
+def distinct_comments(comments: DataFrame, order: Column, *carried: str) -> DataFrame:
+    """Per comment its first place in the order, and the carried columns found there.
 
-    A comment copied many times is cut to one row per input partition before the
-    shuffle.
+    Copies are reduced inside each partition before the shuffle, which sees only
+    these columns.
     """
-    return first_n_per_key(comments, ["comment_id"], order, 1, salts=1).drop("rank")
+    return (
+        comments.groupBy("comment_id")
+        .agg(F.min(F.struct(order.alias("_at"), *carried)).alias("_first"))
+        .select("comment_id", "_first.*")
+    )
+
+
+def rows_at(comments: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The full rows of the chosen comments and places, one per comment.
+
+    ``chosen`` is at rest, so that the planner knows whether it may be broadcast.  Of
+    several rows at one place the smallest is taken, so the result can be repeated.
+    """
+    columns = comments.columns
+    found = comments.join(chosen.select("comment_id", "_at"), ["comment_id", "_at"])
+    one = found.groupBy("comment_id").agg(F.min(F.struct(*[F.col(c) for c in columns])).alias("_row"))
+    return one.select("_row.*").drop("_at")
 
 
 def with_estimate(comments: DataFrame) -> DataFrame:
@@ -64,11 +80,12 @@ def capped_comments(
     """
     if communities is not None:
         comments = comments.filter(F.col("subreddit").isin(communities))
-    order = [F.asc("listing_rank"), F.asc("created_utc"), F.asc("comment_id")]
-    rows = valid_comments(comments, min_length, strict=True)
-    rows = without_adult_posts(rows, posts).withColumn("listing_rank", _rank_in("listing", listings))
-    rows = distinct_comments(rows.filter("listing_rank is not null"), order)
-    return first_n_per_key(rows, ["subreddit"], order, limit).drop("listing_rank")
+    rows = without_adult_posts(valid_comments(comments, min_length, strict=True), posts)
+    rows = rows.withColumn("_listing", _rank_in("listing", listings)).filter("_listing is not null")
+    rows = rows.withColumn("_at", F.struct("_listing", "created_utc", "comment_id")).drop("_listing")
+    places = distinct_comments(rows, F.col("_at"), "subreddit")
+    chosen = first_n_per_key(places, ["subreddit"], [F.asc("_at")], limit)
+    return rows_at(rows, materialize(chosen, "capped"))
 
 
 def quota_comments(
@@ -89,13 +106,13 @@ def quota_comments(
 
     * Within one community and class the kept rows come first, because a quota
       that is full stays full.  So the first ``min(quota)`` rows of each pair
-      are the only candidates; this is the one pass over the whole table.
+      are the only candidates; finding them is the one shuffle over the whole
+      table, of ids, places and classes.
     * With the moments known at which classes fill up, the kept rows of a
       community are its first rows that are not of a full class.  There are
       three classes, so each round finds the next class to fill up and at most
       three rounds over the candidates are needed.
     """
-    columns = [*comments.columns, "sentiment", "text_length", "word_count"]
     names = list(groups)
     group = F.coalesce(*[F.when(F.col("subreddit").isin(groups[g]), F.lit(i)) for i, g in enumerate(names)])
     community_rank = F.coalesce(*[_rank_in("subreddit", groups[g]) for g in names])
@@ -104,21 +121,19 @@ def quota_comments(
     )
     rows = valid_comments(comments.filter(F.col("subreddit").isin(sum(groups.values(), []))), min_length)
     rows = without_adult_posts(rows, posts).withColumn("_group", group)
-    rows = with_estimate(rows.withColumn("_listing", listing_rank).filter("_listing is not null"))
-    rows = rows.withColumn(
-        "_at",
-        F.struct(
-            F.col("_group").alias("a"),
-            community_rank.alias("b"),
-            F.col("_listing").alias("c"),
-            F.unix_micros("created_utc").alias("d"),
-            F.col("comment_id").alias("e"),
-        ),
+    rows = rows.withColumn("_listing", listing_rank).filter("_listing is not null")
+    place = F.struct(
+        F.col("_group").alias("a"),
+        community_rank.alias("b"),
+        F.col("_listing").alias("c"),
+        F.unix_micros("created_utc").alias("d"),
+        F.col("comment_id").alias("e"),
     )
-    rows = distinct_comments(rows, [F.asc("_at")])
+    rows = rows.withColumn("_at", place).drop("_group", "_listing")
+    places = distinct_comments(with_estimate(rows), F.col("_at"), "subreddit", "sentiment")
     pair_limit = min(target_per_class, max_per_community)
-    candidates = first_n_per_key(rows, ["subreddit", "sentiment"], [F.asc("_at")], pair_limit)
-    candidates = materialize(candidates.select(*columns, "_at"), "candidates")
+    candidates = first_n_per_key(places, ["subreddit", "sentiment"], [F.asc("_at")], pair_limit)
+    candidates = materialize(candidates, "candidates")
 
     full_at: dict[str, Column] = {}
     while True:
@@ -139,7 +154,7 @@ def quota_comments(
         full_at[filled.sentiment] = F.struct(
             *[F.lit(filled["_at"][f]).cast(t).alias(f) for f, t in zip("abcde", ("int", "int", "int", "bigint", "string"))]
         )
-    return kept.select(*columns)
+    return with_estimate(rows_at(rows, materialize(kept, "quota")))
 
 
 def _kept(candidates: DataFrame, full_at: dict[str, Column], max_per_community: int) -> DataFrame:

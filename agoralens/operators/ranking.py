@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 SALTS = 32
 
 
@@ -52,6 +56,31 @@ def first_n(df: DataFrame, order: Sequence[Column], n: int, salts: int = SALTS)
     return df.orderBy(*order).limit(n)
 
 
+def first_n_by_cutoff(df: DataFrame, keys: Sequence[str], order: Column, n: int) -> DataFrame:
+    """The first ``n`` rows of each key, for wide rows and many keys.
+
+    ``order`` is one column, usually a struct, that sorts the wanted rows first and
+    is unique within a key.  Only keys and order are ranked, so the wide columns are
+    neither read nor shuffled for it.  The outcome is the ``n``-th order value of each
+    key that has that many rows; other keys need none.  The wide rows are then
+    filtered by it: the table of cut-offs is at rest, so the planner broadcasts it if
+    its size allows and otherwise joins by key, splitting a hot one.
+    """
+    narrow = df.select(*keys, order.alias("_order"))
+    nth = first_n_per_key(narrow, keys, [F.asc("_order")], n, "_rank").filter(F.col("_rank") == n)
+    cutoffs = materialize(
+        nth.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_order").alias("_cutoff")), "cutoffs"
+    )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    kept = df.withColumn("_order", order).join(cutoffs, same, "left")
+    return kept.filter(F.col("_cutoff").isNull() | (F.col("_order") <= F.col("_cutoff"))).select(*df.columns)
+
+
+def newest_first(at: str, then: str) -> Column:
+    """An order for ``first_n_by_cutoff``: latest time first, then the id; no time comes last."""
+    return F.struct(F.coalesce(-F.unix_micros(at), F.lit(2**63 - 1)).alias("a"), F.col(then).alias("b"))
+
+
 def hash_key(id_column: Column, seed: int) -> Column:
     """A repeatable pseudo-random order: md5 of the id and the seed."""
     return F.md5(F.concat(id_column.cast("string"), F.lit("|"), F.lit(str(seed))))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import LABELS
+from ..session import materialize
 from .ranking import hash_cutoffs, hash_key, hash_rank
 
 SEED = 42
@@ -32,18 +35,21 @@ def balance_classes(
     rows of no class are dropped.  Another strategy, or a table without the label
     column, is returned unchanged.  ``key`` is unique.
 
-    A larger class keeps the rows up to a cut-off in hash order.  For the others
-    every copy draws a rank by hash and is joined with the row of that rank; a row
-    drawn very often is one side of a skewed join, which Spark splits.
+    Ranks and cut-offs are found on a narrow table of classes and hashed keys,
+    written once.  A larger class keeps the rows up to its cut-off in hash order,
+    marked without a shuffle.  For the others every copy draws a rank by hash, and the
+    rows of the drawn keys are fetched by one join; a row drawn very often is one side
+    of a skewed join, which Spark splits.
     """
     if strategy != "hybrid" or label not in df.columns:
         return df
-    counts = class_counts(df, label)
+    keyed = df.withColumn("_key", hash_key(F.col(key), seed))
+    keys = _class_keys(keyed, label)
+    counts = class_counts(keys, label)
     target = sum(counts.values()) // len(counts)
     if target > 0 and min(counts.values()) == 0:
         empty = [name for name, n in counts.items() if n == 0]
         raise ValueError(f"cannot draw {target} rows from the empty classes {empty}")
-    keyed = df.withColumn("_key", hash_key(F.col(key), seed))
     columns = [F.col(c) for c in df.columns]
     original, copied = columns, columns
     if copy_column:
@@ -54,29 +60,32 @@ def balance_classes(
 
     parts = []
     if large:
+        cutoffs = hash_cutoffs(keys.filter(F.col(label).isin(large)), label, "_key", F.lit(target))
         rows = keyed.filter(F.col(label).isin(large))
-        cutoffs = hash_cutoffs(rows, label, "_key", F.lit(target))
         parts.append(rows.join(F.broadcast(cutoffs), label).filter(F.col("_key") <= F.col("cutoff")).select(original))
     if small and target:
-        ranked = hash_rank(keyed.filter(F.col(label).isin(small)), label, "_key", "_rank")
-        for name in small:
-            drawn = _draws(df, name, target, counts[name], seed).withColumnRenamed("_class", label)
-            parts.append(drawn.join(ranked.filter(F.col(label) == name), [label, "_rank"]).select(copied))
-    if not parts:
-        return df.select(original).filter(F.lit(False))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def _draws(df: DataFrame, name: str, copies: int, rows: int, seed: int) -> DataFrame:
+        ranked = hash_rank(keys.filter(F.col(label).isin(small)), label, "_key", "_rank")
+        draws = reduce(
+            DataFrame.unionByName, [_draws(df, label, name, target, counts[name], seed) for name in small]
+        )
+        drawn = draws.join(ranked, [label, "_rank"]).select("_key", "_copy")
+        rows = keyed.filter(F.col(label).isin(small))
+        parts.append(rows.join(drawn, "_key").select(copied))
+    return reduce(DataFrame.unionByName, parts) if parts else df.select(original).filter(F.lit(False))
+
+
+def _class_keys(keyed: DataFrame, label: str) -> DataFrame:
+    """Class and hashed key of every row of a class, at rest: it is read several times."""
+    return materialize(keyed.filter(F.col(label).isin(LABELS)).select(label, "_key"), "class-keys")
+
+
+def _draws(df: DataFrame, label: str, name: str, copies: int, rows: int, seed: int) -> DataFrame:
     """One row per copy with the drawn rank from 1 to ``rows``."""
     ticket = F.md5(F.concat_ws("|", F.lit(name), F.col("id").cast("string"), F.lit(str(seed))))
     number = F.conv(F.substring(ticket, 1, 15), 16, 10).cast("bigint")
     return df.sparkSession.range(1, copies + 1).select(
         F.col("id").alias("_copy"),
-        F.lit(name).alias("_class"),
+        F.lit(name).alias(label),
         (F.pmod(number, F.lit(rows).cast("bigint")) + 1).alias("_rank"),
     )
 
@@ -95,7 +104,7 @@ def stratified_split(
     is unique.
     """
     classes = df.filter(F.col(label).isin(LABELS)).withColumn("_key", hash_key(F.col(key), seed))
-    cutoffs = hash_cutoffs(classes, label, "_key", F.round(F.col("_total") * F.lit(test_fraction)).cast("bigint"))
+    cutoffs = hash_cutoffs(_class_keys(classes, label), label, "_key", F.round(F.col("_total") * F.lit(test_fraction)).cast("bigint"))
     is_test = F.coalesce(F.col("_key") <= F.col("cutoff"), F.lit(False))
     return (
         classes.join(F.broadcast(cutoffs), label, "left")

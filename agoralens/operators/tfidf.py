@@ -11,7 +11,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import string_array, terms
 from ..functions.wordlists import TFIDF_STOP_WORDS
 
 MAX_FEATURES = 1000
@@ -103,7 +103,7 @@ def fit_tfidf(
 
 def long_weights(df: DataFrame, model: TfidfModel, key: str, vector: str = "tfidf") -> DataFrame:
     """One row per document and term of weight above zero: key, ``term_index``, ``term``, ``weight``."""
-    names = F.array(*[F.lit(t) for t in model.terms])
+    names = string_array(model.terms)
     return (
         df.select(key, F.posexplode(vector_to_array(vector)).alias("term_index", "weight"))
         .filter("weight > 0")

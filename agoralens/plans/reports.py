@@ -225,7 +225,7 @@ def thread_report(
     post named by many URLs adds no work.  URLs that name nothing keep their reason
     and stay out of the joins, where they would all share the null key.
     """
-    referenced = thread_references(urls, url)
+    referenced = materialize(thread_references(urls, url), "references")
     valid = referenced.filter("reject_reason is null").drop("reject_reason")
     rejected = referenced.filter("reject_reason is not null")
     to_thread, to_comment = valid.filter("comment_id is null"), valid.filter("comment_id is not null")
