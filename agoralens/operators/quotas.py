@@ -41,15 +41,12 @@ def distinct_comments(comments: DataFrame, order: Column, *carried: str) -> Data
     )
 
 
-def rows_at(comments: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The full rows of the chosen comments and places, one per comment.
+def rows_at(found: DataFrame) -> DataFrame:
+    """One row per comment out of those found at its chosen place.
 
-    ``chosen`` is at rest, so that the planner knows whether it may be broadcast.  Of
-    several rows at one place the smallest is taken, so the result can be repeated.
+    Of several rows at one place the smallest is taken, so the result can be repeated.
     """
-    columns = comments.columns
-    found = comments.join(chosen.select("comment_id", "_at"), ["comment_id", "_at"])
-    one = found.groupBy("comment_id").agg(F.min(F.struct(*[F.col(c) for c in columns])).alias("_row"))
+    one = found.groupBy("comment_id").agg(F.min(F.struct(*[F.col(c) for c in found.columns])).alias("_row"))
     return one.select("_row.*").drop("_at")
 
 
@@ -85,7 +82,9 @@ def capped_comments(
     rows = rows.withColumn("_at", F.struct("_listing", "created_utc", "comment_id")).drop("_listing")
     places = distinct_comments(rows, F.col("_at"), "subreddit")
     chosen = first_n_per_key(places, ["subreddit"], [F.asc("_at")], limit)
-    return rows_at(rows, materialize(chosen, "capped"))
+    # At rest, so that the planner knows whether it may be broadcast.
+    chosen = materialize(chosen.select("comment_id", "_at"), "capped")
+    return rows_at(rows.join(chosen, ["comment_id", "_at"]))
 
 
 def quota_comments(
@@ -154,7 +153,9 @@ def quota_comments(
         full_at[filled.sentiment] = F.struct(
             *[F.lit(filled["_at"][f]).cast(t).alias(f) for f, t in zip("abcde", ("int", "int", "int", "bigint", "string"))]
         )
-    return with_estimate(rows_at(rows, materialize(kept, "quota")))
+    chosen = materialize(kept.select("comment_id", "_at", F.col("sentiment").alias("_class")), "quota")
+    found = with_estimate(rows.join(chosen, ["comment_id", "_at"]))
+    return rows_at(found.filter(F.col("sentiment") == F.col("_class")).drop("_class"))
 
 
 def _kept(candidates: DataFrame, full_at: dict[str, Column], max_per_community: int) -> DataFrame:
