@@ -8,90 +8,126 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .ranking import join_null_safe
 
-ACCURACY = 10_000
+BUCKETS = 4096
+DIRECT = 1_000_000
+MAX_LEVELS = 20
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float], accuracy: int = ACCURACY
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    points: Sequence[float],
+    buckets: int = BUCKETS,
+    direct: int = DIRECT,
 ) -> DataFrame:
     """Percentiles with linear interpolation, one column ``p_<point>`` per point.
 
     The built-in exact ``percentile`` holds all distinct values of a group in one
-    task.  Here a sketch first brackets each wanted position (its rank error is
-    bounded, so the bracket is certain to hold it); then only the values inside
-    the brackets, counted per distinct value, are put in order.  The input is read
-    twice, so it should be at rest.
+    task, and a quantile sketch sends one large state per input partition to the one
+    task that merges a group.  Here the wanted ranks are searched for: the range that
+    holds a rank is cut into buckets, rows per bucket are counted with partial
+    aggregates, and the bucket that holds the rank becomes the next range.  Ranges of
+    up to ``direct`` rows are then put in order, counted per distinct value; a small
+    group gets there at once.
+
+    The input is read once per round, so it should be at rest.  Nulls and NaNs are
+    left out.
     """
-    keys = list(keys)
-    spread = 2.0 / accuracy
-    bounds = [min(max(p + d, 0.0), 1.0) for p in points for d in (-spread, spread)]
-    values = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
-    sketch = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", bounds, accuracy).alias("_bounds"),
+    group = list(keys) or ["_all"]
+    values = df if keys else df.withColumn("_all", F.lit(0))
+    values = values.select(*group, F.col(value).cast("double").alias("_v")).filter("_v is not null and not isnan(_v)")
+    sizes = materialize(
+        values.groupBy(*group).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        ),
+        "sizes",
     )
-    brackets = sketch.select(
-        *keys,
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("i"),
-                    _end("_min", p - spread <= 0, F.col("_bounds")[2 * i], accuracy).alias("lo"),
-                    _end("_max", p + spread >= 1, F.col("_bounds")[2 * i + 1], accuracy).alias("hi"),
-                    (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos"),
-                )
-                for i, p in enumerate(points)
-            ]
-        ).alias("_brackets"),
-    )
-    if keys:
-        # Written once: the sketch is not computed again, and the planner knows
-        # from the table's size whether it may be broadcast.
-        brackets = materialize(brackets, "brackets")
-    # Each value is below, inside or above each bracket; those below are only counted.
-    joined = (
-        _with_brackets(values, brackets, keys)
-        .select(*keys, "_v", F.explode("_brackets").alias("b"))
-        .filter(F.col("_v") <= F.col("b.hi"))
-    )
-    counted = joined.groupBy(
-        *keys,
-        F.col("b.i").alias("_i"),
-        F.col("b.pos").alias("_pos"),
-        F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("_inside"),
-    ).agg(F.count(F.lit(1)).alias("_c"))
-    # The null value (everything below the bracket) sorts first.
-    window = Window.partitionBy(*keys, "_i").orderBy(F.col("_inside").asc_nulls_first())
-    ordered = counted.withColumn("_upto", F.sum("_c").over(window)).withColumn("_from", F.col("_upto") - F.col("_c"))
-    lower, upper = F.floor("_pos"), F.ceil("_pos")
-
-    def at(position):
-        return F.max(F.when((F.col("_from") <= position) & (position < F.col("_upto")), F.col("_inside")))
-
-    points_found = ordered.groupBy(*keys, "_i").agg(
-        at(lower).alias("_lo"), at(upper).alias("_hi"), F.first(F.col("_pos") - lower).alias("_frac")
-    )
-    interpolated = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
-    return points_found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, interpolated)).alias(_name(p)) for i, p in enumerate(points)]
+    ranks = F.array_distinct(F.array(*[f(_position(p)).cast("bigint") for p in points for f in (F.floor, F.ceil)]))
+    ranges = sizes.select(
+        *group, "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_rows"), ranks.alias("_ranks")
     )
+    for _ in range(MAX_LEVELS):
+        most = ranges.filter("_lo < _hi").agg(F.max("_rows")).first()[0]
+        if most is None or most <= direct:
+            break
+        ranges = materialize(_narrowed(values, ranges, group, buckets, direct), "ranges")
+
+    found = _found(values, ranges, group)
+    at_rank = join_null_safe(found, sizes.select(*group, "_n"), group)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(F.col("_rank") == rank, F.col("_v")))
+
+    pieces, results = [], []
+    for i, p in enumerate(points):
+        position = _position(p)
+        pieces += [
+            at(F.floor(position)).alias(f"_l{i}"),
+            at(F.ceil(position)).alias(f"_h{i}"),
+            F.max(position - F.floor(position)).alias(f"_f{i}"),
+        ]
+        low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
+        results.append((low + (high - low) * F.col(f"_f{i}")).alias(f"p_{p:g}".replace(".", "_")))
+    return at_rank.groupBy(*group).agg(*pieces).select(*keys, *results)
+
+
+def _position(point: float) -> Column:
+    return F.lit(float(point)) * (F.col("_n") - 1)
 
 
-def _end(extreme: str, reached: bool, sketched: Column, accuracy: int) -> Column:
-    """One end of a bracket; small groups, and brackets at the rim, take the true extreme."""
-    if reached:
-        return F.col(extreme)
-    return F.when(F.col("_n") <= 10 * accuracy, F.col(extreme)).otherwise(sketched)
+def _inside(values: DataFrame, ranges: DataFrame, group: list[str]) -> DataFrame:
+    """Values with the range they lie in; ranges of a group do not overlap."""
+    bounds = ranges.select(*group, "_lo", "_hi")
+    return join_null_safe(values, bounds, group).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
 
 
-def _name(point: float) -> str:
-    return f"p_{point:g}".replace(".", "_")
+def _cumulative(counted: DataFrame, ranges: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Add the rank of the first row of each piece of a range, and the range's wanted ranks in the piece."""
+    window = Window.partitionBy(*group, "_lo").orderBy(order)
+    before = counted.withColumn("_first", F.sum("_c").over(window) - F.col("_c"))
+    joined = join_null_safe(before, ranges.select(*group, "_lo", "_below", "_ranks"), [*group, "_lo"])
+    joined = joined.withColumn("_first", F.col("_first") + F.col("_below"))
+    wanted = F.filter("_ranks", lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_c")))
+    return joined.withColumn("_ranks", wanted).filter(F.size("_ranks") > 0)
 
 
-def _with_brackets(values: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    if keys:
-        return values.join(brackets, keys)
-    return values.withColumn("_brackets", brackets.select("_brackets").scalar())
+def _narrowed(values: DataFrame, ranges: DataFrame, group: list[str], buckets: int, direct: int) -> DataFrame:
+    """Replace every large range by those of its buckets that hold a wanted rank.
+
+    Buckets are even on a signed logarithmic scale, so far outliers do not put all
+    other values into one; where that scale cannot tell the ends apart they are even
+    in the values.
+    """
+    large = (F.col("_lo") < F.col("_hi")) & (F.col("_rows") > direct)
+
+    def scale(name: str) -> Column:
+        return F.signum(name) * F.log1p(F.abs(name))
+
+    share = F.when(
+        scale("_hi") > scale("_lo"), F.try_divide(scale("_v") - scale("_lo"), scale("_hi") - scale("_lo"))
+    ).otherwise(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")))
+    bucket = F.least(F.floor(share * F.lit(float(buckets))), F.lit(buckets - 1)).cast("int")
+    counted = (
+        _inside(values, ranges.filter(large), group)
+        .groupBy(*group, "_lo", bucket.alias("_bucket"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    )
+    chosen = _cumulative(counted, ranges.filter(large), group, "_bucket").select(
+        *group, F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), F.col("_first").alias("_below"),
+        F.col("_c").alias("_rows"), "_ranks",
+    )
+    return chosen.unionByName(ranges.filter(~large))
+
+
+def _found(values: DataFrame, ranges: DataFrame, group: list[str]) -> DataFrame:
+    """The value at every wanted rank."""
+    single = ranges.filter("_lo = _hi").select(*group, F.explode("_ranks").alias("_rank"), F.col("_lo").alias("_v"))
+    spread = ranges.filter("_lo < _hi")
+    counted = (
+        _inside(values, spread, group).groupBy(*group, "_lo", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    )
+    ordered = _cumulative(counted, spread, group, "_v").select(*group, F.explode("_ranks").alias("_rank"), "_v")
+    return single.unionByName(ordered)

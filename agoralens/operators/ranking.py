@@ -68,14 +68,18 @@ def first_n_by_cutoff(df: DataFrame, keys: Sequence[str], order: Column, n: int)
     """
     narrow = df.select(*keys, order.alias("_order"))
     nth = first_n_per_key(narrow, keys, [F.asc("_order")], n, "_rank").filter(F.col("_rank") == n)
-    cutoffs = materialize(
-        nth.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_order").alias("_cutoff")), "cutoffs"
-    )
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    kept = df.withColumn("_order", order).join(cutoffs, same, "left")
+    cutoffs = materialize(nth.select(*keys, F.col("_order").alias("_cutoff")), "cutoffs")
+    kept = join_null_safe(df.withColumn("_order", order), cutoffs, keys, "left")
     return kept.filter(F.col("_cutoff").isNull() | (F.col("_order") <= F.col("_cutoff"))).select(*df.columns)
 
 
+def join_null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key matches a null key, as it does in a grouping."""
+    renamed = other.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return df.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def newest_first(at: str, then: str) -> Column:
     """An order for ``first_n_by_cutoff``: latest time first, then the id; no time comes last."""
     return F.struct(F.coalesce(-F.unix_micros(at), F.lit(2**63 - 1)).alias("a"), F.col(then).alias("b"))

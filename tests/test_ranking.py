@@ -71,24 +71,26 @@ def test_hash_cutoffs_and_ranks_agree_with_sorting(spark, digits):
     assert R.hash_cutoffs(df, "g", "key", F.lit(0), digits).count() == 0
 
 
-@pytest.mark.parametrize("accuracy", [50, 10_000])
-def test_exact_percentiles(spark, accuracy):
-    """With a coarse sketch the groups are large enough for the brackets to matter."""
+@pytest.mark.parametrize("direct, buckets", [(1_000_000, 4096), (50, 64), (0, 2)])
+def test_exact_percentiles(spark, direct, buckets):
+    """Small limits make the search take several rounds."""
     rng = np.random.default_rng(5)
     groups = {
         "normal": rng.normal(size=4000),
         "ties": rng.integers(0, 3, size=3000).astype(float),
         "outlier": np.append(rng.random(1500), 1e12),
+        "wide": np.concatenate([-(10.0 ** rng.uniform(-300, 300, 400)), 10.0 ** rng.uniform(-300, 300, 401)]),
+        None: rng.random(500),
         "one": np.array([4.0]),
         "two": np.array([1.0, 2.0]),
     }
-    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("one", None)]
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("one", None), ("one", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double")
     points = [0.0, 0.25, 0.5, 0.95, 1.0]
-    got = {r.g: r for r in exact_percentiles(df, ["g"], "v", points, accuracy).collect()}
+    got = {r.g: r for r in exact_percentiles(df, ["g"], "v", points, buckets, direct).collect()}
     for name, values in groups.items():
         want = np.percentile(values, [100 * p for p in points])
         have = [got[name][f"p_{p:g}".replace(".", "_")] for p in points]
         assert have == pytest.approx(list(want)), name
-    total = exact_percentiles(df, [], "v", [0.5], accuracy).first()[0]
-    assert total == pytest.approx(np.percentile([v for _, v in rows if v is not None], 50))
+    total = exact_percentiles(df, [], "v", [0.5], buckets, direct).first()[0]
+    assert total == pytest.approx(np.percentile(np.concatenate(list(groups.values())), 50))
