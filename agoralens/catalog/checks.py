@@ -724,5 +724,6 @@ check(
 )
 check("stream_distinct_comments", f"{BASE} select comment_id, {STAMP.format('created_utc')}, score from comments")
 CHECKS["stream_drift"] = CHECKS["drift_by_version"]
+CHECKS["stream_performance"] = CHECKS["performance_by_version"]
 check("stream_counters", f"{EVENTS} select endpoint, method, count(*) as value from predictions group by endpoint, method")
 CHECKS["stream_latency_histogram"] = CHECKS["latency_histogram"]

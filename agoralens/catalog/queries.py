@@ -736,6 +736,17 @@ def stream_drift(spark, sf_dir):
     return rounded(O.drift(kept, by=["model_version"]), *DRIFT)
 
 
+@query
+def stream_performance(spark, sf_dir):
+    events = _stream(spark, sf_dir, "events", "predictions").select(
+        "prediction_id", "ts", "model_version", "sentiment", "confidence"
+    )
+    base = shared_dir(spark, "performance")
+    streams.last_n_per_key(events, 1000, ["model_version"], f"{base}/rows", f"{base}/state").awaitTermination()
+    kept = streams.newest_snapshot(spark, f"{base}/rows")
+    return rounded(O.performance(kept, by=["model_version"]), *PERFORMANCE)
+
+
 @query
 def stream_counters(spark, sf_dir):
     events = _stream(spark, sf_dir, "events", "predictions")

@@ -26,12 +26,12 @@ def exact_percentiles(
     """Percentiles with linear interpolation, one column ``p_<point>`` per point.
 
     The built-in exact ``percentile`` holds all distinct values of a group in one
-    task, and a quantile sketch sends one large state per input partition to the one
-    task that merges a group.  Here the wanted ranks are searched for: the range that
+    task, so it is used only if no group has more than ``direct`` rows.  (A quantile
+    sketch would send one large state per input partition to the one task that merges
+    a group.)  For larger groups the wanted ranks are searched for: the range that
     holds a rank is cut into buckets, rows per bucket are counted with partial
     aggregates, and the bucket that holds the rank becomes the next range.  Ranges of
-    up to ``direct`` rows are then put in order, counted per distinct value; a small
-    group gets there at once.
+    up to ``direct`` rows are then put in order, counted per distinct value.
 
     The input is read once per round, so it should be at rest.  Nulls and NaNs are
     left out.
@@ -45,6 +45,11 @@ def exact_percentiles(
         ),
         "sizes",
     )
+    most = sizes.agg(F.max("_n")).first()[0]
+    if most is None or most <= direct:
+        exact = [F.percentile("_v", F.lit(float(p))).alias(_name(p)) for p in points]
+        return values.groupBy(*group).agg(*exact).select(*keys, *map(_name, points))
+
     ranks = F.array_distinct(F.array(*[f(_position(p)).cast("bigint") for p in points for f in (F.floor, F.ceil)]))
     ranges = sizes.select(
         *group, "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_rows"), ranks.alias("_ranks")
@@ -70,10 +75,14 @@ def exact_percentiles(
             F.max(position - F.floor(position)).alias(f"_f{i}"),
         ]
         low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
-        results.append((low + (high - low) * F.col(f"_f{i}")).alias(f"p_{p:g}".replace(".", "_")))
+        results.append((low + (high - low) * F.col(f"_f{i}")).alias(_name(p)))
     return at_rank.groupBy(*group).agg(*pieces).select(*keys, *results)
 
 
+def _name(point: float) -> str:
+    return f"p_{point:g}".replace(".", "_")
+
+
 def _position(point: float) -> Column:
     return F.lit(float(point)) * (F.col("_n") - 1)
 

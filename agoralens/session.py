@@ -37,6 +37,8 @@ def local_session(name: str = "agoralens", cores: str = "*", **settings: str) ->
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "16g")
+        # Not sending the call site of every column expression makes plans quicker to build.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**SESSION_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
