@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import REMOVED_MARKS
+from ..session import materialize
 from .ranking import first_n, first_n_by_cutoff, first_n_per_key, newest_first
 
 # The accepted periods and their length.
@@ -37,8 +38,12 @@ def long_comments(comments: DataFrame, more_than: int = 20, text: str = "text")
 
 
 def without_adult_posts(comments: DataFrame, posts: DataFrame) -> DataFrame:
-    """Drop the comments of posts flagged as adult."""
-    flagged = posts.filter("over_18").select("post_id")
+    """Drop the comments of posts flagged as adult.
+
+    The flagged ids are written down first: the planner then knows their size and, if
+    it allows, broadcasts them, so the comments are not shuffled.
+    """
+    flagged = materialize(posts.filter("over_18").select("post_id"), "flagged")
     return comments.join(flagged, "post_id", "left_anti")
 
 

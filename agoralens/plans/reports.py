@@ -58,9 +58,9 @@ def community_comments(
     _check_limit(post_limit, MAX_POSTS)
     chosen = top_posts(posts, period, post_limit, as_of, community)
     chosen = chosen.select("post_id", F.col("subreddit").alias("_community"), F.col("title").alias("post_title"))
-    if community is not None:
-        # At most ``post_limit`` rows, which is at most 500.
-        chosen = F.broadcast(chosen)
+    # For one community at most 500 rows.  Otherwise written down, so that the planner
+    # knows the size and shuffles the comments only if it must.
+    chosen = F.broadcast(chosen) if community is not None else materialize(chosen, "posts")
     rows = long_comments(comments).join(chosen, "post_id").drop("subreddit")
     return scorer(rows.withColumnRenamed("_community", "subreddit"), "text")
 
@@ -148,9 +148,8 @@ def trend_comments(
     chosen = top_posts(posts, period, limit, as_of).select(
         "post_id", F.col("subreddit").alias("_community"), F.col("title").alias("post_title")
     )
-    if communities is not None:
-        # At most 5 communities of at most 500 posts.
-        chosen = F.broadcast(chosen)
+    # For named communities at most 5 times 500 rows.
+    chosen = F.broadcast(chosen) if communities is not None else materialize(chosen, "posts")
     found = keyword_mentions(comments, keyword).join(chosen, "post_id").drop("subreddit")
     return scorer(found.withColumnRenamed("_community", "subreddit"), "text")
 

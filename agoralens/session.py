@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -45,6 +46,11 @@ def local_session(name: str = "agoralens", cores: str = "*", **settings: str) ->
     return builder.getOrCreate()
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="agoralens-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path, visible to every executor, for tables and streaming state.
 
@@ -57,8 +63,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         master = spark.conf.get("spark.master", "")
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="agoralens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -36,12 +36,12 @@ VIEWS = {
         select cast(p as string) as post_id,
                split_part('{COMMUNITIES}', '|', cast(p % 20 as int) + 1) as subreddit,
                concat('post ', cast(p as string)) as title,
-               case when p % 3 = 0 then '' else concat('body ', substr(text, 1, 200)) end as selftext,
+               case when p % 3 = 0 then '' else concat('body ', text) end as selftext,
                (p * 53) % 500 as score,
                cast((p * 7) % 100 as double) / 100 as upvote_ratio,
                p % 13 = 5 as over_18,
                timestamp '2024-01-01 00:00:00' + interval '1' minute * cast((p * 104729) % 43200 as int) as created_utc
-        from (select cast(floor(doc_id / 25) as bigint) as p, text from documents where doc_id % 25 = 0) d""",
+        from (select cast(floor(doc_id / 25) as bigint) as p, min_by(text, doc_id) as text from documents group by 1) d""",
     "predictions": """
         select event_id as prediction_id, ts, user_id,
                case when event_type in ('purchase', 'signup') then 'positive'
@@ -85,7 +85,7 @@ VIEWS = {
                case when doc_id % 7 = 1 then cast(doc_id % 120 as int) end as n_texts,
                case when doc_id % 14 = 2 then 'python' end as community,
                case when doc_id % 14 = 3 then 'user1' end as author,
-               case when doc_id % 7 = 5 then substr(text, 1, cast(doc_id % 130 as int)) end as keyword,
+               case when doc_id % 7 = 5 then repeat('k', cast(doc_id % 130 as int)) end as keyword,
                case when doc_id % 7 = 5 then cast(doc_id % 8 as int) end as n_communities,
                case when doc_id % 7 = 4 then (case when doc_id % 2 = 0 then 'https://www.reddit.com/r/x/'
                     else 'ftp://reddit.com/r/x/' end) end as url,

@@ -94,7 +94,8 @@ def last_n_per_key(
     salted rounds, so a model version that sends most of the events is no single
     task's work.  The state is ``n`` rows per key whatever the stream's length.  Late
     events take their place by time.  Batch k reads snapshot k - 1 and overwrites
-    snapshot k, so running a batch again gives the same table.
+    snapshot k, so running a batch again gives the same table.  Snapshots before the
+    last two can be removed at any time.
     """
     schema = events.schema
 
