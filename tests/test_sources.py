@@ -74,3 +74,14 @@ def test_working_folder_must_be_shared_on_a_cluster(monkeypatch):
         shared_dir(Session, "x")
     Session.conf.settings["spark.checkpoint.dir"] = "hdfs://shared/dir/"
     assert shared_dir(Session, "x").startswith("hdfs://shared/dir/x-")
+
+
+def test_local_session_without_a_shared_folder_gets_its_own():
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return {"spark.master": "local[2]"}.get(key, default)
+
+    first, second = shared_dir(Session, "x"), shared_dir(Session, "x")
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
