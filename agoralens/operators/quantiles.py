@@ -25,13 +25,13 @@ def exact_percentiles(
 ) -> DataFrame:
     """Percentiles with linear interpolation, one column ``p_<point>`` per point.
 
-    The built-in exact ``percentile`` holds all distinct values of a group in one
-    task, so it is used only if no group has more than ``direct`` rows.  (A quantile
-    sketch would send one large state per input partition to the one task that merges
-    a group.)  For larger groups the wanted ranks are searched for: the range that
-    holds a rank is cut into buckets, rows per bucket are counted with partial
-    aggregates, and the bucket that holds the rank becomes the next range.  Ranges of
-    up to ``direct`` rows are then put in order, counted per distinct value.
+    If no group has more than ``direct`` rows, each is sorted as a whole.  A larger
+    group must not be one task's work, as it would be for the built-in exact
+    ``percentile``, and also for a sketch, whose large states are merged by one task.
+    There the wanted ranks are searched for: the range that holds a rank is cut into
+    buckets, rows per bucket are counted with partial aggregates, and the bucket that
+    holds the rank becomes the next range.  Ranges of up to ``direct`` rows are then put
+    in order, counted per distinct value.
 
     The input is read once per round, so it should be at rest.  Nulls and NaNs are
     left out.
@@ -47,8 +47,15 @@ def exact_percentiles(
     )
     most = sizes.agg(F.max("_n")).first()[0]
     if most is None or most <= direct:
-        exact = [F.percentile("_v", F.lit(float(p))).alias(_name(p)) for p in points]
-        return values.groupBy(*group).agg(*exact).select(*keys, *map(_name, points))
+        ordered = values.groupBy(*group).agg(F.sort_array(F.collect_list("_v")).alias("_s"))
+        ordered = ordered.withColumn("_n", F.size("_s").cast("bigint"))
+        exact = [
+            _between(
+                F.get("_s", F.floor(_position(p)).cast("int")), F.get("_s", F.ceil(_position(p)).cast("int")), _position(p)
+            ).alias(_name(p))
+            for p in points
+        ]
+        return ordered.select(*keys, *exact)
 
     ranks = F.array_distinct(F.array(*[f(_position(p)).cast("bigint") for p in points for f in (F.floor, F.ceil)]))
     ranges = sizes.select(
@@ -66,17 +73,18 @@ def exact_percentiles(
     def at(rank: Column) -> Column:
         return F.max(F.when(F.col("_rank") == rank, F.col("_v")))
 
-    pieces, results = [], []
-    for i, p in enumerate(points):
-        position = _position(p)
-        pieces += [
-            at(F.floor(position)).alias(f"_l{i}"),
-            at(F.ceil(position)).alias(f"_h{i}"),
-            F.max(position - F.floor(position)).alias(f"_f{i}"),
-        ]
-        low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
-        results.append((low + (high - low) * F.col(f"_f{i}")).alias(_name(p)))
-    return at_rank.groupBy(*group).agg(*pieces).select(*keys, *results)
+    ends = [at(f(_position(p))).alias(f"_{name}{i}") for i, p in enumerate(points) for name, f in _ENDS]
+    results = [
+        _between(F.col(f"_low{i}"), F.col(f"_high{i}"), _position(p)).alias(_name(p)) for i, p in enumerate(points)
+    ]
+    return at_rank.groupBy(*group, "_n").agg(*ends).select(*keys, *results)
+
+
+_ENDS = [("low", F.floor), ("high", F.ceil)]
+
+
+def _between(low: Column, high: Column, position: Column) -> Column:
+    return low + (high - low) * (position - F.floor(position))
 
 
 def _name(point: float) -> str:
