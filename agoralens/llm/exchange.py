@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 NO_ID = 2**63 - 1
 ASKED = "chunk int, bucket int, n int, keys binary, docs binary"
 ANSWER = "chunk int, step int, bucket int, data binary, first long"
@@ -266,4 +266,4 @@ def spread(length: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     change = np.zeros(length + 1, np.int32)
     np.add.at(change, first, 1)
     np.add.at(change, last, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
