@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
+from .hyperminhash import near_duplicates
 from .substring_dedup import remove_repeated_windows
 from .suffix_dedup import remove_repeated_strings
 
@@ -17,6 +18,8 @@ QUERIES: dict[str, Query] = {}
 
 def query(function: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # Arrow batches of long texts are bounded by bytes, not by rows alone.
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
         return function(configure(spark), sf_dir)
 
     QUERIES[function.__name__] = run
@@ -39,3 +42,8 @@ def op2_suffix_dedup(spark, sf_dir):
     return remove_repeated_strings(_documents(spark, sf_dir)).select(
         "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op4_hyperminhash(spark, sf_dir):
+    return near_duplicates(_documents(spark, sf_dir))
