@@ -36,7 +36,7 @@ SLACK = 6 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
 # Keys that are looked up by a broadcast; more are joined by a shuffle.
 LOOKED_UP = 1_000_000
 # Documents of a bucket that are compared as one block.
-BLOCK = 512
+BLOCK = 256
 
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 _FLIP = _RANDOM.integers(0, 2**32, REGISTERS, dtype=np.uint32)
@@ -125,9 +125,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     links = _confirmed(documents, materialize(pairs.distinct(), "pairs"))
     links = links.unionByName(shared.select(F.col("first").alias("a"), F.col("key").alias("b")))
     component = materialize(components(links), "components")
-    more = _across(members, component, linkable)
+    more = _across(members, component, documents)
     if more is not None:
-        component = materialize(components(links.unionByName(_confirmed(documents, more))), "components")
+        component = materialize(components(links.unionByName(more)), "components")
 
     found = F.coalesce("component", "first")
     return rows.join(component.withColumnsRenamed({"key": "first"}), "first", "left").select(
@@ -159,17 +159,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
-def _confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets have the similarity.
+def _sets_of(documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """Registers and sets of some documents; their keys are broadcast if they are few, and joined by a shuffle if not."""
+    keys = materialize(keys, "needed")
+    few = keys.limit(LOOKED_UP + 1).count() <= LOOKED_UP
+    texts = documents.join(F.broadcast(keys) if few else keys, "key").select("key", "text")
+    return materialize(texts.mapInArrow(_sets, "key long, registers binary, shingles binary"), "sets")
 
-    Only documents of pairs are read as sets.  Their keys are broadcast if they are
-    few, and joined by a shuffle if not.
-    """
+
+def _confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose sets have the similarity."""
     needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    needed = materialize(needed, "needed")
-    few = needed.limit(LOOKED_UP + 1).count() <= LOOKED_UP
-    texts = documents.join(F.broadcast(needed) if few else needed, "key").select("key", "text")
-    sets = materialize(texts.mapInArrow(_sets, "key long, registers binary, shingles binary"), "sets")
+    sets = _sets_of(documents, needed)
     one, two = (sets.select(*[F.col(c).alias(f"{c}_{s}") for c in sets.columns]) for s in "ab")
     both = pairs.join(two, F.col("b") == F.col("key_b")).join(one, F.col("a") == F.col("key_a"))
     columns = ["a", "b", "registers_a", "registers_b", "shingles_a", "shingles_b"]
@@ -191,13 +192,13 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(linked))
 
 
-def _across(members: DataFrame, component: DataFrame, signed: DataFrame) -> DataFrame | None:
-    """Pairs of a bucket that may be alike, have not been compared and are not in one component.
+def _across(members: DataFrame, component: DataFrame, documents: DataFrame) -> DataFrame | None:
+    """Links between members of a bucket that are not in one component; None if there can be none.
 
     The bucket's first key has been compared with all.  Of the others, those outside
     the bucket's largest component are compared with all that are in another one than
-    they: on registers, in blocks of a bounded number of keys, so that a bucket of any
-    size is many small tasks, and only pairs that may be alike become rows.
+    they, in blocks of a bounded number of keys.  So a bucket of any size is many small
+    tasks, and a key becomes one row for each component that it links to there.
     """
     others = members.filter("key <> hub").join(component, "key", "left").select(
         "band", "key", F.coalesce("component", "key").alias("component")
@@ -207,40 +208,49 @@ def _across(members: DataFrame, component: DataFrame, signed: DataFrame) -> Data
         F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("rows"),
         F.max("c").alias("most"),
     ).filter("most < rows")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("long")
-    outside_blocks = F.ceil((F.col("rows") - F.col("most")) / BLOCK).cast("long")
     torn = materialize(others.join(torn, "band").select(
         "band", "key", "component", (F.col("component") != F.col("main")).alias("outside"),
-        blocks.alias("blocks"), outside_blocks.alias("outside_blocks"),
+        F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks"),
+        F.ceil((F.col("rows") - F.col("most")) / BLOCK).cast("long").alias("outside_blocks"),
     ), "torn")
     if torn.isEmpty():
         return None
-    keys = materialize(torn.select("key").distinct(), "torn_keys")
-    few = keys.limit(LOOKED_UP + 1).count() <= LOOKED_UP
-    known = signed.select("key", "n", "registers").join(F.broadcast(keys) if few else keys, "key")
-    spot = F.xxhash64("key", F.lit(1))
+    sets = _sets_of(documents, torn.select("key").distinct())
+    none = F.lit(0).cast("long")
     left = torn.filter("outside").select(
-        "band", "key", "component", F.lit(True).alias("outside"), F.pmod(spot, "outside_blocks").alias("i"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"),
+        "band", "key", "component", "outside", F.pmod(F.xxhash64("key", F.lit(1)), "outside_blocks").alias("i"),
+        F.explode(F.sequence(none, F.col("blocks") - 1)).alias("j"),
     )
     right = torn.select(
         "band", "key", "component", F.lit(False).alias("outside"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("outside_blocks") - 1)).alias("i"),
+        F.explode(F.sequence(none, F.col("outside_blocks") - 1)).alias("i"),
         F.pmod(F.xxhash64("key", F.lit(2)), "blocks").alias("j"),
     )
-    found = left.unionByName(right).join(known, "key").groupBy("band", "i", "j").applyInArrow(_near, "a long, b long")
-    return materialize(found.distinct(), "pairs")
+    found = left.unionByName(right).join(sets, "key").groupBy("band", "i", "j").applyInArrow(_near, "a long, b long")
+    return materialize(found.distinct(), "across")
 
 
 def _near(cell: pa.Table) -> pa.Table:
+    """For each key outside and each other component, one link if there is any."""
     outside = cell["outside"].to_numpy(zero_copy_only=False)
-    key, of, n = (cell[c].to_numpy() for c in ("key", "component", "n"))
+    key, of = cell["key"].to_numpy(), cell["component"].to_numpy()
     registers_ = np.stack([np.frombuffer(r.as_buffer(), np.uint16) for r in cell["registers"]])
-    a, b = np.flatnonzero(outside), np.flatnonzero(~outside)
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in cell["shingles"]]
+    n = np.array([len(s) for s in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(n)
+    inside = np.flatnonzero(~outside)
+    own = np.zeros(len(names), bool)
     pairs = []
-    for i in a.tolist():
-        j = b[(of[b] != of[i]) & (100 * np.minimum(n[b], n[i]) >= PERCENT * np.maximum(n[b], n[i]))]
+    for i in np.flatnonzero(outside).tolist():
+        j = inside[(of[inside] != of[i]) & (100 * np.minimum(n[inside], n[i]) >= PERCENT * np.maximum(n[inside], n[i]))]
         j = j[similarity(registers_[j], registers_[i], n[j], n[i]) >= PERCENT / 100 - SLACK]
-        pairs += [(min(key[i], k), max(key[i], k)) for k in key[j].tolist()]
+        if not len(j):
+            continue
+        own[flat[ends[i] - n[i] : ends[i]]] = True
+        common = np.array([np.count_nonzero(own[flat[ends[k] - n[k] : ends[k]]]) for k in j.tolist()])
+        own[flat[ends[i] - n[i] : ends[i]]] = False
+        j = j[100 * common >= PERCENT * (n[i] + n[j] - common)]
+        pairs += [(key[i], key[j[k]]) for k in np.unique(of[j], return_index=True)[1].tolist()]
     first, second = zip(*pairs, strict=True) if pairs else ((), ())
     return pa.table({"a": pa.array(first, pa.int64()), "b": pa.array(second, pa.int64())})
