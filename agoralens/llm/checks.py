@@ -2,4 +2,89 @@
 
 from __future__ import annotations
 
+from .quality_rules import STOP_WORDS
+
 CHECKS: dict[str, str] = {}
+
+CHECKS["op1_substring_dedup"] = r"""
+    with words as (
+        select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+    ), starts as (
+        select doc_id, w, unnest(range(1, len(w) - 11)) as i from words
+    ), windows as (
+        select doc_id, i, array_to_string(w[i:i + 12], ' ') as s from starts
+    ), later as (
+        select doc_id, i from (select *, min(doc_id) over (partition by s) as first from windows) where first < doc_id
+    ), gone as (
+        select doc_id, list(distinct k) as ks from (select doc_id, unnest(range(i, i + 13)) as k from later) group by 1
+    ), joined as (
+        select words.doc_id, w, coalesce(ks, []) as ks from words left join gone using (doc_id)
+    ), kept as (
+        select doc_id, w, ks, [w[k] for k in range(1, len(w) + 1) if not list_contains(ks, k)] as rest
+        from joined
+    )
+    select doc_id, cast(len(w) as bigint) as n_words, cast(len(ks) as bigint) as n_removed,
+           sha256(coalesce(array_to_string(rest, ' '), '')) as kept_sha256
+    from kept"""
+
+CHECKS["op7_decontamination"] = r"""
+    with docs as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+    ), items as (
+        select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+    ), item_windows as (
+        select distinct item_id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as s
+        from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from items where len(w) > 0)
+    ), lengths as (
+        select distinct n from item_windows
+    ), doc_windows as (
+        select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as s
+        from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from docs, lengths)
+    ), found as (
+        select doc_id, d.n, i, item_id from doc_windows d join item_windows using (s)
+    ), hit as (
+        select doc_id, count(distinct k) as n_hit
+        from (select doc_id, unnest(range(i, i + n)) as k from found) group by 1
+    ), named as (
+        select doc_id, list_sort(list(distinct cast(item_id as varchar))) as names from found group by 1
+    )
+    select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+           cast(coalesce(len(names), 0) as bigint) as n_items,
+           sha256(coalesce(array_to_string(names, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from docs left join hit using (doc_id) left join named using (doc_id)"""
+
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+CHECKS["op10_quality_rules"] = rf"""
+    with words as (
+        select doc_id, coalesce(text, '') as text,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+    ), grams as (
+        select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g
+        from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from words)
+    ), again as (
+        select doc_id, i from (select *, count(*) over (partition by doc_id, g) as c from grams) where c > 1
+    ), covered as (
+        select doc_id, count(distinct k) as n from (select doc_id, unnest(range(i, i + 3)) as k from again) group by 1
+    ), measured as (
+        select doc_id, len(w) as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
+               length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+               [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] as lines,
+               coalesce(covered.n, 0) as n_repeat_words,
+               len([x for x in w if lower(trim(x, '.,;:!?')) in ({_STOPS})]) as stops
+        from words left join covered using (doc_id)
+    ), counted as (
+        select *, len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+               n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed
+        from measured
+    )
+    select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
+           cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+           cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+           not base_failed
+           and not (word_chars < 2.5::double * n_words or word_chars > 12.0::double * n_words)
+           and not n_symbols > 0.05::double * word_chars and not stops < 0.05::double * n_words
+           and not n_dup_lines > 0.5::double * n_lines as kept
+    from counted"""

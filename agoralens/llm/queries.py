@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
+from .decontamination import decontaminate
 from .hyperminhash import near_duplicates
+from .quality_rules import apply_quality_rules
 from .substring_dedup import remove_repeated_windows
 from .suffix_dedup import remove_repeated_strings
 
@@ -47,3 +49,19 @@ def op2_suffix_dedup(spark, sf_dir):
 @query
 def op4_hyperminhash(spark, sf_dir):
     return near_duplicates(_documents(spark, sf_dir))
+
+
+@query
+def op7_decontamination(spark, sf_dir):
+    found = decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@query
+def op10_quality_rules(spark, sf_dir):
+    return apply_quality_rules(_documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
