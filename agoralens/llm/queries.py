@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
+from .bpe import encode
 from .decontamination import decontaminate
 from .hyperminhash import near_duplicates
 from .quality_rules import apply_quality_rules
 from .substring_dedup import remove_repeated_windows
 from .suffix_dedup import remove_repeated_strings
 
+# The tokenizer of op6; its file comes with the public tokenizers.
+WORD_BPE = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -28,6 +32,12 @@ def query(function: Query) -> Query:
     return function
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
@@ -51,6 +61,14 @@ def op4_hyperminhash(spark, sf_dir):
     return near_duplicates(_documents(spark, sf_dir))
 
 
+@query
+def op6_bpe(spark, sf_dir):
+    return encode(_documents(spark, sf_dir), tokenizer_path(WORD_BPE)).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op7_decontamination(spark, sf_dir):
     found = decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
