@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import warc
 from .quality_rules import STOP_WORDS
 
 CHECKS: dict[str, str] = {}
@@ -88,3 +89,57 @@ CHECKS["op10_quality_rules"] = rf"""
            and not n_symbols > 0.05::double * word_chars and not stops < 0.05::double * n_words
            and not n_dup_lines > 0.5::double * n_lines as kept
     from counted"""
+
+
+def _quoted(value: str) -> str:
+    """A string for SQL; what is not printable as chr()."""
+    parts = [f"chr({ord(c)})" if ord(c) < 32 else "'" + c.replace("'", "''") + "'" for c in value]
+    return "(" + " || ".join(parts) + ")"
+
+
+_TEXT = f"regexp_replace(body, '{warc.HIDDEN}', ' ', 'g')"
+_TEXT = f"regexp_replace(regexp_replace({_TEXT}, '{warc.BLOCKS}', chr(10), 'g'), '{warc.TAGS}', '', 'g')"
+for _entity, _character in warc.ENTITIES.items():
+    _TEXT = f"replace({_TEXT}, {_quoted(_entity)}, {_quoted(_character)})"
+_TEXT = rf"regexp_replace(regexp_replace({_TEXT}, '[\t\r\x0B\x0C\x{{A0}}]', ' ', 'g'), ' +', ' ', 'g')"
+_TEXT = rf"trim(regexp_replace({_TEXT}, ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+_ID = (
+    "'<urn:uuid:' || substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-'"
+    " || substr(m, 17, 4) || '-' || substr(m, 21, 12) || '>'"
+)
+
+CHECKS["op3_warc_derivatives"] = rf"""
+    with pages_ as (
+        select page_id, url, coalesce(html, '') as body, chr(13) || chr(10) as nl,
+               md5('response|' || coalesce(cast(page_id as varchar), '') || '|' || coalesce(url, '')) as m
+        from pages
+    ), responses as (
+        select page_id, url, body, nl, {_ID} as refers_to, 'sha256:' || sha256(body) as payload_digest,
+               trim(regexp_replace(regexp_extract(body, '{warc.TITLE}', 1), '\s+', ' ', 'g')) as title
+        from pages_
+    ), blocks as (
+        select page_id, url, nl, refers_to, payload_digest, 'metadata' as record_type,
+               'application/warc-fields' as content_type,
+               'source-header: HTTP/1.1 200 OK' || nl || 'source-header: Content-Type: text/html; charset=utf-8' || nl
+               || 'source-header: Content-Length: ' || strlen(body) || nl
+               || 'source-payload-digest: ' || payload_digest || nl
+               || case when title <> '' then 'title: ' || title || nl else '' end
+               || array_to_string(['outlink: ' || x || nl for x in regexp_extract_all(body, '{warc.LINKS}', 1)], '')
+               as block
+        from responses
+        union all
+        select page_id, url, nl, refers_to, payload_digest, 'conversion', 'text/plain; charset=utf-8', {_TEXT}
+        from responses
+    ), named as (
+        select *, md5(record_type || '|' || refers_to) as m, 'sha256:' || sha256(block) as block_digest from blocks
+    ), records as (
+        select *, {_ID} as record_id, cast(strlen(block) as bigint) as content_length from named
+    )
+    select page_id, record_type, record_id, refers_to, url as target_uri, content_type, content_length, block_digest,
+           payload_digest,
+           sha256('{warc.VERSION}' || nl || 'WARC-Type: ' || record_type || nl || 'WARC-Record-ID: ' || record_id || nl
+                  || 'WARC-Refers-To: ' || refers_to || nl || coalesce('WARC-Target-URI: ' || url || nl, '')
+                  || 'WARC-Date: {warc.DATE}' || nl || 'WARC-Block-Digest: ' || block_digest || nl
+                  || 'Content-Type: ' || content_type || nl || 'Content-Length: ' || content_length || nl || nl
+                  || block || nl || nl) as record_sha256
+    from records"""

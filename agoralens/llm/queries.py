@@ -10,23 +10,35 @@ from pyspark.sql import functions as F
 from ..session import configure
 from .bpe import encode
 from .decontamination import decontaminate
+from .hash_ring import shard_rows
 from .hyperminhash import near_duplicates
+from .packing import RankIds, pack
 from .quality_rules import apply_quality_rules
 from .substring_dedup import remove_repeated_windows
 from .suffix_dedup import remove_repeated_strings
+from .token_counts import count_tokens, sentencepiece_pieces
+from .warc import derivatives, page_responses
 
 # The tokenizer of op6; its file comes with the public tokenizers.
 WORD_BPE = "word_bpe_49k.json"
+# The pieces that op5 counts, and the ranks that op9 encodes with.
+PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_50k.tiktoken"
+SHARDS = 24
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def settings(spark: SparkSession) -> SparkSession:
+    """The settings that the operators rely on; Arrow batches of long texts are bounded by bytes, not by rows alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return configure(spark)
+
+
 def query(function: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # Arrow batches of long texts are bounded by bytes, not by rows alone.
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-        return function(configure(spark), sf_dir)
+        return function(settings(spark), sf_dir)
 
     QUERIES[function.__name__] = run
     return function
@@ -56,11 +68,26 @@ def op2_suffix_dedup(spark, sf_dir):
     )
 
 
+@query
+def op3_warc_derivatives(spark, sf_dir):
+    records = derivatives(page_responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return records.select(
+        "page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "content_length",
+        "block_digest", "payload_digest", F.sha2("record", 256).alias("record_sha256"),
+    )
+
+
 @query
 def op4_hyperminhash(spark, sf_dir):
     return near_duplicates(_documents(spark, sf_dir))
 
 
+@query
+def op5_token_counts(spark, sf_dir):
+    pieces = sentencepiece_pieces(tokenizer_path(PIECES))
+    return count_tokens(_documents(spark, sf_dir), pieces).drop("text")
+
+
 @query
 def op6_bpe(spark, sf_dir):
     return encode(_documents(spark, sf_dir), tokenizer_path(WORD_BPE)).select(
@@ -78,6 +105,21 @@ def op7_decontamination(spark, sf_dir):
     )
 
 
+@query
+def op8_hash_ring(spark, sf_dir):
+    return shard_rows(_documents(spark, sf_dir), SHARDS).withColumns({
+        "law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")
+    })
+
+
+@query
+def op9_packing(spark, sf_dir):
+    import public_tokenizers
+
+    tokens = RankIds(spark, tokenizer_path(RANKS), public_tokenizers.PATTERN)
+    return pack(_documents(spark, sf_dir), tokens, "text", tokens.vocabulary)
+
+
 @query
 def op10_quality_rules(spark, sf_dir):
     return apply_quality_rules(_documents(spark, sf_dir)).select(
