@@ -18,8 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .texts import slices
+
 WORD_END = "</w>"
 KEPT_WORDS = 300_000
+KEPT_FRAGMENTS = 50_000
 
 # Characters for which this module splits and lowers text itself: Latin letters up to
 # U+017F but one, whose classes and cases are the same in every version of Unicode, and
@@ -39,7 +42,7 @@ def _byte_alphabet() -> list[str]:
 
 
 class Encoder(dict):
-    """Words to (ids as little-endian 32-bit integers, tokens joined by spaces)."""
+    """Words to their ids, as little-endian 32-bit integers."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -56,12 +59,12 @@ class Encoder(dict):
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.alphabet = _byte_alphabet()
         self.inside = {pair for t in map(_symbols, self.vocabulary) for pair in zip(t, t[1:], strict=False)}
-        self.fragments: dict[tuple[str, ...], list[str]] = {}
+        self.fragments: dict[tuple[str, ...], list[str]] = {}  # those that are not whole words
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        if len(self.fragments) >= KEPT_WORDS:
+        if len(self.fragments) >= KEPT_FRAGMENTS:
             self.fragments.clear()
         letters = "".join([self.alphabet[b] for b in word.encode()])
         symbols = (*letters[:-1], letters[-1] + WORD_END)
@@ -71,11 +74,12 @@ class Encoder(dict):
                 fragment = symbols[start:i]
                 done = self.fragments.get(fragment)
                 if done is None:
-                    done = self.fragments[fragment] = self.merged(fragment)
+                    done = self.merged(fragment)
+                    if len(fragment) < len(symbols):
+                        self.fragments[fragment] = done
                 parts += done
                 start = i
-        ids = np.array([self.vocabulary[p] for p in parts], "<u4").tobytes()
-        self[word] = found = (ids, " ".join(parts))
+        self[word] = found = b"".join([self.vocabulary[p].to_bytes(4, "little") for p in parts])
         return found
 
     def merged(self, symbols: tuple[str, ...]) -> list[str]:
@@ -101,18 +105,18 @@ class Encoder(dict):
         split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes([letters[c] for c in piece]).decode() for piece, _ in split]
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids and decoded text; strings of special tokens are those tokens."""
+    def encode(self, text: str) -> bytes:
+        """The ids of a text; strings of special tokens are those tokens."""
         found = []
         for part in self.cuts.split(text) if "<|" in text else (text,):
             if part in self.special:
-                found.append((np.array([self.special[part]], "<u4").tobytes(), part))
+                found.append(self.special[part].to_bytes(4, "little"))
             else:
-                found += [self[w] for w in self.words(part)]
-        return b"".join([ids for ids, _ in found]), " ".join([tokens for _, tokens in found])
+                found += map(self.__getitem__, self.words(part))
+        return b"".join(found)
 
-    def decode(self, ids: np.ndarray) -> str:
-        return " ".join([self.tokens[i] for i in ids.tolist()])
+    def decode(self, ids: bytes) -> str:
+        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def _symbols(token: str) -> list[str]:
@@ -122,28 +126,15 @@ def _symbols(token: str) -> list[str]:
     return list(token)
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def _encoder(definition) -> Encoder:
-    """One encoder for all batches of a task."""
-    if definition.id not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[definition.id] = Encoder(definition.value)
-    return _ENCODERS[definition.id]
-
-
 class _Shared:
     """A tokenizer's definition, sent to each executor once; it is a file of a few MB whatever the data."""
 
     def __init__(self, spark, path: str):
         with open(path, encoding="utf-8") as file:
             self.sent = spark.sparkContext.broadcast(file.read())
-        self.id = hash((path, self.sent.value))
 
-    @property
-    def value(self) -> str:
-        return self.sent.value
+    def encoder(self) -> Encoder:
+        return Encoder(self.sent.value)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -162,14 +153,16 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     packed = df.select(F.struct(*rest).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = shared.encoder()
         for batch in batches:
-            found = [encoder.encode(t) for t in batch["text"].to_pylist()]
-            yield pa.record_batch({
-                "row": batch["row"],
-                "ids": pa.array([f[0] for f in found], pa.binary()),
-                "decoded": pa.array([f[1] for f in found], pa.string()),
-            })
+            for rows in slices(batch):
+                found = [encoder.encode(t) for t in rows["text"].to_pylist()]
+                yield pa.record_batch({
+                    "row": rows["row"],
+                    "ids": pa.array(found, pa.binary()),
+                    "decoded": pa.array(map(encoder.decode, found), pa.string()),
+                })
+        encoder.clear()  # the worker process lives on
 
     row = packed.schema["row"].dataType.simpleString()
     out = packed.select("row", "text").mapInArrow(run, f"row {row}, ids binary, decoded string")
@@ -187,9 +180,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(ids).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = shared.encoder()
         for batch in batches:
-            texts = [encoder.decode(np.frombuffer(i or b"", "<u4")) for i in batch["ids"].to_pylist()]
+            texts = [encoder.decode(i or b"") for i in batch["ids"].to_pylist()]
             yield pa.record_batch({"row": batch["row"], "decoded": pa.array(texts, pa.string())})
 
     row = packed.schema["row"].dataType.simpleString()

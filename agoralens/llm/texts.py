@@ -7,24 +7,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 4 << 20
+PIECE = 2 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, their bytes one after the other, first byte of each and the length of all).
-
-    A piece has rows of ``limit`` bytes or so, or one longer row; a null text has no bytes.
-    """
-    sizes = np.array([0 if t is None else t for t in pa.compute.binary_length(batch[text]).to_pylist()], np.int64)
-    ends = np.cumsum(sizes)
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts have ``limit`` bytes or so, or one longer row."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch[text]), 0).to_numpy(), dtype=np.int64)
     start = 0
-    while start < len(sizes):
+    while start < len(ends):
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
-        rows = batch.slice(start, stop - start)
-        parts = [t.as_buffer() for t in rows[text] if t.is_valid and sizes[start:stop].size]
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        yield rows, data, np.concatenate([[0], ends[start:stop] - before])
+        yield batch.slice(start, stop - start)
         start = stop
+
+
+def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, their bytes one after the other, first byte of each and the length of all) of each slice.
+
+    A null text has no bytes.
+    """
+    for rows in slices(batch, text):
+        parts = [t.as_buffer() if t.is_valid else b"" for t in rows[text]]
+        yield rows, np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
