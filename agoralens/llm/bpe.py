@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import slices
+from .texts import slices, with_row
 
 WORD_END = "</w>"
 KEPT_WORDS = 300_000
@@ -164,8 +164,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
                 })
         encoder.clear()  # the worker process lives on
 
-    row = packed.schema["row"].dataType.simpleString()
-    out = packed.select("row", "text").mapInArrow(run, f"row {row}, ids binary, decoded string")
+    out = packed.mapInArrow(run, with_row(packed, "ids binary, decoded string"))
     return out.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in (ids, decoded)],
                       F.col("ids").alias(ids), F.col("decoded").alias(decoded))
 
@@ -185,6 +184,5 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
             texts = [encoder.decode(i or b"") for i in batch["ids"].to_pylist()]
             yield pa.record_batch({"row": batch["row"], "decoded": pa.array(texts, pa.string())})
 
-    row = packed.schema["row"].dataType.simpleString()
-    out = packed.mapInArrow(run, f"row {row}, decoded string")
+    out = packed.mapInArrow(run, with_row(packed, "decoded string"))
     return out.select(*[F.col("row")[c].alias(c) for c in df.columns if c != decoded], F.col("decoded").alias(decoded))

@@ -69,48 +69,47 @@ def decontaminate(
     texts have no words and no hits; items without words or without an id are never
     found.  Rows are told apart by id and text, so rows that share an id do not mix and
     repeated rows have equal results.  Without items, or without documents, nothing is
-    contaminated.  A column of the input with the name of a result is an error.
+    contaminated.  A column of the input with the name of a result stays; the results
+    then have the prefix ``benchmark_``.
 
     The windows of the items are a table at rest: the planner broadcasts it if its size
     allows and joins by key if not.  A document and a fingerprint meet once, so a
     passage that many documents hold is one row in each.
     """
-    clash = {"n_words", "n_hit", "items", "contaminated"} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are names of results")
     windows = materialize(item_windows(items.filter(F.col(item_id).isNotNull()), item_id, item_text), "windows")
-    keyed = df.withColumns({
-        "_doc": F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)),
-        "_text": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
-    })
-    narrow = keyed.select("_doc", "_text", F.col(text).alias("_own"))
+    keyed = df.select(
+        F.struct("*").alias("_row"), F.col(text).alias("_own"),
+        F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("_doc"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text"),
+    )
+    narrow = keyed.select("_doc", "_text", "_own")
     found = None
     # At most ten lengths.
     for (length,) in windows.select("length").distinct().orderBy("length").collect():
         own = _occurrences(narrow, windows.filter(F.col("length") == length), length)
         found = own if found is None else found.unionByName(own)
-    counted = F.size(words_of(F.col(text))).cast("long")
+    counted = keyed.withColumn("n_words", F.size(words_of(F.col("_own"))).cast("long")).drop("_own")
+    none = F.array().cast("array<string>")
     if found is None:
-        none = F.array().cast("array<string>")
-        return df.withColumns({
-            "n_words": counted, "n_hit": F.lit(0).cast("long"), "items": none, "contaminated": F.lit(False)
-        })
-    found = materialize(found, "occurrences")
-    keys = ["_doc", "_text"]
-    spans = found.groupBy(*keys).agg(_union(F.array_sort(F.collect_set(F.struct("start", "length")))).alias("n_hit"))
-    names = (
-        found.select(*keys, "window").distinct().join(windows.select("window", "item"), "window")
-        .groupBy(*keys).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    )
-    result = materialize(spans.join(names, keys), "hits")
-    return (
-        keyed.withColumn("n_words", counted).join(result, keys, "left").drop(*keys)
-        .withColumns({
-            "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")),
-            "items": F.coalesce("items", F.array().cast("array<string>")),
+        result = counted.withColumns({"n_hit": F.lit(0).cast("long"), "items": none})
+    else:
+        found = materialize(found, "occurrences")
+        keys = ["_doc", "_text"]
+        spans = found.groupBy(*keys).agg(
+            _union(F.array_sort(F.collect_set(F.struct("start", "length")))).alias("n_hit")
+        )
+        names = (
+            found.select(*keys, "window").distinct().join(windows.select("window", "item"), "window")
+            .groupBy(*keys).agg(F.array_sort(F.collect_set("item")).alias("items"))
+        )
+        hits = materialize(spans.join(names, keys), "hits")
+        result = counted.join(hits, keys, "left").withColumns({
+            "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", none)
         })
-        .withColumn("contaminated", F.col("n_hit") > 0)
-    )
+    result = result.withColumn("contaminated", F.col("n_hit") > 0)
+    names = ["n_words", "n_hit", "items", "contaminated"]
+    prefix = "benchmark_" if set(names) & set(df.columns) else ""
+    return result.select("_row.*", *[F.col(n).alias(prefix + n) for n in names])
 
 
 def _occurrences(narrow: DataFrame, windows: DataFrame, length: int) -> DataFrame:

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from .exchange import ANSWER, ASKED, CHUNK_BYTES, Chunk, chunk_count, copies, held_again, held_before, into_chunks
+from .texts import with_row
 
 
 def first_windows(
@@ -28,13 +30,12 @@ def first_windows(
     """
     n = chunk_count(df, text, chunk_bytes)
     documents = into_chunks(df, id_column, text, n)
-    row = documents.schema["row"].dataType.simpleString()
     same = copies(df, id_column, text, n)
 
     def asks(function):
         return lambda left, right: function(Chunk(left, right), n)
 
-    def over_chunks(answers: DataFrame, function, schema: str) -> DataFrame:
+    def over_chunks(answers: DataFrame, function, schema: str | StructType) -> DataFrame:
         return documents.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(function, schema)
 
     def by_bucket(requests: DataFrame, function) -> DataFrame:
@@ -48,5 +49,4 @@ def first_windows(
         out = verdict(chunk, n)
         return out.add_column(0, "row", chunk.table["row"])
 
-    return over_chunks(same.unionAll(again).unionAll(before), final, f"row {row}, {result}")
-
+    return over_chunks(same.unionAll(again).unionAll(before), final, with_row(documents, result))

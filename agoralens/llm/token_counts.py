@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .texts import with_row
+
 KEPT_WORDS = 300_000
 FIRST = "▁"  # starts the pieces that start a word
 
@@ -115,6 +117,5 @@ def count_tokens(df: DataFrame, pieces: list[str], text: str = "text") -> DataFr
             yield pa.record_batch({"row": batch["row"], **{k: pa.array(v, pa.int64()) for k, v in numbers.items()}})
 
     names = ["n_words", "n_tokens", "n_unknown"]
-    row = packed.schema["row"].dataType.simpleString()
-    out = packed.mapInArrow(run, f"row {row}, " + ", ".join(f"{n} long" for n in names))
+    out = packed.mapInArrow(run, with_row(packed, ", ".join(f"{n} long" for n in names)))
     return out.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in names], *names)

@@ -26,6 +26,10 @@ ENTITIES = {
 LINKS = r'(?i)<a\s[^>]*?href="([^"]*)"'
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 DATE = "2024-01-01T00:00:00Z"
+RESULTS = (
+    "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length", "block",
+    "block_digest", "payload_digest", "record",
+)
 
 
 def record_id(*parts: Column) -> Column:
@@ -72,7 +76,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     """A metadata and a conversion record of each response.
 
     The input has ``record_id``, ``target_uri``, ``date`` and ``block``, an HTTP
-    message; its other columns stay.  The metadata record has the status and header
+    message; its other columns stay, but for those with the name of a result.  The metadata record has the status and header
     lines of the source, the digest of its payload, the title and the links; the
     conversion record has the text.  Both refer to the response by ``refers_to``.
 
@@ -88,7 +92,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
     pinned by a generator, so that a page is converted once.
     """
     own = ["record_id", "target_uri", "date", "block"]
-    rest = [c for c in responses.columns if c not in own]
+    rest = [c for c in responses.columns if c not in (*own, *RESULTS)]
     source = responses.select(
         F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest") if rest else F.lit(None).alias("rest"),
         F.col("record_id").alias("refers_to"), "target_uri", "date",
@@ -125,8 +129,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
         for name, c in lines.items()
     ])
     return digests.select(
-        *[F.col("rest")[c].alias(c) for c in rest], "record_type", "record_id", "refers_to", "target_uri", "date",
-        "content_type", "content_length", "block", "block_digest", "payload_digest",
+        *[F.col("rest")[c].alias(c) for c in rest], *RESULTS[:-1],
         F.concat(header, F.lit(END), F.col("block"), F.lit(END + END)).alias("record"),
     )
 
