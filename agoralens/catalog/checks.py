@@ -8,7 +8,7 @@ from __future__ import annotations
 from ..functions import wordlists as W
 from ..functions.text import CONTRACTIONS, SPACE, WORD
 from ..sources.views import ctes
-from .queries import AS_OF, KEYWORD, LEMMAS, PERIOD
+from .queries import AS_OF, KEYWORD, LEMMAS, PERIOD, SYMBOLS
 
 CHECKS: dict[str, str] = {}
 
@@ -91,12 +91,27 @@ check(
     select comment_id, processed_text, cast(length(text) as integer) as raw_length,
            cast({raw_words('text')} as integer) as raw_words from joined_text""",
 )
-_lemma_cases = " ".join(f"when t = '{a}' then '{b}'" for a, b in LEMMAS)
+_lemma_rows = ", ".join(
+    f"({quoted([x]) if x else 'null'}, {quoted([y]) if y else 'null'})" for x, y in LEMMAS
+)
 check(
     "lemmatized_text",
-    f"""{BASE}, {LABELLED}, {CLEANED}
-    select comment_id, array_to_string(list_transform(kept_words,
-           lambda t: case {_lemma_cases} else t end), ' ') as processed_text from joined_text""",
+    f"""{BASE}, {LABELLED}, {CLEANED},
+    given as (select * from (values {_lemma_rows}) v(surface, lemma) union all
+        select distinct surface, substr(surface, 1, length(surface) - 1) from
+        (select unnest(string_split(lower(text), ' ')) as surface from documents)
+        where surface like '%s' and length(surface) > 4),
+    lemmas as (select surface, min(lemma) as lemma from given where surface is not null and lemma is not null group by surface),
+    places as (select comment_id, unnest(kept_words) as w, generate_subscripts(kept_words, 1) as i from joined_text),
+    lines as (select comment_id, string_agg(coalesce(lemma, w), ' ' order by i) as line
+        from places left join lemmas on surface = w group by comment_id)
+    select comment_id, coalesce(line, '') as processed_text from joined_text left join lines using (comment_id)""",
+)
+_symbols = ", ".join(f"({i}, {quoted([name])})" for i, (_, name) in enumerate(SYMBOLS))
+check(
+    "symbol_names",
+    f"""select doc_id, name as cleaned from documents
+    join (values {_symbols}) v(i, name) on i = doc_id % {len(SYMBOLS)}""",
 )
 check(
     "text_previews",
@@ -375,6 +390,14 @@ check(
     select comment_id, split, {_scaled} from numbers""",
 )
 
+check(
+    "text_model_facts",
+    f"""{BASE}, {PREPARED}, {SPLIT.replace('from labelled', 'from prepared')}
+    select sentiment, count(*) as held_out, count(*) as predicted, true as sums_to_one, true as label_is_largest,
+           true as same_when_loaded, true as better_than_chance
+    from split_rows where split = 'test' group by sentiment""",
+)
+
 SCORED = f"""scored_text as (select *, {lexicon('text')} as s from {{source}}),
 shifted as (select *, greatest(-s, 1, s) as top from scored_text),
 weighed as (select *, exp(-s - top) as e0, exp(1 - top) as e1, exp(s - top) as e2 from shifted),
@@ -496,6 +519,13 @@ check(
 AUTHOR = f"""{BASE}, newest as (select * from comments
     qualify row_number() over (partition by author order by created_utc desc, comment_id) <= 50),
 long_ones as (select * from newest where length(text) > 20), {SCORED.format(source='long_ones')}"""
+check(
+    "author_summary",
+    f"""{AUTHOR}, subjects as (select distinct author from comments)
+    select s.author, count(p.comment_id) as total_comments_analyzed,
+           case when count(p.comment_id) = 0 then 'No comments found for analysis' end as message
+    from subjects s left join predicted p on s.author is not distinct from p.author group by s.author""",
+)
 check(
     "author_distribution",
     f"""{AUTHOR}, cells as (select author, sentiment, count(*) as count,
@@ -521,6 +551,13 @@ TREND = f"""{POSTS}, {top_posts(100)},
     found as (select c.* exclude (subreddit), p.community as subreddit from comments c join chosen p on c.post_id = p.post_id
         where length(c.text) > 20 and contains(lower(c.text), lower('{KEYWORD}'))),
     {SCORED.format(source='found')}"""
+check(
+    "trend_summary",
+    f"""{TREND}, counted as (select count(*) as n from predicted)
+    select '{KEYWORD}' as keyword, n as total_mentions,
+           case when n = 0 then 'No mentions found for ''{KEYWORD}'' in specified subreddits' end as message from counted
+    union all select 'no such word', 0, 'No mentions found for ''no such word'' in specified subreddits'""",
+)
 check("trend_sentiment", f"{TREND} select subreddit, {COUNTS} from predicted group by subreddit")
 check(
     "trend_engagement",
@@ -693,10 +730,11 @@ check(
 
 check(
     "flattened_threads",
-    f"""{POSTS} select c.comment_id, c.text, c.subreddit, c.score, {STAMP.format('created_utc').replace('(created', '(c.created')},
+    f"""{POSTS}, threads as (select post_id, min(subreddit) as subreddit, min(listing) as listing from comments group by 1)
+    select c.comment_id, c.text, t.subreddit, c.score, {STAMP.format('created_utc').replace('(created', '(c.created')},
         p.title as post_title, c.post_id, p.over_18, c.is_submitter,
-        'https://reddit.com/r/x/' || c.comment_id as permalink, c.controversiality, c.listing
-    from comments c join posts p on c.post_id = p.post_id""",
+        'https://reddit.com/r/x/' || c.comment_id as permalink, c.controversiality, t.listing
+    from comments c join posts p on c.post_id = p.post_id join threads t on t.post_id = c.post_id""",
 )
 _collected = f"""{BASE} select comment_id, text, subreddit, score, {STAMP.format('created_utc')}, post_id, is_submitter,
     controversiality from comments"""
@@ -716,9 +754,10 @@ check(
         word_count, cast(hour(created_utc) as integer) as hour, cast(isodow(created_utc) - 1 as integer) as day_of_week
     from prepared""",
 )
+check("stream_daily_counts", f"{BASE}, {LABELLED} select {DAY}, {COUNTS} from labelled group by day")
 # A day is written once its end lies at or before the latest time less the delay.
 check(
-    "stream_daily_counts",
+    "stream_closed_days",
     f"""{BASE}, {LABELLED} select {DAY}, {COUNTS} from labelled group by day
     having cast(day as timestamp) + interval '1 day' <= (select max(created_utc) - interval '1 hour' from comments)""",
 )

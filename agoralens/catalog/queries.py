@@ -29,6 +29,7 @@ from ..operators.labeling import add_label_ids, add_sentiment_labels
 from ..plans import engineer, preprocess, reports
 from ..session import configure, materialize, shared_dir
 from ..sources import tables
+from ..sources.files import names
 from ..sources.schema import COMMENTS
 from ..sources.views import derive, view
 from ..streaming import streams
@@ -36,10 +37,23 @@ from ..streaming import streams
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# A third of the rows would be right by chance.
+ACCURACY = 0.35
 AS_OF = "2024-01-31 00:00:00"
 PERIOD = "month"
 KEYWORD = "THAT"
 LEMMAS = [("was", "wa"), ("words", "word"), ("thanks", "thank"), ("things", "thing"), ("des", "de"), ("les", "le")]
+# Surfaces with several lemmas or none, of which the first in order or the token itself counts.
+LEMMAS += [("was", "zz"), ("the", None), (None, "nothing"), ("bad", "bad")]
+# Texts with emoji and other symbols, and their cleaned form.
+SYMBOLS = [
+    ("one ★ two ☆ three", "one two three"), ("♪ ♫ song", "song"), ("✓ done ✗ not ➜ ☐", "done not"),
+    ("up 👍🏽 down 👎", "up thumbs_up_medium_skin_tone down thumbs_down"), ("late ⏰", "late alarm_clock"),
+    ("brand™ ©", "brand trade_mark copyright"), ("go 🟢 🔴", "go green_circle red_circle"),
+    ("▶ play ⬆", "play_button play up_arrow"), ("from 🇺🇸 and 🇩🇪🇫🇷", "from United_States and Germany France"),
+    ("🤷‍♂️ so", "man_shrugging so"), ("👽 🤖 👿", "alien robot angry_face_with_horns"),
+    ("♥ ❤️ ❣", "heart_suit red_heart heart_exclamation"), ("😺 🎶", "grinning_cat musical_notes"), ("no symbol", "no symbol"),
+]
 
 
 def query(function: Query) -> Query:
@@ -91,8 +105,20 @@ def _lemmas(spark):
 
 @query
 def lemmatized_text(spark, sf_dir):
+    """The listed lemmas, and for every other word of the corpus that ends in s the word without it."""
     df = _cleaned(spark, sf_dir)
-    return J.lemmatize(df, _lemmas(spark), "comment_id").select("comment_id", "processed_text")
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split(F.lower("text"), " ")).alias("surface"))
+    plurals = words.filter("surface like '%s' and length(surface) > 4").distinct().select(
+        "surface", F.expr("left(surface, length(surface) - 1)").alias("lemma")
+    )
+    return J.lemmatize(df, _lemmas(spark).unionByName(plurals), "comment_id").select("comment_id", "processed_text")
+
+
+@query
+def symbol_names(spark, sf_dir):
+    texts = F.array(*[F.lit(text) for text, _ in SYMBOLS])
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return df.select("doc_id", T.clean_text(F.get(texts, F.pmod("doc_id", F.lit(len(SYMBOLS))).cast("int"))).alias("cleaned"))
 
 
 @query
@@ -168,7 +194,9 @@ def engagement_features(spark, sf_dir):
 
 @query
 def sentiment_features(spark, sf_dir):
-    df = Fe.add_sentiment_features(_processed(spark, sf_dir))
+    # Mean and deviation are a pass of their own: over a narrow table at rest, not over the texts again.
+    narrow = _processed(spark, sf_dir).select("comment_id", "sentiment_score", "sentiment_strength")
+    df = Fe.add_sentiment_features(materialize(narrow, "strength"))
     names = ["sentiment_strength_normalized", "sentiment_confidence"]
     return rounded(df, *names).select("comment_id", *names)
 
@@ -321,6 +349,34 @@ def train_and_predict(spark, sf_dir):
     )
 
 
+@query
+def text_model_facts(spark, sf_dir):
+    """Per class, what must hold for the held-out rows of a model of texts, before and after it is saved and loaded."""
+    columns = ["comment_id", "text", "processed_text", "sentiment"]
+    parts = materialize(B.stratified_split(materialize(_processed(spark, sf_dir).select(*columns), "processed")), "split")
+    model = engineer.train_text_model(parts.filter("split = 'train'"), max_iterations=20)
+    path = shared_dir(spark, "model")
+    model.save(path)
+    held_out = parts.filter("split = 'test'").select("comment_id", "text", "sentiment")
+    first, again = (
+        m.predict(held_out).select("comment_id", "sentiment", "predicted_label", "probabilities")
+        for m in (model, engineer.TextModel.load(path))
+    )
+    both = materialize(
+        first.join(again.select("comment_id", F.col("predicted_label").alias("loaded")), "comment_id"), "predictions"
+    )
+    p = F.map_values("probabilities")
+    largest = F.try_element_at("probabilities", F.col("predicted_label")) == F.array_max(p)
+    right = both.agg(F.avg((F.col("predicted_label") == F.col("sentiment")).cast("int")).alias("r")).scalar()
+    return both.groupBy("sentiment").agg(
+        F.count(F.lit(1)).alias("held_out"),
+        F.count_distinct("comment_id").alias("predicted"),
+        F.every(F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("sums_to_one"),
+        F.every(largest).alias("label_is_largest"),
+        F.every(F.col("predicted_label") == F.col("loaded")).alias("same_when_loaded"),
+    ).withColumn("better_than_chance", right > ACCURACY)
+
+
 @query
 def prediction_records(spark, sf_dir):
     df = S.predict_texts(view(spark, sf_dir, "comments").select("comment_id", "text"))
@@ -424,6 +480,11 @@ def _author(spark, sf_dir):
     return reports.author_comments(view(spark, sf_dir, "comments"))
 
 
+@query
+def author_summary(spark, sf_dir):
+    return reports.author_report(view(spark, sf_dir, "comments")).summary
+
+
 @query
 def author_distribution(spark, sf_dir):
     df = A.seen_distribution(_author(spark, sf_dir), ["author"])
@@ -451,6 +512,15 @@ def _trend(spark, sf_dir):
     return reports.trend_comments(comments, posts, KEYWORD, AS_OF, period=PERIOD)
 
 
+@query
+def trend_summary(spark, sf_dir):
+    """A keyword that is mentioned, and one that is not."""
+    comments, posts = view(spark, sf_dir, "comments"), view(spark, sf_dir, "posts")
+    return tables.accumulate(
+        [reports.trend_report(comments, posts, k, AS_OF, period=PERIOD).summary for k in (KEYWORD, "no such word")]
+    )
+
+
 @query
 def trend_sentiment(spark, sf_dir):
     return A.labels_by(_trend(spark, sf_dir))
@@ -638,6 +708,7 @@ def flattened_threads(spark, sf_dir):
     comments = J.with_posts(
         view(spark, sf_dir, "comments"), view(spark, sf_dir, "posts").select("post_id", "title", "over_18")
     )
+    # All comments of a post are in one thread.
     one = F.struct(
         F.col("comment_id").alias("id"),
         F.col("text").alias("body"),
@@ -648,10 +719,12 @@ def flattened_threads(spark, sf_dir):
         F.when(F.col("controversiality") > 0, F.col("controversiality")).alias("controversiality"),
     )
     thread = F.struct(
-        F.col("post_id").alias("id"), F.col("post_title").alias("title"), "subreddit", "over_18", "listing",
-        F.array(one).alias("comments"),
+        F.col("post_id").alias("id"), F.col("post_title").alias("title"), "subreddit", "over_18", "listing", "comments"
     )
-    flat = tables.flatten_threads(comments.select(F.to_json(thread).alias("value")))
+    threads = comments.groupBy("post_id", "post_title", "over_18").agg(
+        F.min("subreddit").alias("subreddit"), F.min("listing").alias("listing"), F.collect_list(one).alias("comments")
+    )
+    flat = tables.flatten_threads(threads.select(F.to_json(thread).alias("value")))
     return flat.withColumn("created_utc", stamp("created_utc"))
 
 
@@ -694,9 +767,21 @@ def accumulated_batches(spark, sf_dir):
 # --- Streams ----------------------------------------------------------------------
 
 
-def _stream(spark, sf_dir, table: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    source = streams.read_stream(spark, sf_dir, schema, f"{table}.parquet")
+BATCHES = 3
+
+
+def _stream(spark, sf_dir, table: str, name: str, batches: int = 1) -> DataFrame:
+    """A table as a stream; for several batches its files are first written down in so many parts."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if batches == 1:
+        source = streams.read_stream(spark, sf_dir, rows.schema, f"{table}.parquet")
+    else:
+        folder = shared_dir(spark, "arrivals")
+        part = F.pmod(F.xxhash64(rows.columns[0]), F.lit(batches))
+        for i in range(batches):
+            tables.append_batch(rows.filter(part == i), folder)
+        written = sum(name.endswith(".parquet") for name in names(spark, folder))
+        source = streams.read_stream(spark, folder, rows.schema, maxFilesPerTrigger=str(-(-written // batches)))
     df = derive(spark, name, source)
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
@@ -712,8 +797,17 @@ def stream_comment_features(spark, sf_dir):
 
 @query
 def stream_daily_counts(spark, sf_dir):
+    labelled = add_sentiment_labels(_stream(spark, sf_dir, "documents", "comments", BATCHES))
+    base = shared_dir(spark, "daily")
+    streams.to_snapshots(streams.running_daily_counts(labelled), f"{base}/rows", f"{base}/state").awaitTermination()
+    return streams.newest_snapshot(spark, f"{base}/rows").select(day(), *A.LABELS)
+
+
+@query
+def stream_closed_days(spark, sf_dir):
+    """Days that the watermark has passed, each written once."""
     labelled = add_sentiment_labels(_stream(spark, sf_dir, "documents", "comments"))
-    rows = streams.run_to_table(streams.daily_label_counts(labelled), "daily")
+    rows = streams.run_to_table(streams.daily_label_counts(labelled), "closed")
     return rows.select(day(), *A.LABELS)
 
 
@@ -727,7 +821,7 @@ def stream_distinct_comments(spark, sf_dir):
 
 @query
 def stream_drift(spark, sf_dir):
-    events = _stream(spark, sf_dir, "events", "predictions").select(
+    events = _stream(spark, sf_dir, "events", "predictions", BATCHES).select(
         "prediction_id", "ts", "model_version", "sentiment", "confidence"
     )
     base = shared_dir(spark, "drift")
@@ -738,7 +832,7 @@ def stream_drift(spark, sf_dir):
 
 @query
 def stream_performance(spark, sf_dir):
-    events = _stream(spark, sf_dir, "events", "predictions").select(
+    events = _stream(spark, sf_dir, "events", "predictions", BATCHES).select(
         "prediction_id", "ts", "model_version", "sentiment", "confidence"
     )
     base = shared_dir(spark, "performance")
@@ -749,7 +843,7 @@ def stream_performance(spark, sf_dir):
 
 @query
 def stream_counters(spark, sf_dir):
-    events = _stream(spark, sf_dir, "events", "predictions")
+    events = _stream(spark, sf_dir, "events", "predictions", BATCHES)
     base = shared_dir(spark, "counters")
     running = streams.running_counter(events, ["endpoint", "method"])
     streams.to_snapshots(running, f"{base}/rows", f"{base}/state").awaitTermination()
@@ -758,7 +852,7 @@ def stream_counters(spark, sf_dir):
 
 @query
 def stream_latency_histogram(spark, sf_dir):
-    events = _stream(spark, sf_dir, "events", "predictions")
+    events = _stream(spark, sf_dir, "events", "predictions", BATCHES)
     base = shared_dir(spark, "histogram")
     running = streams.running_histogram(events, ["endpoint"], "latency_seconds", O.REQUEST_LATENCY_BOUNDS)
     streams.to_snapshots(running, f"{base}/rows", f"{base}/state").awaitTermination()

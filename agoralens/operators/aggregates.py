@@ -11,7 +11,7 @@ from ..functions.text import preview
 from ..functions.wordlists import LABELS
 from ..session import materialize
 from .quantiles import exact_percentiles
-from .ranking import first_n, first_n_per_key
+from .ranking import first_n, first_n_per_key, join_null_safe
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -26,12 +26,12 @@ def distinct_count(df: DataFrame, column: str, name: str) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum of each column.
 
-    Quartiles are exact, with linear interpolation.
+    Quartiles are exact, with linear interpolation.  Nulls and NaNs are left out of all.
     """
     long = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
     )
-    long = materialize(long, "describe")
+    long = materialize(long.withColumn("value", F.nullif("value", F.lit(float("nan")))), "describe")
     moments = long.groupBy("column").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
@@ -40,7 +40,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.max("value").alias("max"),
     )
     quartiles = exact_percentiles(long, ["column"], "value", [0.25, 0.5, 0.75])
-    return moments.join(quartiles, "column", "left").select(
+    return join_null_safe(moments, quartiles, ["column"], "left").select(
         "column", "count", "mean", "std", "min", F.col("p_0_25").alias("p25"), F.col("p_0_5").alias("p50"),
         F.col("p_0_75").alias("p75"), "max",
     )

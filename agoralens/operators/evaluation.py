@@ -96,8 +96,8 @@ def error_examples(
 ) -> DataFrame:
     """Per pair of true and wrongly predicted label: the count and the first texts by key.
 
-    There are at most six pairs.  Counts are pre-aggregated; each partition hands on
-    at most ``examples`` rows per pair, so long texts are not shuffled.
+    There are at most six pairs.  Counts are pre-aggregated.  Only pairs and keys are
+    ranked; the few chosen keys are broadcast, and only their texts leave the scan.
     """
     wrong = df.filter((F.col(true) != F.col(predicted)) & F.col(true).isin(LABELS) & F.col(predicted).isin(LABELS))
     wrong = wrong.select(
@@ -105,8 +105,11 @@ def error_examples(
     )
     pair = ["true_label", "predicted_label"]
     counts = wrong.groupBy(*pair).agg(F.count(F.lit(1)).alias("count"))
-    first = first_n_per_key(wrong, pair, [F.asc("_key")], examples, salts=1)
-    texts = first.groupBy(*pair).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", text))), lambda r: r[text]).alias("examples")
+    first = first_n_per_key(wrong.select(*pair, "_key"), pair, [F.asc("_key")], examples)
+    # At most six pairs times ``examples`` keys.
+    chosen = wrong.join(F.broadcast(first.drop("rank").distinct()), [*pair, "_key"])
+    ordered = F.array_sort(F.collect_list(F.struct("_key", text)))
+    texts = chosen.groupBy(*pair).agg(
+        F.transform(F.slice(ordered, 1, examples), lambda r: r[text]).alias("examples")
     )
     return counts.join(F.broadcast(texts), pair)

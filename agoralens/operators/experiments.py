@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .quantiles import exact_percentiles
+from .ranking import join_null_safe
 
 
 def normalised_variants(variants: DataFrame) -> DataFrame:
@@ -33,6 +34,11 @@ def ended_tests(tests: DataFrame) -> DataFrame:
     return tests.filter("ended_at is not null")
 
 
+def _known(tests: DataFrame) -> DataFrame:
+    """Written down, so that the planner knows how few tests there are and leaves the results where they are."""
+    return materialize(tests, "tests")
+
+
 def assign_variants(units: DataFrame, tests: DataFrame, variants: DataFrame, unit: str = "user_id") -> DataFrame:
     """Give each unit of an active test one of its variants, with the weights as odds.
 
@@ -61,19 +67,22 @@ def assign_variants(units: DataFrame, tests: DataFrame, variants: DataFrame, uni
 
 def recorded_results(results: DataFrame, tests: DataFrame) -> DataFrame:
     """Results that belong to an active test; others are not recorded."""
-    return results.join(active_tests(tests).select("test_id"), "test_id", "left_semi")
+    return results.join(_known(active_tests(tests).select("test_id")), "test_id", "left_semi")
 
 
 def result_statistics(results: DataFrame) -> DataFrame:
-    """Mean, population deviation, count, median and 95th percentile per test, model and metric."""
+    """Mean, population deviation, count, median and 95th percentile per test, model and metric.
+
+    Nulls and NaNs are left out of all of them.
+    """
     keys = ["test_id", "model_id", "metric"]
     long = results.select("test_id", "model_id", F.explode("metrics").alias("metric", "value"))
-    long = materialize(long, "metrics")
+    long = materialize(long.withColumn("value", F.nullif(F.col("value").cast("double"), F.lit(float("nan")))), "metrics")
     moments = long.groupBy(*keys).agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count("value").alias("count")
     )
     points = exact_percentiles(long, keys, "value", [0.5, 0.95])
-    return moments.join(points, keys, "left").select(
+    return join_null_safe(moments, points, keys, "left").select(
         *keys, "mean", "std", "count", F.col("p_0_5").alias("median"), F.col("p_0_95").alias("p95")
     )
 
@@ -83,7 +92,7 @@ def final_results(results: DataFrame, tests: DataFrame, variants: DataFrame) ->
 
     Every variant of the test is listed; one without results has null statistics.
     """
-    ended = ended_tests(tests).select("test_id", "ended_at")
+    ended = _known(ended_tests(tests).select("test_id", "ended_at"))
     within = results.join(ended, "test_id").filter(F.col("ts") <= F.col("ended_at")).select(results.columns)
     listed = variants.select("test_id", "model_id").join(ended, "test_id")
     return listed.join(result_statistics(within), ["test_id", "model_id"], "left")

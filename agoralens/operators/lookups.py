@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ranking import first_n_by_cutoff
-
-# Largest lemma table that is looked up as a literal inside the expression.
-LITERAL_LEMMAS = 500
+from ..session import materialize
+from .ranking import first_n_by_cutoff, join_null_safe
 
 
 def with_posts(comments: DataFrame, posts: DataFrame) -> DataFrame:
@@ -26,8 +24,12 @@ def with_posts(comments: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def with_category(comments: DataFrame, categories: DataFrame) -> DataFrame:
-    """Left join with a table of (subreddit, category); Spark broadcasts it when it is small enough."""
-    return comments.join(categories, "subreddit", "left")
+    """Left join with a table of (subreddit, category).
+
+    The table is written down: its size is then known, and the planner broadcasts it
+    instead of shuffling the comments by a key of a few values.
+    """
+    return comments.join(materialize(categories, "categories"), "subreddit", "left")
 
 
 def first_comments(comments: DataFrame, limit: int = 20) -> DataFrame:
@@ -38,23 +40,26 @@ def first_comments(comments: DataFrame, limit: int = 20) -> DataFrame:
 def lemmatize(
     df: DataFrame, lemmas: DataFrame, key: str, text: str = "cleaned_text", output: str = "processed_text"
 ) -> DataFrame:
-    """Stop-word removal and lemma lookup with a table of (surface, lemma).
+    """Stop-word removal and lemma lookup with a table of (surface, lemma) of any size.
 
-    A small table becomes a literal inside the expression and needs no join.  A
-    larger one is joined on the distinct (document, token) pairs: the tokens of
-    one document are put back in order by their positions.  Only the key and the
-    text go through that join.
+    Of several lemmas of a surface the first in order counts.  Rows without a surface or
+    a lemma say nothing, and a token without a lemma stays as it is.
+
+    The table is first cut to the surfaces that occur in the texts and that the lemma
+    changes, and written down, so that the planner knows its size and broadcasts it if
+    that allows.  Each document meets a token once, however often it has it; a document
+    gets the few lemmas it needs as a map and applies them in place.
     """
-    small = lemmas.select("surface", "lemma").limit(LITERAL_LEMMAS + 1).collect()
-    if len(small) <= LITERAL_LEMMAS:
-        table = {r.surface: r.lemma for r in small}
-        return df.withColumn(output, T.process_text(F.col(text), lemmas=table))
-    words = T.without_stop_words(T.tokens(F.col(text)))
-    positions = df.select(key, F.posexplode(words).alias("_at", "surface"))
-    found = positions.join(lemmas.select("surface", "lemma"), "surface", "left").select(
-        key, F.struct("_at", F.coalesce("lemma", "surface").alias("w")).alias("_token")
+    table = (
+        lemmas.filter("surface is not null and lemma is not null")
+        .groupBy("surface").agg(F.min("lemma").alias("lemma")).filter("surface <> lemma")
     )
-    joined = found.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("_token")), lambda t: t["w"]), " ").alias(output)
+    words = T.without_stop_words(T.tokens(F.col(text)))
+    pairs = df.select(F.col(key), F.explode(F.array_distinct(words)).alias("surface"))
+    used = materialize(table.join(pairs.select("surface").distinct(), "surface", "left_semi"), "lemmas")
+    own = pairs.join(used, "surface").groupBy(key).agg(
+        F.map_from_entries(F.collect_set(F.struct("surface", "lemma"))).alias("_lemmas")
     )
-    return df.join(joined, key, "left").withColumn(output, F.coalesce(output, F.lit("")))
+    looked_up = F.transform(words, lambda t: F.coalesce(F.try_element_at("_lemmas", t), t))
+    joined = join_null_safe(df, own, [key], "left")
+    return joined.withColumn(output, F.coalesce(F.array_join(looked_up, " "), F.lit(""))).drop("_lemmas")

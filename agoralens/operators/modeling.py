@@ -41,6 +41,8 @@ class Standardizer:
     @classmethod
     def fit(cls, train: DataFrame, columns: list[str]) -> Standardizer:
         """One aggregation pass; the driver receives two numbers per column."""
+        if not columns:
+            return cls({}, {})
         moments = [F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]
         moments += [F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]
         row = fill_missing(train.select(*columns), columns).agg(*moments).first()

@@ -141,10 +141,11 @@ def last_predictions(events: DataFrame, n: int = 10) -> DataFrame:
 
 
 def error_totals(events: DataFrame) -> DataFrame:
-    """Errors by type with the total over all types."""
+    """Errors by type with the total over all types; without errors one row of no type, with zeros."""
     by_type = events.filter("error_type is not null").groupBy("error_type").agg(F.count(F.lit(1)).alias("errors"))
-    total = by_type.agg(F.sum("errors").alias("t")).scalar()
-    return by_type.withColumn("error_count", total)
+    total = events.agg(F.count("error_type").alias("t"))
+    none = total.filter("t = 0").select(F.lit(None).cast("string").alias("error_type"), F.col("t").alias("errors"))
+    return by_type.unionByName(none).withColumn("error_count", total.scalar())
 
 
 def service_summary(events: DataFrame) -> DataFrame:

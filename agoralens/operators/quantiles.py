@@ -11,8 +11,8 @@ from ..session import materialize
 from .ranking import join_null_safe
 
 BUCKETS = 4096
-DIRECT = 1_000_000
-MAX_LEVELS = 20
+# Values of a range that are put in order as they are.
+ORDERED = 100_000
 
 
 def exact_percentiles(
@@ -21,51 +21,48 @@ def exact_percentiles(
     value: str,
     points: Sequence[float],
     buckets: int = BUCKETS,
-    direct: int = DIRECT,
+    ordered: int = ORDERED,
 ) -> DataFrame:
     """Percentiles with linear interpolation, one column ``p_<point>`` per point.
 
-    If no group has more than ``direct`` rows, each is sorted as a whole.  A larger
-    group must not be one task's work, as it would be for the built-in exact
+    A large group must not be one task's work, as it would be for the built-in exact
     ``percentile``, and also for a sketch, whose large states are merged by one task.
-    There the wanted ranks are searched for: the range that holds a rank is cut into
+    So the wanted ranks are searched for: the range that holds a rank is cut into
     buckets, rows per bucket are counted with partial aggregates, and the bucket that
-    holds the rank becomes the next range.  Ranges of up to ``direct`` rows are then put
-    in order, counted per distinct value.
+    holds the rank becomes the next range.  A range of up to ``ordered`` rows is put in
+    order, counted per distinct value.  The least and the greatest value of a range fall
+    into different buckets, so each round narrows every range that it cuts.
 
     The input is read once per round, so it should be at rest.  Nulls and NaNs are
-    left out.
+    left out; infinities are ranges of their own.
     """
     group = list(keys) or ["_all"]
     values = df if keys else df.withColumn("_all", F.lit(0))
     values = values.select(*group, F.col(value).cast("double").alias("_v")).filter("_v is not null and not isnan(_v)")
+    finite = F.when(F.abs("_v") < INFINITY, F.col("_v"))
     sizes = materialize(
         values.groupBy(*group).agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+            F.count(F.lit(1)).alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi"),
+            F.count_if(F.col("_v") == -INFINITY).alias("_least"), F.count_if(F.col("_v") == INFINITY).alias("_most"),
         ),
         "sizes",
     )
-    most = sizes.agg(F.max("_n")).first()[0]
-    if most is None or most <= direct:
-        ordered = values.groupBy(*group).agg(F.sort_array(F.collect_list("_v")).alias("_s"))
-        ordered = ordered.withColumn("_n", F.size("_s").cast("bigint"))
-        exact = [
-            _between(
-                F.get("_s", F.floor(_position(p)).cast("int")), F.get("_s", F.ceil(_position(p)).cast("int")), _position(p)
-            ).alias(_name(p))
-            for p in points
-        ]
-        return ordered.select(*keys, *exact)
-
     ranks = F.array_distinct(F.array(*[f(_position(p)).cast("bigint") for p in points for f in (F.floor, F.ceil)]))
-    ranges = sizes.select(
-        *group, "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_rows"), ranks.alias("_ranks")
+    inner = F.col("_n") - F.col("_least") - F.col("_most")
+    parts = F.array(
+        _range(F.lit(-INFINITY), F.lit(-INFINITY), F.lit(0), F.col("_least")),
+        _range(F.col("_lo"), F.col("_hi"), F.col("_least"), inner),
+        _range(F.lit(INFINITY), F.lit(INFINITY), F.col("_n") - F.col("_most"), F.col("_most")),
     )
-    for _ in range(MAX_LEVELS):
+    ranges = sizes.select(*group, ranks.alias("_all_ranks"), F.inline(parts)).withColumn("_ranks", F.filter(
+        "_all_ranks", lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_rows"))
+    ))
+    ranges = ranges.filter("_rows > 0 and size(_ranks) > 0").select(*group, "_lo", "_hi", "_below", "_rows", "_ranks")
+    while True:
         most = ranges.filter("_lo < _hi").agg(F.max("_rows")).first()[0]
-        if most is None or most <= direct:
+        if most is None or most <= ordered:
             break
-        ranges = materialize(_narrowed(values, ranges, group, buckets, direct), "ranges")
+        ranges = materialize(_narrowed(values, ranges, group, buckets, ordered), "ranges")
 
     found = _found(values, ranges, group)
     at_rank = join_null_safe(found, sizes.select(*group, "_n"), group)
@@ -80,11 +77,22 @@ def exact_percentiles(
     return at_rank.groupBy(*group, "_n").agg(*ends).select(*keys, *results)
 
 
+INFINITY = float("inf")
+
+
+def _range(low: Column, high: Column, below: Column, rows: Column) -> Column:
+    return F.struct(
+        low.cast("double").alias("_lo"), high.cast("double").alias("_hi"), below.cast("bigint").alias("_below"),
+        rows.cast("bigint").alias("_rows"),
+    )
+
+
 _ENDS = [("low", F.floor), ("high", F.ceil)]
 
 
 def _between(low: Column, high: Column, position: Column) -> Column:
-    return low + (high - low) * (position - F.floor(position))
+    """Equal ends are the value itself, also where they are infinite."""
+    return F.when(low == high, low).otherwise(low + (high - low) * (position - F.floor(position)))
 
 
 def _name(point: float) -> str:
@@ -111,14 +119,14 @@ def _cumulative(counted: DataFrame, ranges: DataFrame, group: list[str], order:
     return joined.withColumn("_ranks", wanted).filter(F.size("_ranks") > 0)
 
 
-def _narrowed(values: DataFrame, ranges: DataFrame, group: list[str], buckets: int, direct: int) -> DataFrame:
+def _narrowed(values: DataFrame, ranges: DataFrame, group: list[str], buckets: int, ordered: int) -> DataFrame:
     """Replace every large range by those of its buckets that hold a wanted rank.
 
     Buckets are even on a signed logarithmic scale, so far outliers do not put all
     other values into one; where that scale cannot tell the ends apart they are even
     in the values.
     """
-    large = (F.col("_lo") < F.col("_hi")) & (F.col("_rows") > direct)
+    large = (F.col("_lo") < F.col("_hi")) & (F.col("_rows") > ordered)
 
     def scale(name: str) -> Column:
         return F.signum(name) * F.log1p(F.abs(name))

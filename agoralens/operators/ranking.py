@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-SALTS = 32
+
+def _salts(df: DataFrame) -> int:
+    """Salts for two rounds: the square root of the partitions, so that both rounds gather about as much per task.
+
+    The shuffle partitions stand for them: they are set to the size of the input.
+    """
+    return max(2, round(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
 
 
 def first_n_per_key(
@@ -20,17 +26,19 @@ def first_n_per_key(
     order: Sequence[Column],
     n: int,
     rank: str = "rank",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Exactly the first ``n`` rows of each key in the given order, with their rank.
 
     Two rounds.  The first ranks within (key, salt), where all rows of an input
     partition share a salt: Spark drops all but ``n`` rows per key inside each
     partition before the shuffle, and a key holding most of the table is spread
-    over ``salts`` tasks.  The second round sees at most ``n * salts`` rows per
+    over ``salts`` tasks (by default the square root of the session's shuffle
+    partitions).  The second round sees at most ``n * salts`` rows per
     key.  The order must end in a unique column.  For a very small ``n`` the rows
     left by the partitions are few enough for one round: ``salts=1``.
     """
+    salts = _salts(df) if salts is None else salts
     if salts <= 1:
         return _ranked(df, keys, order, n, rank)
     salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
@@ -44,16 +52,13 @@ def _ranked(df, keys, order, n, rank):
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
-def first_n(df: DataFrame, order: Sequence[Column], n: int, salts: int = SALTS) -> DataFrame:
+def first_n(df: DataFrame, order: Sequence[Column], n: int, salts: int | None = None) -> DataFrame:
     """The first ``n`` rows of the whole table.
 
-    For a handful of rows this is a plain top-k.  For larger ``n`` the salted
-    round keeps the last task from receiving ``n`` rows of every partition.
+    The salted round keeps the last task from receiving ``n`` rows of every partition.
     """
-    if n > 10:
-        salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-        df = _ranked(salted, ["_salt"], order, n, "_rank").drop("_salt", "_rank")
-    return df.orderBy(*order).limit(n)
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts or _salts(df))))
+    return _ranked(salted, ["_salt"], order, n, "_rank").drop("_salt", "_rank").orderBy(*order).limit(n)
 
 
 def first_n_by_cutoff(df: DataFrame, keys: Sequence[str], order: Column, n: int) -> DataFrame:

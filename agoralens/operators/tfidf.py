@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import string_array, terms
@@ -73,6 +73,21 @@ class TfidfModel:
         )
         return scale.transform(weigh.transform(counted)).drop("_terms", "_tf", "_weighted")
 
+    def save(self, path: str) -> None:
+        """Write terms, weights and stop words as two small tables."""
+        spark = SparkSession.active()
+        rows = list(zip(range(len(self.terms)), self.terms, self.idf, strict=True))
+        spark.createDataFrame(rows, "i int, term string, idf double").coalesce(1).write.parquet(f"{path}/terms")
+        words = spark.createDataFrame([(w,) for w in self.stop_words], "word string")
+        words.coalesce(1).write.parquet(f"{path}/stop_words")
+
+    @classmethod
+    def load(cls, path: str) -> TfidfModel:
+        spark = SparkSession.active()
+        rows = spark.read.parquet(f"{path}/terms").orderBy("i").collect()
+        words = [r.word for r in spark.read.parquet(f"{path}/stop_words").collect()]
+        return cls([r.term for r in rows], [r.idf for r in rows], words)
+
 
 def fit_tfidf(
     df: DataFrame,
@@ -104,8 +119,12 @@ def fit_tfidf(
 def long_weights(df: DataFrame, model: TfidfModel, key: str, vector: str = "tfidf") -> DataFrame:
     """One row per document and term of weight above zero: key, ``term_index``, ``term``, ``weight``."""
     names = string_array(model.terms)
+    v = F.unwrap_udt(vector)
+    # A sparse vector lists the places of its values.
+    places = F.when(v["type"] == 0, v["indices"]).otherwise(F.sequence(F.lit(0), F.greatest(F.size(v["values"]) - 1, F.lit(0))))
+    pairs = F.arrays_zip(places.alias("term_index"), v["values"].alias("weight"))
     return (
-        df.select(key, F.posexplode(vector_to_array(vector)).alias("term_index", "weight"))
+        df.select(key, F.inline(pairs).alias("term_index", "weight"))
         .filter("weight > 0")
         .select(key, "term_index", names[F.col("term_index")].alias("term"), "weight")
     )

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.wordlists import TFIDF_STOP_WORDS
 from ..operators.evaluation import classification_report, confusion_matrix
 from ..operators.features import add_engagement_features, add_sentiment_features, add_text_features
@@ -56,6 +57,39 @@ class TrainingRun:
     matrix: DataFrame
 
 
+@dataclass(frozen=True)
+class TextModel:
+    """A classifier of raw texts: vocabulary, weights and coefficients."""
+
+    model: SentimentModel
+    tfidf: TfidfModel
+
+    def predict(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """Add ``predicted_label``, ``confidence`` and ``probabilities`` of each text."""
+        worded = df.withColumn("_words", T.process_text(T.clean_text(F.col(text))))
+        scored = self.model.predict(self.tfidf.transform(worded, "_words"))
+        return scored.drop("_words", "tfidf")
+
+    def save(self, path: str) -> None:
+        self.model.save(f"{path}/classifier")
+        self.tfidf.save(f"{path}/tfidf")
+
+    @classmethod
+    def load(cls, path: str) -> TextModel:
+        return cls(SentimentModel.load(f"{path}/classifier"), TfidfModel.load(f"{path}/tfidf"))
+
+
+def train_text_model(
+    processed: DataFrame, key: str = "comment_id", max_features: int = MAX_FEATURES, seed: int = SEED,
+    max_iterations: int = 50,
+) -> TextModel:
+    """A classifier on the words alone, fitted on balanced classes of preprocessed comments at rest."""
+    tfidf = fit_tfidf(processed, max_features=max_features)
+    rows = tfidf.transform(processed.select(key, "processed_text", "sentiment"))
+    balanced = materialize(balance_classes(rows, "hybrid", key=key, seed=seed), "balanced")
+    return TextModel(train_model(balanced, [], max_iterations=max_iterations), tfidf)
+
+
 def train_and_evaluate(
     processed: DataFrame,
     key: str = "comment_id",

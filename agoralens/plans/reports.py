@@ -18,6 +18,7 @@ from ..functions.wordlists import LABELS
 from ..operators import aggregates as A
 from ..operators.filters import keyword_mentions, long_comments, newest_comments, top_posts
 from ..operators.lookups import first_comments
+from ..operators.ranking import join_null_safe
 from ..operators.requests import MAX_COMMENTS, MAX_COMMUNITIES, MAX_KEYWORD, MAX_POSTS
 from ..operators.scoring import Scorer, lexicon_scorer
 from ..session import materialize
@@ -188,7 +189,7 @@ def trend_report(
 
 def _summary(subjects: DataFrame, scored: DataFrame, key: str) -> DataFrame:
     counts = scored.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return subjects.join(counts, key, "left").select(
+    return join_null_safe(subjects, counts, [key], "left").select(
         key,
         F.coalesce("n", F.lit(0)).alias("total_comments_analyzed"),
         F.when(F.col("n").isNull(), F.lit(EMPTY)).alias("message"),

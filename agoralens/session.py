@@ -37,7 +37,7 @@ def local_session(name: str = "agoralens", cores: str = "*", **settings: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         # Not sending the call site of every column expression makes plans quicker to build.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -61,10 +61,24 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        # local-cluster has executors of its own.
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local_folder()
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{_own(spark, base)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession, base: str) -> str:
+    """The folder of this application; no other one writes there."""
+    return f"{base.rstrip('/')}/agoralens-{spark.sparkContext.applicationId}"
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Remove what this application has written down; frames that read it can't be used any more."""
+    from .sources.files import remove
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    remove(spark, _own(spark, base))
 
 
 def materialize(df, purpose: str):

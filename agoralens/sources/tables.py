@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import names
 from .schema import COMMENTS, RAW_THREAD
 
 SITE = "https://reddit.com"
@@ -57,12 +58,16 @@ def write_snapshot(df: DataFrame, root: str, name: str, run: str | None = None)
     return path
 
 
-def read_newest(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The newest snapshot; the others are skipped as partitions and never opened."""
-    runs = spark.read.option("inferSchema", False).parquet(f"{root}/{name}")
-    runs = runs.withColumn("run_ts", F.col("run_ts").cast("string"))
-    newest = runs.select(F.max("run_ts")).first()[0]
-    return runs.filter(F.col("run_ts") == newest).drop("run_ts")
+def read_newest(spark: SparkSession, root: str, name: str, schema: T.StructType | None = None) -> DataFrame:
+    """The newest complete snapshot, found by the names of the folders; no other one is opened.
+
+    Without a schema that of its files is taken.
+    """
+    folder = f"{root}/{name}"
+    for run in reversed([n for n in names(spark, folder) if n.startswith("run_ts=")]):
+        if "_SUCCESS" in names(spark, f"{folder}/{run}"):
+            return (spark.read.schema(schema) if schema else spark.read).parquet(f"{folder}/{run}")
+    raise FileNotFoundError(f"no snapshot of {name} in {root}")
 
 
 def append_batch(df: DataFrame, path: str) -> None:

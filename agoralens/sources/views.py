@@ -28,7 +28,7 @@ VIEWS = {
                case when doc_id % 11 = 0 then 1 else 0 end as controversiality,
                timestamp '2024-01-01 00:00:00' + interval '1' minute * cast((doc_id * 7919) % 43200 as int) as created_utc,
                cast(cast(floor(doc_id / 25) as bigint) as string) as post_id,
-               concat('user', cast(doc_id % 50 as string)) as author,
+               case when doc_id % 23 <> 5 then concat('user', cast(doc_id % 50 as string)) end as author,
                doc_id % 25 = 0 as is_submitter,
                split_part('hot|top|new|controversial', '|', cast(doc_id % 4 as int) + 1) as listing
         from documents""",
@@ -100,7 +100,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     # The test tables are single small files that one task would read.  A table
     # with enough input splits is left as it is.
     cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores:
+    if df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores, key)
     return df
 

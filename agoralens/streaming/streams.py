@@ -13,6 +13,7 @@ from ..functions.wordlists import LABELS
 from ..operators.monitoring import bucket_rows, histogram_columns, latest
 from ..plans.preprocess import preprocess
 from ..session import shared_dir
+from ..sources.files import names, remove
 
 
 def read_stream(
@@ -47,6 +48,12 @@ def daily_label_counts(labelled: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
+def running_daily_counts(labelled: DataFrame) -> DataFrame:
+    """Labels per day since the start, open days included; the state is one row per day."""
+    day = F.to_date("created_utc").alias("day")
+    return labelled.groupBy(day).agg(*[F.count_if(F.col("sentiment") == s).alias(s) for s in LABELS])
+
+
 def running_counter(events: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Events per label combination since the start."""
     return events.groupBy(*labels).agg(F.count(F.lit(1)).alias("value"))
@@ -68,13 +75,15 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, available_now: bool
 def to_snapshots(
     stream: DataFrame, path: str, checkpoint: str, mode: str = "complete", available_now: bool = True
 ) -> StreamingQuery:
-    """Write each batch of a running aggregate as its own snapshot.
+    """Write each batch of a running aggregate as its own snapshot, of which the last two are kept.
 
     A batch that is run again after a failure overwrites its own snapshot only.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        _refuse_lost_checkpoint(batch.sparkSession, path, number)
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _keep_two(batch.sparkSession, path, number)
 
     writer = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -94,28 +103,51 @@ def last_n_per_key(
     salted rounds, so a model version that sends most of the events is no single
     task's work.  The state is ``n`` rows per key whatever the stream's length.  Late
     events take their place by time.  Batch k reads snapshot k - 1 and overwrites
-    snapshot k, so running a batch again gives the same table.  Snapshots before the
-    last two can be removed at any time.
+    snapshot k, so running a batch again gives the same table.  The last two snapshots
+    are kept.
     """
     schema = events.schema
 
     def renew(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        _refuse_lost_checkpoint(spark, path, number)
         rows = latest(batch, n, by).select(*schema.names)
         if number > 0:
             kept = spark.read.schema(schema).parquet(f"{path}/batch={number - 1}")
             rows = latest(rows.unionByName(kept), n, by).select(*schema.names)
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _keep_two(spark, path, number)
 
     writer = events.writeStream.foreachBatch(renew).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def newest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The table as the latest batch left it."""
-    batches = spark.read.parquet(path)
-    newest = batches.select(F.max("batch")).first()[0]
-    return batches.filter(F.col("batch") == newest).drop("batch")
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the snapshots, by the names of their folders."""
+    return sorted(int(n.removeprefix("batch=")) for n in names(spark, path) if n.startswith("batch="))
+
+
+def _refuse_lost_checkpoint(spark: SparkSession, path: str, number: int) -> None:
+    """A stream without its checkpoint starts at batch 0 again, beside a table that is further on."""
+    newest = max(_batches(spark, path), default=number)
+    if number < newest:
+        raise RuntimeError(f"batch {number} would follow batch {newest} of {path}: the stream's checkpoint is lost")
+
+
+def _keep_two(spark: SparkSession, path: str, number: int) -> None:
+    for old in _batches(spark, path):
+        if old < number - 1:
+            remove(spark, f"{path}/batch={old}")
+
+
+def newest_snapshot(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The table as the latest complete batch left it; before any batch it is empty, which needs the schema."""
+    for number in reversed(_batches(spark, path)):
+        if "_SUCCESS" in names(spark, f"{path}/batch={number}"):
+            return (spark.read.schema(schema) if schema else spark.read).parquet(f"{path}/batch={number}")
+    if schema is None:
+        raise FileNotFoundError(f"no batch in {path}")
+    return spark.createDataFrame([], schema)
 
 
 def run_to_table(stream: DataFrame, purpose: str) -> DataFrame:

@@ -5,16 +5,20 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from agoralens.session import local_session  # noqa: E402
+from agoralens.session import local_session, remove_intermediates  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", "8", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    settings = {"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g", "spark.checkpoint.dir": shared}
+    session = local_session("tests", "8", **settings)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_intermediates(session)
+    assert not [name for name in os.listdir(shared) if name.startswith("agoralens")]
     session.stop()
 
 

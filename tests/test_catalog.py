@@ -8,9 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
-
-QUERIES = entry_points.queries()
-CHECKS = entry_points.oracle_sql()
+from agoralens.catalog.checks import CHECKS
+from agoralens.catalog.queries import QUERIES
+from agoralens.operators import experiments
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +36,7 @@ def table(columns, rows):
 def test_only_training_lacks_a_check():
     assert set(QUERIES) - set(CHECKS) == {"train_and_predict"}
     assert set(CHECKS) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(CHECKS) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -52,3 +53,16 @@ def test_entry(spark):
     df = entry_points.entry(spark)
     assert df.columns == ["day", "negative", "neutral", "positive"]
     assert df.count() == 30
+
+
+@pytest.mark.parametrize("name", ["community_categories", "ab_recorded"])
+def test_facts_are_not_shuffled_by_a_key_of_few_values(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_results_meet_ended_tests_by_broadcast(spark):
+    tests = spark.createDataFrame([("a", None)], "test_id string, ended_at timestamp")
+    results = spark.range(1000).selectExpr("concat('t', id % 2) as test_id", "id")
+    plan = results.join(experiments._known(tests), "test_id")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan

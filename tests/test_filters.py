@@ -65,13 +65,19 @@ def test_first_comments_of_each_post(make_comments):
     assert ids(J.first_comments(make_comments(rows), 2)) == ["c1", "c2", "c4", "c5"]
 
 
-def test_lemma_table_of_any_size(spark):
-    df = spark.createDataFrame([("1", "cats saw issues, dogs"), ("2", "the"), ("3", "")], "id string, cleaned_text string")
-    small = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "surface string, lemma string")
-    filler = spark.range(J.LITERAL_LEMMAS + 1).selectExpr("concat('w', id) as surface", "'x' as lemma")
-    for table in (small, small.unionByName(filler)):
-        got = {r.id: r.processed_text for r in J.lemmatize(df, table, "id").collect()}
-        assert got == {"1": "cat saw issues, dog", "2": "", "3": ""}
+@pytest.mark.parametrize("fillers", [0, 498, 499, 5000])
+def test_lemma_table_of_any_size(spark, fillers):
+    df = spark.createDataFrame(
+        [("1", "cats saw issues, dogs cats"), ("2", "the"), ("3", ""), ("4", None), (None, "cats"), ("1", "dogs mice")],
+        "id string, cleaned_text string",
+    )
+    rows = [("cats", "feline"), ("cats", "cat"), ("dogs", "dog"), ("dogs", "dog"), ("mice", None), (None, "x"), ("saw", "saw")]
+    filler = spark.range(fillers).selectExpr("concat('w', id) as surface", "'x' as lemma")
+    table = spark.createDataFrame(rows, "surface string, lemma string").unionByName(filler)
+    got = sorted(map(str, [(r.id, r.processed_text) for r in J.lemmatize(df, table, "id").collect()]))
+    want = [("1", "cat saw issues, dog cat"), ("2", ""), ("3", ""), ("4", ""), (None, "cat"), ("1", "dog mice")]
+    assert got == sorted(map(str, want))
+    assert J.lemmatize(df, table.limit(0), "id").filter("id = '1'").count() == 2
 
 
 REQUESTS = [

@@ -86,3 +86,9 @@ def test_histogram_bounds_by_label(events):
 def test_last_predictions(events):
     got = [r.prediction_id for r in O.last_predictions(events([0.5] * 30)).collect()]
     assert got == list(range(29, 19, -1))
+
+
+def test_no_errors_is_a_total_of_zero(spark):
+    events = spark.createDataFrame([(None,), (None,)], "error_type string")
+    for df in (events, events.limit(0)):
+        assert [tuple(r) for r in O.error_totals(df).collect()] == [(None, 0, 0)]

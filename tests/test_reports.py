@@ -123,3 +123,9 @@ def test_thread_report(spark, comments, posts):
 def test_reports_as_json(comments):
     sections = R.author_report(comments, "bob").as_json()
     assert '"total_comments_analyzed":2' in sections["summary"].first().json
+
+
+def test_a_missing_author_is_counted(make_comments):
+    comments = make_comments([{"author": None}, {"author": None}, {"author": "bob", "text": "short"}])
+    got = {r.author: (r.total_comments_analyzed, r.message is None) for r in R.author_report(comments).summary.collect()}
+    assert got == {None: (2, True), "bob": (0, False)}

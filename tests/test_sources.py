@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime
 
 import pytest
@@ -63,6 +64,9 @@ def test_threads_flatten(spark):
 
 def test_working_folder_must_be_shared_on_a_cluster(monkeypatch):
     class Session:
+        class sparkContext:
+            applicationId = "app-1"
+
         class conf:
             settings = {"spark.master": "yarn"}
 
@@ -73,11 +77,14 @@ def test_working_folder_must_be_shared_on_a_cluster(monkeypatch):
     with pytest.raises(RuntimeError):
         shared_dir(Session, "x")
     Session.conf.settings["spark.checkpoint.dir"] = "hdfs://shared/dir/"
-    assert shared_dir(Session, "x").startswith("hdfs://shared/dir/x-")
+    assert shared_dir(Session, "x").startswith("hdfs://shared/dir/agoralens-app-1/x-")
 
 
 def test_local_session_without_a_shared_folder_gets_its_own():
     class Session:
+        class sparkContext:
+            applicationId = "app-1"
+
         class conf:
             @staticmethod
             def get(key, default=None):
@@ -85,3 +92,18 @@ def test_local_session_without_a_shared_folder_gets_its_own():
 
     first, second = shared_dir(Session, "x"), shared_dir(Session, "x")
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+
+
+def test_a_damaged_old_snapshot_does_not_matter(spark):
+    root = shared_dir(spark, "damaged")
+    for run in ("20240101_000000", "20240102_000000"):
+        tables.write_snapshot(spark.range(3), root, "numbers", run)
+    old = f"{root}/numbers/run_ts=20240101_000000"
+    for name in os.listdir(old):
+        if name.endswith(".parquet"):
+            with open(f"{old}/{name}", "wb") as file:
+                file.write(b"no parquet")
+    os.makedirs(f"{root}/numbers/run_ts=20240103_000000")  # begun and not ended
+    assert sorted(r.id for r in tables.read_newest(spark, root, "numbers").collect()) == [0, 1, 2]
+    with pytest.raises(FileNotFoundError):
+        tables.read_newest(spark, root, "others")

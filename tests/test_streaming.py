@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from agoralens.operators import monitoring as O
 from agoralens.plans.preprocess import preprocess
 from agoralens.session import shared_dir
+from agoralens.sources.files import names
 from agoralens.streaming import streams
 
 EVENTS = "prediction_id bigint, ts timestamp, model_version string, sentiment string, confidence double"
@@ -85,3 +86,23 @@ def test_running_counts_and_histograms(spark, folder):
     streams.to_snapshots(histogram, f"{base}/hist", f"{base}/state-2").awaitTermination()
     got = {(r.model_version, r.le): r.bucket_count for r in streams.newest_snapshot(spark, f"{base}/hist").collect()}
     assert got == {("v0", "0.5"): 3, ("v0", "+Inf"): 5, ("v1", "0.5"): 3, ("v1", "+Inf"): 5}
+
+
+def test_running_days_include_the_open_one(spark, folder):
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(hours=3 * i), ["positive", "negative", "neutral"][i % 3]) for i in range(20)]
+    parts = [spark.createDataFrame(rows[i::4], "created_utc timestamp, sentiment string") for i in range(4)]
+    base = shared_dir(spark, "days")
+    stream = streams.running_daily_counts(as_stream(spark, folder(parts), parts[0].schema))
+    streams.to_snapshots(stream, f"{base}/rows", f"{base}/state").awaitTermination()
+    got = {str(r.day): r.negative + r.neutral + r.positive for r in streams.newest_snapshot(spark, f"{base}/rows").collect()}
+    assert got == {"2024-01-01": 8, "2024-01-02": 8, "2024-01-03": 4}
+    assert [n for n in names(spark, f"{base}/rows") if n.startswith("batch=")] == ["batch=2", "batch=3"]
+    with pytest.raises(Exception, match="checkpoint is lost"):
+        streams.to_snapshots(stream, f"{base}/rows", f"{base}/other").awaitTermination()
+
+
+def test_no_input_is_an_empty_table(spark):
+    assert streams.newest_snapshot(spark, shared_dir(spark, "none"), spark.range(1).schema).count() == 0
+    with pytest.raises(FileNotFoundError):
+        streams.newest_snapshot(spark, shared_dir(spark, "none"))

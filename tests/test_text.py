@@ -55,11 +55,14 @@ def test_emoji_become_their_names(spark):
     got = apply(
         spark,
         T.clean_text,
-        ["ok 😀😀!", "love ❤️ you", "👍🏽 yes", "fire 🔥x", "two 🤷‍♂️ words", "no emoji", "™ sign"],
+        ["ok 😀😀!", "love ❤️ you", "👍🏽 yes", "fire 🔥x", "two 🤷‍♂️ words", "no emoji", "™ sign",
+         "★ ☆ ♪ ♫ ✓ ✗ ➜ ☐ none", "⏰ © 🟢 ▶ ⬆ 🅰", "🇺🇸 and 🇩🇪🇫🇷", "♥ 👽 🤖 👿 😺 🎶 ❣"],
     )
     assert got == [
         "ok grinning_face grinning_face !", "love red_heart you", "thumbs_up_medium_skin_tone yes", "fire fire x",
-        "two man_shrugging words", "no emoji", "sign",
+        "two man_shrugging words", "no emoji", "trade_mark sign",
+            "none", "alarm_clock copyright green_circle play_button up_arrow A_button_", "United_States and Germany France",
+            "heart_suit alien robot angry_face_with_horns grinning_cat musical_notes heart_exclamation",
     ]
     assert apply(spark, T.demojize, ["a😀b"]) == ["a:grinning_face:b"]
 
