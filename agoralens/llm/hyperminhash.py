@@ -116,7 +116,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
 
     # Classes of several rows and their first documents; documents of several classes link these.
     several = linkable.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("c"))
-    rows = signed.select("key", "n", "digest").join(several.filter("c > 1").select("digest", "first"), "digest", "left")
+    several = materialize(several.filter("c > 1").select("digest", "first"), "classes")  # a join that can split a hot class
+    rows = signed.select("key", "n", "digest").join(several, "digest", "left")
     rows = rows.withColumn("first", F.when(F.col("key").isNotNull(), F.coalesce("first", "key")))
     split = linkable.groupBy("key").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).filter("d <> e")
     shared = rows.join(split.select("key"), "key", "left_semi").filter("first <> key")
