@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from ..session import materialize
 from .exchange import ANSWER, ASKED, CHUNK_BYTES, Chunk, chunk_count, copies, held_again, held_before, into_chunks
 from .texts import with_row
 
@@ -30,7 +31,7 @@ def first_windows(
     """
     n = chunk_count(df, text, chunk_bytes)
     documents = into_chunks(df, id_column, text, n)
-    same = copies(df, id_column, text, n)
+    same = materialize(copies(df, id_column, text, n), "copies")
 
     def asks(function):
         return lambda left, right: function(Chunk(left, right), n)
