@@ -28,6 +28,64 @@ CHECKS["op1_substring_dedup"] = r"""
            sha256(coalesce(array_to_string(rest, ' '), '')) as kept_sha256
     from kept"""
 
+# Strings as hexadecimal digits; texts are cut into blocks first, as a long text is slow to look into.
+CHECKS["op2_suffix_dedup"] = r"""
+    with bytes as (
+        select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+    ), blocks as (
+        select doc_id, start, substr(h, 2 * start + 1, 2 * (64 + 99)) as part
+        from (select doc_id, h, unnest(range(0, strlen(h) // 2, 64)) as start from bytes)
+    ), strings as (
+        select doc_id, start + i as i, md5(substr(part, 2 * i - 1, 200)) as s
+        from (select doc_id, start, part, unnest(range(1, least(64, strlen(part) // 2 - 99) + 1)) as i from blocks)
+    ), later as (
+        select doc_id, i from strings
+        qualify row_number() over (partition by s order by doc_id, i) > 1
+    ), ends as (
+        select doc_id, i, lag(i) over (partition by doc_id order by i) as before from later
+    ), runs as (
+        select doc_id, i, sum(case when i <= before + 100 then 0 else 1 end)
+               over (partition by doc_id order by i) as run from ends
+    ), spans as (
+        select doc_id, min(i) as first, max(i) + 100 as last from runs group by doc_id, run
+    ), pieces as (
+        select doc_id, first, last, coalesce(lag(last) over (partition by doc_id order by first), 1) as upto from spans
+    ), cut as (
+        select doc_id, count(*) as n_spans, cast(sum(last - first) as bigint) as n_removed, max(last) as last,
+               string_agg(substr(h, 2 * upto - 1, 2 * (first - upto)), '' order by first) as kept
+        from pieces join bytes using (doc_id) group by doc_id
+    )
+    select doc_id, cast(strlen(h) // 2 as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed,
+           coalesce(n_spans, 0) as n_spans,
+           sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 1) - 1))) as kept_sha256
+    from bytes left join cut using (doc_id)"""
+
+# All pairs with a common shingle, and all that links lead to: for small tables.
+CHECKS["op4_hyperminhash"] = r"""
+    with recursive words as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+    ), shingles as (
+        select distinct doc_id, array_to_string(w[i:i + 3], ' ') as s
+        from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from words where len(w) > 0)
+    ), sizes as (
+        select doc_id, count(*) as n from shingles group by 1
+    ), common as (
+        select a.doc_id as a, b.doc_id as b, count(*) as c
+        from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2
+    ), links as (
+        select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+        where 100 * c >= 80 * (x.n + y.n - c)
+    ), reached as (
+        select doc_id, doc_id as other from documents
+        union
+        select doc_id, b from reached join links on a = other
+    ), components as (
+        select doc_id, min(other) as component_id from reached group by 1
+    )
+    select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+    from components left join sizes using (doc_id)"""
+
 CHECKS["op7_decontamination"] = r"""
     with docs as (
         select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
