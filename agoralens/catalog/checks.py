@@ -21,6 +21,7 @@ def clean(text: str) -> str:
     x = f"replace(lower(coalesce({text}, '')), '😀', ':grinning_face:')"
     for short, full in CONTRACTIONS:
         x = f"replace({x}, {quoted([short])}, {quoted([full])})"
+    # Fixed values.
     for pattern in (
         rf"http[^{SPACE}]+|www[^{SPACE}]+",
         r"\[[^\n]*?\]|\([^\n]*?\)",

@@ -74,12 +74,7 @@ COLLECTION_LISTINGS = {
     "positive": ["hot", "new", "top"],
 }
 
-# Bulk collection: communities, rows wanted from each, listing priority.
-BULK_COMMUNITIES = [
-    "technology", "science", "programming", "movies", "gaming", "music",
-    "politics", "worldnews", "AskReddit", "UpliftingNews", "MadeMeSmile",
-    "wholesome", "unpopularopinion", "changemyview", "TrueOffMyChest",
-]
+# Bulk collection: rows wanted from each community, listing priority.
 BULK_LIMIT = 500
 BULK_LISTINGS = ["hot", "top", "new", "controversial"]
 
@@ -104,30 +99,31 @@ needn shan shouldn wasn weren won wouldn
 SENTIMENT_STOP_WORDS = ["not", "no", "nor", "neither", "never", "none"]
 STOP_WORDS = [w for w in ENGLISH_STOP_WORDS if w not in SENTIMENT_STOP_WORDS]
 
-# The scikit-learn list for English, stated relative to the list above: it
-# lacks these words of that list ...
-_TFIDF_LACKS = """
-ain aren couldn d did didn does doesn doing don hadn hasn haven having isn just
-ll m ma mightn mustn needn o s shan shouldn t theirs ve wasn weren won wouldn y
-""".split()
-# ... and has these besides.
-_TFIDF_ADDS = """
-across afterwards almost alone along already also although always among amongst
-amoungst amount another anyhow anyone anything anyway anywhere around back
-became become becomes becoming beforehand behind beside besides beyond bill
-bottom call cannot cant co con could couldnt cry de describe detail done due eg
-eight either eleven else elsewhere empty enough etc even ever every everyone
-everything everywhere except fifteen fifty fill find fire first five former
-formerly forty found four front full get give go hasnt hence hereafter hereby
-herein hereupon however hundred ie inc indeed interest keep last latter latterly
-least less ltd made many may meanwhile might mill mine moreover mostly move much
-must name namely neither never nevertheless next nine nobody none noone nothing
-nowhere often one onto others otherwise part per perhaps please put rather see
-seem seemed seeming seems serious several show side since sincere six sixty
-somehow someone something sometime sometimes somewhere still system take ten
-thence thereafter thereby therefore therein thereupon thick thin third though
-three throughout thru thus together top toward towards twelve twenty two un upon
-us via well whatever whence whenever whereafter whereas whereby wherein
-whereupon wherever whether whither whoever whole whose within without would yet
+# The English stop words of scikit-learn (sklearn.feature_extraction.text).
+TFIDF_STOP_WORDS = """
+a about above across after afterwards again against all almost alone along
+already also although always am among amongst amoungst amount an and another any
+anyhow anyone anything anyway anywhere are around as at back be became because
+become becomes becoming been before beforehand behind being below beside besides
+between beyond bill both bottom but by call can cannot cant co con could couldnt
+cry de describe detail do done down due during each eg eight either eleven else
+elsewhere empty enough etc even ever every everyone everything everywhere except
+few fifteen fifty fill find fire first five for former formerly forty found four
+from front full further get give go had has hasnt have he hence her here
+hereafter hereby herein hereupon hers herself him himself his how however
+hundred i ie if in inc indeed interest into is it its itself keep last latter
+latterly least less ltd made many may me meanwhile might mill mine more moreover
+most mostly move much must my myself name namely neither never nevertheless next
+nine no nobody none noone nor not nothing now nowhere of off often on once one
+only onto or other others otherwise our ours ourselves out over own part per
+perhaps please put rather re same see seem seemed seeming seems serious several
+she should show side since sincere six sixty so some somehow someone something
+sometime sometimes somewhere still such system take ten than that the their them
+themselves then thence there thereafter thereby therefore therein thereupon
+these they thick thin third this those though three through throughout thru thus
+to together too top toward towards twelve twenty two un under until up upon us
+very via was we well were what whatever when whence whenever where whereafter
+whereas whereby wherein whereupon wherever whether which while whither who
+whoever whole whom whose why will with within without would yet you your yours
+yourself yourselves
 """.split()
-TFIDF_STOP_WORDS = sorted(set(ENGLISH_STOP_WORDS) - set(_TFIDF_LACKS) | set(_TFIDF_ADDS))
