@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
+from . import byte_bpe
 from .bpe import encode
 from .decontamination import decontaminate
 from .hash_ring import shard_rows
@@ -21,7 +22,7 @@ from .warc import derivatives, page_responses
 
 # The tokenizer of op6; its file comes with the public tokenizers.
 WORD_BPE = "word_bpe_49k.json"
-# The pieces that op5 counts, and the ranks that op9 encodes with.
+# The pieces that op5 counts, and the ranks that op9 and op13 encode with.
 PIECES = "piece_bpe_32k.model"
 RANKS = "byte_bpe_50k.tiktoken"
 SHARDS = 24
@@ -125,3 +126,15 @@ def op10_quality_rules(spark, sf_dir):
     return apply_quality_rules(_documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query
+def op13_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = tokenizer_path(RANKS)
+    coded = byte_bpe.encode(_documents(spark, sf_dir), path, public_tokenizers.PATTERN, keep=["doc_id"])
+    return byte_bpe.decode(coded, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
