@@ -148,6 +148,49 @@ CHECKS["op10_quality_rules"] = rf"""
            and not n_dup_lines > 0.5::double * n_lines as kept
     from counted"""
 
+# The checksum is computed bit by bit; periods are distances of equal windows of 16 words,
+# which every run has.
+CHECKS["op12_periodic_runs"] = r"""
+    with words as (
+        select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+               xor(4294967295, list_reduce(
+                   list_prepend(4294967295, [cast(ord(x) as bigint) for x in string_split(cast(doc_id as varchar), '')]),
+                   lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+                                            lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) as h from documents
+    ), seeds as (
+        select doc_id, w, h, len(w) as n, h // 10 as g from words
+    ), places as (
+        select doc_id, w, h, n, case when n > 0 then g % n else 0 end as a, 3 + g % 8 as k from seeds
+    ), texts as (
+        select doc_id, n, case when h % 10 = 0 and n > 0
+               then [w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // k) end] for i in range(n)]
+               else w end as w from places
+    ), grams as (
+        select doc_id, i, array_to_string(w[i + 1:i + 16], ' ') as s
+        from (select doc_id, w, unnest(range(len(w) - 15)) as i from texts where len(w) >= 24)
+    ), pairs as (
+        select a.doc_id, a.i, b.i - a.i as q from grams a join grams b on a.doc_id = b.doc_id and a.s = b.s and a.i < b.i
+    ), islands as (
+        select doc_id, q, min(i) as start, max(i) - min(i) + 16 + q as length
+        from (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as g from pairs)
+        group by doc_id, q, g
+    ), runs as (
+        select doc_id, start, length, min(q) as period from islands where length >= greatest(24, 3 * q)
+        group by doc_id, start, length
+    ), dropped as (
+        select doc_id, list(distinct k) as ks
+        from (select doc_id, unnest(range(start + period, start + length)) as k from runs) group by doc_id
+    ), found as (
+        select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period)
+               as lines, arg_min([start, length, period], [-(cast(length as double) / period), start, period]) as best
+        from runs group by doc_id
+    )
+    select doc_id, coalesce(n_runs, 0) as n_runs, best[1] as start, best[2] as length, best[3] as period,
+           1000 * best[2] // best[3] as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256,
+           sha256(coalesce(array_to_string(
+               [w[k + 1] for k in range(n) if not list_contains(coalesce(ks, []), k)], ' '), '')) as collapsed_sha256
+    from texts left join found using (doc_id) left join dropped using (doc_id)"""
+
 
 def _quoted(value: str) -> str:
     """A string for SQL; what is not printable as chr()."""

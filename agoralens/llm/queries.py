@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..session import configure
 from . import byte_bpe
 from .bpe import encode
@@ -14,6 +15,7 @@ from .decontamination import decontaminate
 from .hash_ring import shard_rows
 from .hyperminhash import near_duplicates
 from .packing import RankIds, pack
+from .periodic_runs import find_runs
 from .quality_rules import apply_quality_rules
 from .substring_dedup import remove_repeated_windows
 from .suffix_dedup import remove_repeated_strings
@@ -138,3 +140,37 @@ def op13_byte_bpe(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """A tenth of the documents, chosen by the checksum of the id, with their words repeated from some place on."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(0))
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        seed = F.floor(checksum / 10)
+        first = F.pmod(seed, n)
+        period = 1 + F.floor((n - first) / (3 + F.pmod(seed, F.lit(8))))
+        place = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(
+            i < first, i).otherwise(first + F.pmod(i - first, period)))
+        return F.when(F.size(w) > 0, F.array_join(F.transform(place, lambda i: F.get(w, i.cast("int"))), " "))
+
+    return documents.withColumn("text", F.when(checksum % 10 == 0, let(words, repeated)).otherwise(F.col("text")))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    found = find_runs(with_planted_runs(_documents(spark, sf_dir)))
+
+    def better(a: Column, b: Column) -> Column:
+        """The run of the greater exponent, compared exactly; the runs come by start, then period."""
+        return F.when(a.isNull() | (b["length"] * a["period"] > a["length"] * b["period"]), b).otherwise(a)
+
+    best = F.reduce("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), better)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", "runs", "collapsed", best.alias("best"), F.array_join(lines, "").alias("lines")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
