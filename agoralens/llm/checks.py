@@ -148,6 +148,47 @@ CHECKS["op10_quality_rules"] = rf"""
            and not n_dup_lines > 0.5::double * n_lines as kept
     from counted"""
 
+CHECKS["op11_collocations"] = r"""
+    with texts as (
+        select coalesce(lang, 'und') as lang, doc_id,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+    ), pieces as (
+        select lang, regexp_extract_all(p, '[^\x20\x09]+') as w
+        from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as p from texts)
+    ), grams as (
+        select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase
+        from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from pieces, (select unnest([1, 2, 3, 4]) as m)
+              where len(w) >= m)
+    ), counted as (
+        select lang, m, phrase, count(*) as f from grams group by lang, m, phrase
+    ), totals as (
+        select lang, cast(sum(f) as bigint) as n from counted where m = 1 group by lang
+    ), candidates as (
+        select lang, m, phrase, f as a, string_split(phrase, ' ') as w from counted where m > 1 and f >= 30
+    ), cuts as (
+        select lang, phrase, a, k, array_to_string(w[1:k], ' ') as first, array_to_string(w[k + 1:m], ' ') as rest
+        from (select *, unnest(range(1, m)) as k from candidates)
+    ), scored as (
+        select c.lang, c.phrase, a, k, x.f as l, y.f as r,
+               cast((2000000 * cast(a as hugeint)) // (cast(x.f as hugeint) + y.f) as bigint) as score
+        from cuts c join counted x on x.lang = c.lang and x.phrase = c.first
+        join counted y on y.lang = c.lang and y.phrase = c.rest
+    ), lowest as (
+        select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+    ), inside as (
+        select lang, a, array_to_string(w[i:i + s - 1], ' ') as phrase
+        from (select lang, a, w, m, s, unnest(range(1, m - s + 2)) as i
+              from candidates, (select unnest([2, 3]) as s) where s < m)
+    ), around as (
+        select lang, phrase, max(a) as longer from inside group by lang, phrase
+    ), kept as (
+        select l.* from lowest l left join around o on o.lang = l.lang and o.phrase = l.phrase
+        where not coalesce(100 * longer >= 80 * a, false)
+    )
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank,
+           phrase, a, l, r, n, score
+    from kept join totals using (lang) qualify rank <= 2000"""
+
 # The checksum is computed bit by bit; periods are distances of equal windows of 16 words,
 # which every run has.
 CHECKS["op12_periodic_runs"] = r"""

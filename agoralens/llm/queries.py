@@ -11,6 +11,7 @@ from ..functions.text import let
 from ..session import configure
 from . import byte_bpe
 from .bpe import encode
+from .collocations import collocations
 from .decontamination import decontaminate
 from .hash_ring import shard_rows
 from .hyperminhash import near_duplicates
@@ -142,6 +143,11 @@ def op13_byte_bpe(spark, sf_dir):
     )
 
 
+@query
+def op11_collocations(spark, sf_dir):
+    return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text"))
+
+
 def with_planted_runs(documents: DataFrame) -> DataFrame:
     """A tenth of the documents, chosen by the checksum of the id, with their words repeated from some place on."""
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(0))
