@@ -1,20 +1,23 @@
 """Byte-level BPE as Spark higher-order functions over the distinct words of blocks of documents.
 
-A text is split by the pattern of the vocabulary.  Tasks glue the documents they read
-into blocks of a few MB and list the distinct words of each, so a word is encoded once a
-block however often it occurs.  A word is an array of its bytes; a fold over it merges
+A text is split by the pattern of the vocabulary, and distinct words are encoded.  The
+words that most documents have, up to ``FREQUENT``, are encoded once and sent to all
+tasks.  For the others, tasks glue the documents they read into blocks of a few MB and
+list the distinct words of each, so a word is encoded once a block however often it
+occurs there.  A word is an array of its bytes; a fold over it merges
 the two neighbours of the lowest rank until none are left that have one.  The ranks are
 a literal: an array of small maps, chosen by the checksum of the bytes looked up, as a
 single map would be searched from its start.  Decoding takes the bytes of each id from a
 literal array and concatenates them.
 
-Nothing is shuffled.  A row is encoded in the task that reads it, and a block holds
-``BLOCK`` bytes of words or one longer row.
+Only counts of words are shuffled.  A row is encoded in the task that reads it, and a
+block holds ``BLOCK`` bytes of words or one longer row.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import json
 import zlib
 from collections.abc import Iterator
@@ -27,10 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import let
+from ..session import materialize
 from .merges import merge_ranked
 from .texts import with_row
 
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+# Words that are sent to all tasks with their ids: no more than so many of ``FOLDED`` bytes.
+FREQUENT = 1 << 19
 BUCKETS = 1 << 16
 # Words of more bytes are merged in the second Python step with a heap, as each step of
 # the fold looks at the whole word, which is quadratic in its length.
@@ -118,24 +124,31 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[str, int]:
 def _literal(ranks: dict[bytes, int]) -> Column:
     """The vocabulary as one constant.
 
-    ``pairs`` and ``words`` are arrays of maps, each pair or token in the map that its
-    checksum chooses, as a single map would be searched from its start; ``signs`` has
-    the character of each id.
+    ``pairs``, ``words`` and ``bytes`` are arrays of maps, each key in the map that its
+    checksum chooses, as a single map would be searched from its start: the ids of pairs
+    of characters, of whole tokens that are text, and the characters of single bytes by
+    their digits.  ``signs`` has the character of each id.
     """
-    pairs: list[dict] = [{} for _ in range(BUCKETS)]
-    for pair, rank in pair_ranks(ranks).items():
-        pairs[zlib.crc32(pair.encode()) % BUCKETS][pair] = rank
-    words: list[list] = [[] for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        words[zlib.crc32(token) % BUCKETS].append({"k": base64.b64encode(token).decode(), "v": rank})
-    signs = [_sign(i) for i in range(max(ranks.values()) + 1)]
-    def constant(value, kind: str) -> Column:
+    def dealt(entries: dict) -> list[dict]:
+        maps: list[dict] = [{} for _ in range(BUCKETS)]
+        for key, value in entries.items():
+            maps[zlib.crc32(key.encode()) % BUCKETS][key] = value
+        return maps
+
+    def constant(value, kind: str) -> Column:  # the optimizer folds it
         return F.from_json(F.lit(json.dumps(value, separators=(",", ":"), ensure_ascii=False)), kind)
 
-    tokens = constant(words, "array<array<struct<k:binary,v:int>>>")
+    words = {}
+    for token, rank in ranks.items():
+        with contextlib.suppress(UnicodeDecodeError):
+            words[token.decode()] = rank
+    bytes_ = {token.hex().upper(): _sign(rank) for token, rank in ranks.items() if len(token) == 1}
+    signs = [_sign(i) for i in range(max(ranks.values()) + 1)]
     return F.struct(
-        constant(pairs, "array<map<string,int>>").alias("pairs"), constant(signs, "array<string>").alias("signs"),
-        F.transform(tokens, lambda e: F.map_from_entries(e)).alias("words"),
+        constant(dealt(pair_ranks(ranks)), "array<map<string,int>>").alias("pairs"),
+        constant(dealt(words), "array<map<string,int>>").alias("words"),
+        constant(dealt(bytes_), "array<map<string,string>>").alias("bytes"),
+        constant(signs, "array<string>").alias("signs"),
     )
 
 
@@ -144,7 +157,7 @@ def _looked_up(maps: Column, key: Column) -> Column:
 
 
 def folded(word: Column, table: Column) -> Column:
-    """The ids of one word, given as bytes: its own, or those that ranked merges of its bytes leave.
+    """The ids of one word: its own, or those that ranked merges of its bytes leave.
 
     The array of bytes is written with a character for each id, so a merge overlays two
     characters by that of their bytes together, whose id is the rank.  Each step of the
@@ -171,7 +184,9 @@ def folded(word: Column, table: Column) -> Column:
         return F.when(F.endswith(signs, F.lit(_END)), signs).otherwise(let(pairs, merged))
 
     def merges(n: Column) -> Column:
-        start = F.array_join(F.transform(places(n), lambda i: sign(_looked_up(table["words"], F.substring(word, i, F.lit(1))))), "")
+        digits = F.hex(word.cast("binary"))
+        start = let(digits, lambda d: F.array_join(F.transform(
+            places(n), lambda i: _looked_up(table["bytes"], F.substring(d, 2 * i - 1, F.lit(2)))), ""))
 
         def ids(signs: Column) -> Column:
             points = F.transform(places(F.char_length(signs)), lambda i: F.ascii(F.substring(signs, i, F.lit(1))))
@@ -206,25 +221,49 @@ def encode(
                      words.alias("words"))
     schema = StructType.fromDDL("rows array<struct<x:int>>, sizes array<int>, at array<int>, words array<string>")
     schema["rows"].dataType.elementType = rows.schema["row"].dataType
-    blocks = rows.mapInArrow(_blocks, schema)
+    table = _literal(ranks)
+    known = _frequent(rows.select("words"), table)
+    frequent = df.sparkSession.sparkContext.broadcast(known)
+
+    def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _blocks(batches, frequent.value["word"].combine_chunks())
 
     def fold(table: Column) -> Column:
-        return F.transform("words", lambda w: folded(w.cast("binary"), table))
+        return F.transform("words", lambda w: folded(w, table))
 
-    coded = blocks.select("rows", "sizes", "at", F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.when(
-        F.octet_length(F.get("words", i - 1)) > FOLDED, F.get("words", i - 1))).alias("long_words"),
-        let(_literal(ranks), fold).alias("coded"))
+    long_words = F.transform("words", lambda w: F.when(F.octet_length(w) > FOLDED, w))
+    coded = rows.mapInArrow(glue, schema).select(
+        "rows", "sizes", "at", long_words.alias("long_words"), let(table, fold).alias("coded")
+    )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _applied(batches, sent)
+        return _applied(batches, sent, frequent.value["ids"].combine_chunks())
 
     out = coded.mapInArrow(apply, with_row(rows, "ids array<int>, packed binary"))
     return out.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(kept)], F.col("ids").alias(ids),
                       F.col("packed").alias(packed))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per block: its rows, their numbers of words, each word's place in the list of distinct words, and that list."""
+def _frequent(rows: DataFrame, table: Column) -> pa.Table:
+    """The words that most documents have, with their ids: as many as ``FREQUENT`` allows, by the logarithm of their counts."""
+    distinct = rows.select(F.explode(F.array_distinct("words")).alias("word")).filter(F.octet_length("word") <= FOLDED)
+    counts = distinct.groupBy("word").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    counts = materialize(counts.select("word", F.floor(8 * F.log2("c")).cast("int").alias("scale")), "words")
+    total, least = 0, 2**31 - 1
+    for scale, n in sorted(map(tuple, counts.groupBy("scale").count().collect()), reverse=True):  # 8 rows for each power of 2
+        total += n
+        if total > FREQUENT:
+            break
+        least = scale
+    chosen = counts.filter(F.col("scale") >= least)
+    return chosen.select("word", let(table, lambda t: folded(F.col("word"), t)).alias("ids")).toArrow()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], known: pa.Array) -> Iterator[pa.RecordBatch]:
+    """One row per block: its rows, their numbers of words, each word's place in a list of words, and that list.
+
+    The list is that of the known words, which is left out, and then the others of the block.
+    """
     for batch in batches:
         words = batch["words"]
         sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -236,7 +275,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(size, size[start] + BLOCK, side="right")) - 1)
             own = flat.slice(ends[start], ends[stop] - ends[start]).dictionary_encode()
-            columns = [batch["row"].slice(start, stop - start), pa.array(sizes[start:stop], pa.int32()), own.indices, own.dictionary]
+            place = pc.fill_null(pc.index_in(own.dictionary, value_set=known), -1).to_numpy().copy()
+            new = np.flatnonzero(place < 0)
+            place[new] = len(known) + np.arange(len(new))
+            at = pa.array(place[own.indices.to_numpy()], pa.int32())
+            columns = [batch["row"].slice(start, stop - start), pa.array(sizes[start:stop], pa.int32()), at, own.dictionary.take(pa.array(new))]
             yield pa.RecordBatch.from_arrays(
                 [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns],
                 names=["rows", "sizes", "at", "words"],
@@ -244,18 +287,20 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = stop
 
 
-def _applied(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """The rows of blocks with their ids, put together from those of the distinct words."""
+def _applied(batches: Iterator[pa.RecordBatch], sent, known: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The rows of blocks with their ids, put together from those of the known words and of the block's others."""
+    known_lengths = pc.list_value_length(known).to_numpy(zero_copy_only=False).astype(np.int64)
+    known_tokens = known.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
     for batch in batches:
         for i in range(batch.num_rows):
             rows, sizes, at, long_words, coded = (batch[c][i].values for c in ("rows", "sizes", "at", "long_words", "coded"))
             for word in np.flatnonzero(coded.is_null().to_numpy(zero_copy_only=False)).tolist():
                 merged = _by_heap(long_words[word].as_py().encode(), sent.value)
                 coded = pa.concat_arrays([coded.slice(0, word), pa.array([merged], coded.type), coded.slice(word + 1)])
-            lengths = pc.list_value_length(coded).to_numpy(zero_copy_only=False).astype(np.int64)
-            tokens = coded.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            lengths = np.append(known_lengths, pc.list_value_length(coded).to_numpy(zero_copy_only=False))
+            tokens = np.append(known_tokens, coded.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
             starts = np.concatenate([[0], np.cumsum(lengths)])
-            at = at.to_numpy(zero_copy_only=False).astype(np.int64)
+            at = at.to_numpy(zero_copy_only=False)
             each = lengths[at]
             ends = np.cumsum(each)
             ids = tokens[np.repeat(starts[at] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
