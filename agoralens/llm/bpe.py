@@ -18,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .merges import merge_ranked
 from .texts import slices, with_row
 
 WORD_END = "</w>"
 KEPT_WORDS = 300_000
 KEPT_FRAGMENTS = 50_000
+# Longer words are not kept, and longer fragments are merged with a heap.
+KEPT_LENGTH = 256
+SHORT = 64
 
 # Characters for which this module splits and lowers text itself: Latin letters up to
 # U+017F but one, whose classes and cases are the same in every version of Unicode, and
@@ -75,17 +79,21 @@ class Encoder(dict):
                 done = self.fragments.get(fragment)
                 if done is None:
                     done = self.merged(fragment)
-                    if len(fragment) < len(symbols):
+                    if len(fragment) < min(len(symbols), KEPT_LENGTH):
                         self.fragments[fragment] = done
                 parts += done
                 start = i
-        self[word] = found = b"".join([self.vocabulary[p].to_bytes(4, "little") for p in parts])
+        found = b"".join([self.vocabulary[p].to_bytes(4, "little") for p in parts])
+        if len(symbols) <= KEPT_LENGTH:
+            self[word] = found
         return found
 
     def merged(self, symbols: tuple[str, ...]) -> list[str]:
         """Merge the pair of the lowest rank, the leftmost first, until none is left."""
-        parts = list(symbols)
         rank = self.rank
+        if len(symbols) > SHORT:
+            return merge_ranked(symbols, lambda a, b: rank.get((a, b)))
+        parts = list(symbols)
         while len(parts) > 1:
             best, at = None, 0
             for i, pair in enumerate(zip(parts, parts[1:], strict=False)):
