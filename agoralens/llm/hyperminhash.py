@@ -33,11 +33,6 @@ MANTISSA = 10
 PERCENT = 80
 # Six standard errors of the share of equal registers at the threshold.
 SLACK = 6 * (PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS) ** 0.5
-# Keys that are looked up by a broadcast; more are joined by a shuffle.
-LOOKED_UP = 1_000_000
-# Documents of a bucket that are compared as one block.
-BLOCK = 256
-
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 _FLIP = _RANDOM.integers(0, 2**32, REGISTERS, dtype=np.uint32)
 _TIMES = _RANDOM.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -97,7 +92,8 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
 
     Documents with equal sets are one class, of which only the smallest id goes on.  In
     a bucket of a band each class is compared with the smallest; what that leaves
-    unlinked is compared in blocks (``_across``), so no link within a bucket is lost.
+    unlinked meets by its rarest shingles (``_across``), so no link within a bucket is
+    lost, and a bucket of a template's pages is not compared pair by pair.
     """
     documents = df.select(F.col(id_column).cast("long").alias("key"), F.col(text).alias("text"))
     signed = materialize(
@@ -122,11 +118,12 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     split = linkable.groupBy("key").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).filter("d <> e")
     shared = rows.join(split.select("key"), "key", "left_semi").filter("first <> key")
 
+    sets = _sets_of(documents, members.select("key").distinct())
     pairs = members.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    links = _confirmed(documents, materialize(pairs.distinct(), "pairs"))
+    links = _confirmed(sets, materialize(pairs.distinct(), "pairs"))
     links = links.unionByName(shared.select(F.col("first").alias("a"), F.col("key").alias("b")))
     component = materialize(components(links), "components")
-    more = _across(members, component, documents)
+    more = _across(members, component, sets)
     if more is not None:
         component = materialize(components(links.unionByName(more)), "components")
 
@@ -161,17 +158,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(documents: DataFrame, keys: DataFrame) -> DataFrame:
-    """Registers and sets of some documents; their keys are broadcast if they are few, and joined by a shuffle if not."""
-    keys = materialize(keys, "needed")
-    few = keys.limit(LOOKED_UP + 1).count() <= LOOKED_UP
-    texts = documents.join(F.broadcast(keys) if few else keys, "key").select("key", "text")
+    """Registers and sets of some documents; the keys are at rest, so the planner knows how many there are."""
+    texts = documents.join(materialize(keys, "needed"), "key").select("key", "text")
     return materialize(texts.mapInArrow(_sets, "key long, registers binary, shingles binary"), "sets")
 
 
-def _confirmed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose sets have the similarity."""
-    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = _sets_of(documents, needed)
     one, two = (sets.select(*[F.col(c).alias(f"{c}_{s}") for c in sets.columns]) for s in "ab")
     both = pairs.join(two, F.col("b") == F.col("key_b")).join(one, F.col("a") == F.col("key_a"))
     columns = ["a", "b", "registers_a", "registers_b", "shingles_a", "shingles_b"]
@@ -193,65 +186,56 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(linked))
 
 
-def _across(members: DataFrame, component: DataFrame, documents: DataFrame) -> DataFrame | None:
+def _across(members: DataFrame, component: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Links between members of a bucket that are not in one component; None if there can be none.
 
-    The bucket's first key has been compared with all.  Of the others, those outside
-    the bucket's largest component are compared with all that are in another one than
-    they, in blocks of a bounded number of keys.  So a bucket of any size is many small
-    tasks, and a key becomes one row for each component that it links to there.
+    The bucket's first key has been compared with all.  The others of buckets with
+    several components are joined on a prefix of each set: with the shingles of all of
+    them in one order, the rarest first, two sets of the similarity have a shingle in
+    common among the first fifth or so of each.  What many share comes last in that
+    order, so pages of one template meet only where their own parts are alike.  A pair
+    must also be in different components, near enough in size, and have enough of both
+    sets left from the common shingle on, which holds for the first they have in common.
     """
     others = members.filter("key <> hub").join(component, "key", "left").select(
         "band", "key", F.coalesce("component", "key").alias("component")
     )
-    sizes = others.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
-    torn = sizes.groupBy("band").agg(
-        F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("rows"),
-        F.max("c").alias("most"),
-    ).filter("most < rows")
-    torn = materialize(others.join(torn, "band").select(
-        "band", "key", "component", (F.col("component") != F.col("main")).alias("outside"),
-        F.ceil(F.col("rows") / BLOCK).cast("long").alias("blocks"),
-        F.ceil((F.col("rows") - F.col("most")) / BLOCK).cast("long").alias("outside_blocks"),
-    ), "torn")
-    if torn.isEmpty():
+    ends = others.groupBy("band").agg(F.min("component").alias("first"), F.max("component").alias("last"))
+    torn = materialize(ends.filter("first < last").select("band"), "torn")
+    rest = materialize(others.join(torn, "band").select("key", "component").distinct(), "apart")
+    if rest.isEmpty():
         return None
-    sets = _sets_of(documents, torn.select("key").distinct())
-    none = F.lit(0).cast("long")
-    left = torn.filter("outside").select(
-        "band", "key", "component", "outside", F.pmod(F.xxhash64("key", F.lit(1)), "outside_blocks").alias("i"),
-        F.explode(F.sequence(none, F.col("blocks") - 1)).alias("j"),
+    shingled = rest.join(sets.select("key", "shingles"), "key").mapInArrow(
+        _exploded, "key long, component long, n int, shingle long"
     )
-    right = torn.select(
-        "band", "key", "component", F.lit(False).alias("outside"),
-        F.explode(F.sequence(none, F.col("outside_blocks") - 1)).alias("i"),
-        F.pmod(F.xxhash64("key", F.lit(2)), "blocks").alias("j"),
+    frequent = shingled.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"))
+    ordered = shingled.join(frequent, "shingle").groupBy("key", "component", "n").agg(
+        F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("order")
     )
-    found = left.unionByName(right).join(sets, "key").groupBy("band", "i", "j").applyInArrow(_near, "a long, b long")
-    return materialize(found.distinct(), "across")
-
-
-def _near(cell: pa.Table) -> pa.Table:
-    """For each key outside and each other component, one link if there is any."""
-    outside = cell["outside"].to_numpy(zero_copy_only=False)
-    key, of = cell["key"].to_numpy(), cell["component"].to_numpy()
-    registers_ = np.stack([np.frombuffer(r.as_buffer(), np.uint16) for r in cell["registers"]])
-    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in cell["shingles"]]
-    n = np.array([len(s) for s in sets])
-    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(n)
-    inside = np.flatnonzero(~outside)
-    own = np.zeros(len(names), bool)
-    pairs = []
-    for i in np.flatnonzero(outside).tolist():
-        j = inside[(of[inside] != of[i]) & (100 * np.minimum(n[inside], n[i]) >= PERCENT * np.maximum(n[inside], n[i]))]
-        j = j[similarity(registers_[j], registers_[i], n[j], n[i]) >= PERCENT / 100 - SLACK]
-        if not len(j):
-            continue
-        own[flat[ends[i] - n[i] : ends[i]]] = True
-        common = np.array([np.count_nonzero(own[flat[ends[k] - n[k] : ends[k]]]) for k in j.tolist()])
-        own[flat[ends[i] - n[i] : ends[i]]] = False
-        j = j[100 * common >= PERCENT * (n[i] + n[j] - common)]
-        pairs += [(key[i], key[j[k]]) for k in np.unique(of[j], return_index=True)[1].tolist()]
-    first, second = zip(*pairs, strict=True) if pairs else ((), ())
-    return pa.table({"a": pa.array(first, pa.int64()), "b": pa.array(second, pa.int64())})
+    length = F.expr(f"cast(n - ({PERCENT} * n + 99) div 100 + 1 as int)")
+    prefix = ordered.select("key", "component", "n", F.posexplode(F.slice("order", F.lit(1), length)).alias("at", "own"))
+    prefix = materialize(prefix.filter("own.c > 1").select("key", "component", "n", "at", "own.shingle"), "prefixes")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    met = a.join(b, F.expr(
+        "a.shingle = b.shingle and a.key < b.key and a.component <> b.component"
+        f" and 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)"
+        f" and {100 + PERCENT} * least(a.n - a.at, b.n - b.at) >= {PERCENT} * (a.n + b.n)"
+    ))
+    pairs = materialize(met.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), "met")
+    return _confirmed(sets, pairs)
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per shingle."""
+    for batch in batches:
+        sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch["shingles"]]
+        n = np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(n)), n)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        key, component = batch["key"].to_numpy(), batch["component"].to_numpy()
+        for i in range(0, len(flat), 1 << 17):
+            own = row[i : i + (1 << 17)]
+            yield pa.record_batch({
+                "key": pa.array(key[own]), "component": pa.array(component[own]), "n": pa.array(n[own], pa.int32()),
+                "shingle": pa.array(flat[i : i + (1 << 17)]),
+            })
