@@ -1,7 +1,7 @@
 """Byte-level BPE as Spark higher-order functions over the distinct words of blocks of documents.
 
 A text is split by the pattern of the vocabulary, and distinct words are encoded.  The
-words that most documents have, up to ``FREQUENT``, are encoded once and sent to all
+most frequent words, up to ``FREQUENT``, are encoded once and sent to all
 tasks.  For the others, tasks glue the documents they read into blocks of a few MB and
 list the distinct words of each, so a word is encoded once a block however often it
 occurs there.  A word is an array of its bytes; a fold over it merges
@@ -36,8 +36,9 @@ from .texts import with_row
 
 BLOCK = 4 << 20
 # Words that are sent to all tasks with their ids: no more than so many of ``FOLDED`` bytes.
-FREQUENT = 1 << 19
-BUCKETS = 1 << 16
+FREQUENT = 1 << 18
+# Maps of the constants: a few keys each.
+PAIR_MAPS, WORD_MAPS, BYTE_MAPS = 1 << 15, 1 << 14, 1 << 8
 # Words of more bytes are merged in the second Python step with a heap, as each step of
 # the fold looks at the whole word, which is quadratic in its length.
 FOLDED = 128
@@ -129,10 +130,11 @@ def _literal(ranks: dict[bytes, int]) -> Column:
     of characters, of whole tokens that are text, and the characters of single bytes by
     their digits.  ``signs`` has the character of each id.
     """
-    def dealt(entries: dict) -> list[dict]:
-        maps: list[dict] = [{} for _ in range(BUCKETS)]
+
+    def dealt(entries: dict, count: int) -> list[dict]:
+        maps: list[dict] = [{} for _ in range(count)]
         for key, value in entries.items():
-            maps[zlib.crc32(key.encode()) % BUCKETS][key] = value
+            maps[zlib.crc32(key.encode()) % count][key] = value
         return maps
 
     def constant(value, kind: str) -> Column:  # the optimizer folds it
@@ -145,15 +147,16 @@ def _literal(ranks: dict[bytes, int]) -> Column:
     bytes_ = {token.hex().upper(): _sign(rank) for token, rank in ranks.items() if len(token) == 1}
     signs = [_sign(i) for i in range(max(ranks.values()) + 1)]
     return F.struct(
-        constant(dealt(pair_ranks(ranks)), "array<map<string,int>>").alias("pairs"),
-        constant(dealt(words), "array<map<string,int>>").alias("words"),
-        constant(dealt(bytes_), "array<map<string,string>>").alias("bytes"),
+        constant(dealt(pair_ranks(ranks), PAIR_MAPS), "array<map<string,int>>").alias("pairs"),
+        constant(dealt(words, WORD_MAPS), "array<map<string,int>>").alias("words"),
+        constant(dealt(bytes_, BYTE_MAPS), "array<map<string,string>>").alias("bytes"),
         constant(signs, "array<string>").alias("signs"),
     )
 
 
-def _looked_up(maps: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(maps, F.crc32(key.cast("binary")).bitwiseAND(BUCKETS - 1).cast("int")), key)
+def _looked_up(table: Column, name: str, key: Column) -> Column:
+    mask = {"pairs": PAIR_MAPS, "words": WORD_MAPS, "bytes": BYTE_MAPS}[name] - 1
+    return F.try_element_at(F.get(table[name], F.crc32(key.cast("binary")).bitwiseAND(mask).cast("int")), key)
 
 
 def folded(word: Column, table: Column) -> Column:
@@ -179,14 +182,14 @@ def folded(word: Column, table: Column) -> Column:
 
         pairs = F.transform(
             F.sequence(F.lit(1), F.greatest(F.char_length(signs) - 1, F.lit(1))),
-            lambda i: _looked_up(table["pairs"], F.substring(signs, i, F.lit(2))),
+            lambda i: _looked_up(table, "pairs", F.substring(signs, i, F.lit(2))),
         )
         return F.when(F.endswith(signs, F.lit(_END)), signs).otherwise(let(pairs, merged))
 
     def merges(n: Column) -> Column:
         digits = F.hex(word.cast("binary"))
         start = let(digits, lambda d: F.array_join(F.transform(
-            places(n), lambda i: _looked_up(table["bytes"], F.substring(d, 2 * i - 1, F.lit(2)))), ""))
+            places(n), lambda i: _looked_up(table, "bytes", F.substring(d, 2 * i - 1, F.lit(2)))), ""))
 
         def ids(signs: Column) -> Column:
             points = F.transform(places(F.char_length(signs)), lambda i: F.ascii(F.substring(signs, i, F.lit(1))))
@@ -198,7 +201,7 @@ def folded(word: Column, table: Column) -> Column:
     def encoded(own: Column) -> Column:
         return F.when(own.isNotNull(), F.array(own)).otherwise(let(F.octet_length(word), merges))
 
-    return F.when(F.octet_length(word) <= FOLDED, let(_looked_up(table["words"], word), encoded))
+    return F.when(F.octet_length(word) <= FOLDED, let(_looked_up(table, "words", word), encoded))
 
 
 def encode(
@@ -245,9 +248,9 @@ def encode(
 
 
 def _frequent(rows: DataFrame, table: Column) -> pa.Table:
-    """The words that most documents have, with their ids: as many as ``FREQUENT`` allows, by the logarithm of their counts."""
-    distinct = rows.select(F.explode(F.array_distinct("words")).alias("word")).filter(F.octet_length("word") <= FOLDED)
-    counts = distinct.groupBy("word").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    """The most frequent words, with their ids: as many as ``FREQUENT`` allows, by the logarithm of their counts."""
+    words = rows.select(F.explode("words").alias("word")).filter(F.octet_length("word") <= FOLDED)
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     counts = materialize(counts.select("word", F.floor(8 * F.log2("c")).cast("int").alias("scale")), "words")
     total, least = 0, 2**31 - 1
     for scale, n in sorted(map(tuple, counts.groupBy("scale").count().collect()), reverse=True):  # 8 rows for each power of 2
