@@ -32,7 +32,7 @@ from ..sources import tables
 from ..sources.files import names
 from ..sources.schema import COMMENTS
 from ..sources.views import derive, view
-from ..streaming import streams
+from ..streaming import keyed, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -825,8 +825,8 @@ def stream_drift(spark, sf_dir):
         "prediction_id", "ts", "model_version", "sentiment", "confidence"
     )
     base = shared_dir(spark, "drift")
-    streams.last_n_per_key(events, 100, ["model_version"], f"{base}/rows", f"{base}/state").awaitTermination()
-    kept = streams.newest_snapshot(spark, f"{base}/rows")
+    keyed.last_n_per_key(events, 100, ["model_version"], f"{base}/rows", f"{base}/state").awaitTermination()
+    kept = keyed.kept_events(spark, f"{base}/rows", events.schema, 100, ["model_version"])
     return rounded(O.drift(kept, by=["model_version"]), *DRIFT)
 
 
@@ -836,8 +836,8 @@ def stream_performance(spark, sf_dir):
         "prediction_id", "ts", "model_version", "sentiment", "confidence"
     )
     base = shared_dir(spark, "performance")
-    streams.last_n_per_key(events, 1000, ["model_version"], f"{base}/rows", f"{base}/state").awaitTermination()
-    kept = streams.newest_snapshot(spark, f"{base}/rows")
+    keyed.last_n_per_key(events, 1000, ["model_version"], f"{base}/rows", f"{base}/state").awaitTermination()
+    kept = keyed.kept_events(spark, f"{base}/rows", events.schema, 1000, ["model_version"])
     return rounded(O.performance(kept, by=["model_version"]), *PERFORMANCE)
 
 
@@ -846,8 +846,9 @@ def stream_counters(spark, sf_dir):
     events = _stream(spark, sf_dir, "events", "predictions", BATCHES)
     base = shared_dir(spark, "counters")
     running = streams.running_counter(events, ["endpoint", "method"])
-    streams.to_snapshots(running, f"{base}/rows", f"{base}/state").awaitTermination()
-    return streams.newest_snapshot(spark, f"{base}/rows")
+    keys = ["endpoint", "method"]
+    keyed.to_keyed_table(running, f"{base}/rows", f"{base}/state", keys).awaitTermination()
+    return keyed.newest_rows(spark, f"{base}/rows", keys, running.schema)
 
 
 @query
@@ -855,7 +856,7 @@ def stream_latency_histogram(spark, sf_dir):
     events = _stream(spark, sf_dir, "events", "predictions", BATCHES)
     base = shared_dir(spark, "histogram")
     running = streams.running_histogram(events, ["endpoint"], "latency_seconds", O.REQUEST_LATENCY_BOUNDS)
-    streams.to_snapshots(running, f"{base}/rows", f"{base}/state").awaitTermination()
-    return rounded(streams.newest_snapshot(spark, f"{base}/rows"), "sum")
+    keyed.to_keyed_table(running, f"{base}/rows", f"{base}/state", ["endpoint"]).awaitTermination()
+    return rounded(keyed.newest_rows(spark, f"{base}/rows", ["endpoint"], running.schema), "sum")
 
 

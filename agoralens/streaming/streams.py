@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.wordlists import LABELS
-from ..operators.monitoring import bucket_rows, histogram_columns, latest
+from ..operators.monitoring import bucket_rows, histogram_columns
 from ..plans.preprocess import preprocess
 from ..session import shared_dir
 from ..sources.files import names, remove
@@ -89,39 +89,6 @@ def to_snapshots(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def last_n_per_key(
-    events: DataFrame,
-    n: int,
-    by: Sequence[str],
-    path: str,
-    checkpoint: str,
-    available_now: bool = True,
-) -> StreamingQuery:
-    """Keep the last ``n`` events per key as a table that each batch renews.
-
-    A batch is cut to its own last ``n`` per key before it meets the kept rows, in
-    salted rounds, so a model version that sends most of the events is no single
-    task's work.  The state is ``n`` rows per key whatever the stream's length.  Late
-    events take their place by time.  Batch k reads snapshot k - 1 and overwrites
-    snapshot k, so running a batch again gives the same table.  The last two snapshots
-    are kept.
-    """
-    schema = events.schema
-
-    def renew(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        _refuse_lost_checkpoint(spark, path, number)
-        rows = latest(batch, n, by).select(*schema.names)
-        if number > 0:
-            kept = spark.read.schema(schema).parquet(f"{path}/batch={number - 1}")
-            rows = latest(rows.unionByName(kept), n, by).select(*schema.names)
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        _keep_two(spark, path, number)
-
-    writer = events.writeStream.foreachBatch(renew).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
 def _batches(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the snapshots, by the names of their folders."""
     return sorted(int(n.removeprefix("batch=")) for n in names(spark, path) if n.startswith("batch="))

@@ -7,7 +7,7 @@ from agoralens.operators import monitoring as O
 from agoralens.plans.preprocess import preprocess
 from agoralens.session import shared_dir
 from agoralens.sources.files import names
-from agoralens.streaming import streams
+from agoralens.streaming import keyed, streams
 
 EVENTS = "prediction_id bigint, ts timestamp, model_version string, sentiment string, confidence double"
 
@@ -64,9 +64,9 @@ def test_last_events_per_key_over_many_batches(spark, folder):
     parts = [spark.createDataFrame(rows[i : i + 100], EVENTS) for i in range(0, 400, 100)]
     stream = as_stream(spark, folder(parts), parts[0].schema)
     base = shared_dir(spark, "last")
-    query = streams.last_n_per_key(stream, 25, ["model_version"], f"{base}/rows", f"{base}/state")
+    query = keyed.last_n_per_key(stream, 25, ["model_version"], f"{base}/rows", f"{base}/state")
     query.awaitTermination()
-    kept = streams.newest_snapshot(spark, f"{base}/rows")
+    kept = keyed.kept_events(spark, f"{base}/rows", parts[0].schema, 25, ["model_version"])
     batch = O.latest(spark.createDataFrame(rows, EVENTS), 25, ["model_version"]).drop("rank")
     assert sorted(map(str, kept.collect())) == sorted(map(str, batch.select(kept.columns).collect()))
     drift = O.drift(kept, 25, ["model_version"]).select("model_version", F.round("average_confidence", 9)).collect()
@@ -106,3 +106,68 @@ def test_no_input_is_an_empty_table(spark):
     assert streams.newest_snapshot(spark, shared_dir(spark, "none"), spark.range(1).schema).count() == 0
     with pytest.raises(FileNotFoundError):
         streams.newest_snapshot(spark, shared_dir(spark, "none"))
+
+
+def as_rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_state_after_a_restart_equals_the_batch(spark, folder):
+    """Batches that arrive one by one, with the stream stopped in between; nulls and ties keep their places."""
+    start = datetime(2024, 1, 1, microsecond=123456)
+    rows = [(i, start + timedelta(seconds=i % 50), f"v{i % 3 and 1}", "neutral", i / 7) for i in range(300)]
+    rows += [(None, None, None, None, None), (5, start, None, "positive", float("nan")), (7, None, "v0", "x\n", 0.5)]
+    schema, base = spark.createDataFrame([], EVENTS).schema, shared_dir(spark, "restart")
+    path = folder([])
+    for k in range(4):
+        spark.createDataFrame(rows[k::4], EVENTS).coalesce(1).write.mode("append").parquet(path)
+        keyed.last_n_per_key(as_stream(spark, path, schema), 20, ["model_version"], f"{base}/rows", f"{base}/state", salts=3).awaitTermination()
+        seen = [r for j in range(k + 1) for r in rows[j::4]]
+        batch = O.latest(spark.createDataFrame(seen, EVENTS), 20, ["model_version"]).select(*schema.names)
+        assert as_rows(keyed.kept_events(spark, f"{base}/rows", schema, 20, ["model_version"])) == as_rows(batch)
+
+
+def test_a_batch_writes_only_what_it_changes(spark, folder):
+    start = datetime(2024, 1, 1)
+    first = [(i, start + timedelta(seconds=i), f"v{i % 100}", "neutral", 0.5) for i in range(2000)]
+    later = [[(5000 + 10 * k + i, start + timedelta(days=1, seconds=i), "v7", "positive", 0.1) for i in range(3)] for k in range(6)]
+    parts = [spark.createDataFrame(p, EVENTS) for p in [first, *later]]
+    path, base = folder(parts), shared_dir(spark, "changes")
+    stream = as_stream(spark, path, parts[0].schema)
+    keyed.last_n_per_key(stream, 10, ["model_version"], f"{base}/rows", f"{base}/state", salts=1).awaitTermination()
+    written = {f: spark.read.parquet(f"{base}/rows/{f}") for f in names(spark, f"{base}/rows")}
+    sizes = [written[f"batch={k}"].count() for k in range(7)]
+    assert sorted(sizes) == [10] * 6 + [1000] and not any(f.startswith("base") for f in written)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    expected = O.latest(every, 10, ["model_version"]).select(*every.columns)
+    assert as_rows(keyed.kept_events(spark, f"{base}/rows", every.schema, 10, ["model_version"])) == as_rows(expected)
+
+
+def test_batches_are_merged_as_they_outgrow_the_base(spark, folder):
+    parts = [spark.createDataFrame([(i, datetime(2024, 1, 1), f"v{i % 4}", "positive", 0.5) for i in range(9)], EVENTS) for _ in range(9)]
+    path, base = folder(parts), shared_dir(spark, "merged")
+    counts = streams.running_counter(as_stream(spark, path, parts[0].schema), ["model_version"])
+    keyed.to_keyed_table(counts, f"{base}/rows", f"{base}/state", ["model_version"]).awaitTermination()
+    assert {r.model_version: r.value for r in keyed.newest_rows(spark, f"{base}/rows", ["model_version"], counts.schema).collect()} == {
+        "v0": 27, "v1": 18, "v2": 18, "v3": 18}
+    held = names(spark, f"{base}/rows")
+    assert sum(f.startswith("base=") for f in held) == 2 and len(held) < 7
+    with pytest.raises(Exception, match="checkpoint is lost"):
+        keyed.to_keyed_table(counts, f"{base}/rows", f"{base}/other", ["model_version"]).awaitTermination()
+    assert keyed.newest_rows(spark, f"{base}/none", ["model_version"], counts.schema).count() == 0
+
+
+def test_idle_keys_time_out(spark, folder):
+    start = datetime(2024, 1, 1)
+    days = [[(0, start, "old", "x", 0.1)], [(1, start + timedelta(days=1), "new", "x", 0.2)]]
+    days += [[(k, start + timedelta(days=10 * k), "new", "x", 0.3)] for k in (2, 3, 4)]
+    parts = [spark.createDataFrame(d, EVENTS) for d in days]
+    base = shared_dir(spark, "idle")
+    for part in parts:  # one after the other, as the watermark moves between batches
+        part.coalesce(1).write.mode("append").parquet(f"{base}/input")
+        stream = as_stream(spark, f"{base}/input", parts[0].schema).withWatermark("ts", "1 hour")
+        keyed.last_n_per_key(stream, 5, ["model_version"], f"{base}/rows", f"{base}/state", idle="7 days").awaitTermination()
+    kept = keyed.kept_events(spark, f"{base}/rows", parts[0].schema, 5, ["model_version"]).collect()
+    assert {r.model_version for r in kept} == {"new"} and max(r.prediction_id for r in kept) == 4
