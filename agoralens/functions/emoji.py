@@ -2,14 +2,16 @@
 
 The text form of an emoji is ``:short_name:``.  Most short names are the
 Unicode name in lower case with underscores; the overrides below are those that
-are not.  Flags are named by their regions.  Joined sequences that are not listed
-are named part by part; keycaps stay as they are.
+are not.  Flags are named by their regions.  Joined sequences of people are named by
+their parts' rules, others are listed, and what remains is named part by part; keycaps
+stay as they are.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+import zlib
 from functools import cache
 
 from pyspark.sql import SparkSession
@@ -220,6 +222,66 @@ OVERRIDES = {
     "❎": "cross_mark_button",
 }
 
+# What a person joined to an object is called.
+PEOPLE = {"👨": "man", "👩": "woman", "🧑": ""}
+ROLES = {
+    "⚕": "health_worker", "⚖": "judge", "✈": "pilot", "🌾": "farmer", "🍳": "cook", "🍼": "feeding_baby",
+    "🎓": "student", "🎤": "singer", "🎨": "artist", "🏫": "teacher", "🏭": "factory_worker", "💻": "technologist",
+    "💼": "office_worker", "🔧": "mechanic", "🔬": "scientist", "🚀": "astronaut", "🚒": "firefighter",
+    "🦯": "with_white_cane", "🦼": "in_motorized_wheelchair", "🦽": "in_manual_wheelchair", "🦰": "red_hair",
+    "🦱": "curly_hair", "🦲": "bald", "🦳": "white_hair",
+}
+# What a person with a gender's sign is called after it.
+GENDERS = {"♂": ("man", "men"), "♀": ("woman", "women")}
+ACTIVITIES = {
+    "⛹": "bouncing_ball", "🏃": "running", "🏄": "surfing", "🏊": "swimming", "🏋": "lifting_weights", "🏌": "golfing",
+    "👮": "police_officer", "👰": "with_veil", "👱": "blond_hair", "👳": "wearing_turban", "👷": "construction_worker",
+    "💁": "tipping_hand", "💂": "guard", "💆": "getting_massage", "💇": "getting_haircut", "🕵": "detective",
+    "🙅": "gesturing_NO", "🙆": "gesturing_OK", "🙇": "bowing", "🙋": "raising_hand", "🙍": "frowning", "🙎": "pouting",
+    "🚣": "rowing_boat", "🚴": "biking", "🚵": "mountain_biking", "🚶": "walking", "🤦": "facepalming",
+    "🤵": "in_tuxedo", "🤷": "shrugging", "🤸": "cartwheeling", "🤹": "juggling", "🤽": "playing_water_polo",
+    "🤾": "playing_handball", "🦸": "superhero", "🦹": "supervillain", "🧍": "standing", "🧎": "kneeling",
+    "🧏": "deaf", "🧔": "beard", "🧖": "in_steamy_room", "🧗": "climbing", "🧘": "in_lotus_position", "🧙": "mage",
+    "🧚": "fairy", "🧛": "vampire", "🧝": "elf", "🧞": "genie", "🧟": "zombie",
+}
+# The other joined sequences.
+JOINED = {
+    "👁‍🗨": "eye_in_speech_bubble", "🏳‍⚧": "transgender_flag", "🏴‍☠": "pirate_flag", "❤‍🩹": "mending_heart",
+    "🐕‍🦺": "service_dog", "🐈‍⬛": "black_cat", "🐻‍❄": "polar_bear", "🐦‍⬛": "black_bird", "😮‍💨": "face_exhaling",
+    "😵‍💫": "face_with_spiral_eyes", "😶‍🌫": "face_in_clouds", "🧜‍♀": "mermaid", "🧜‍♂": "merman",
+    "👯‍♀": "women_with_bunny_ears", "👯‍♂": "men_with_bunny_ears", "🤼‍♀": "women_wrestling", "🤼‍♂": "men_wrestling",
+    "🧑‍🎄": "mx_claus", "🐦‍🔥": "phoenix", "🍋‍🟩": "lime", "🍄‍🟫": "brown_mushroom", "⛓‍💥": "broken_chain",
+    "🙂‍↔": "head_shaking_horizontally", "🙂‍↕": "head_shaking_vertically", "🧑‍🤝‍🧑": "people_holding_hands",
+}
+HEART, KISS = "❤", "💋"
+CHILDREN = {"👦": "boy", "👧": "girl"}
+
+
+@cache
+def joined_names() -> dict[str, str]:
+    """Joined sequences (without variation selectors) to their short names, with one skin tone where people take one."""
+    names = {s.replace(VARIATION, ""): n for s, n in OVERRIDES.items() if JOINER in s} | JOINED
+    tones = {"": "", **{t: f"_{n}" for t, n in SKIN_TONES.items()}}
+    for tone, suffix in tones.items():
+        for person, who in PEOPLE.items():
+            for thing, role in ROLES.items():
+                name = "_".join(p for p in (who or ("person" if role.split("_")[-1] in ("hair", "bald", "cane", "wheelchair", "baby") else ""), role) if p)
+                names[person + tone + JOINER + thing] = name + suffix
+        for sign, (one, _) in GENDERS.items():
+            for person, activity in ACTIVITIES.items():
+                names[person + tone + JOINER + sign] = f"{one}_{activity}{suffix}"
+    adults = {s: n for s, n in PEOPLE.items() if n}
+    pairs = [(a, b) for a in adults for b in adults]
+    for a, b in pairs:
+        between = f"{adults[a]}_{adults[b]}"
+        names[JOINER.join((a, HEART, b))] = f"couple_with_heart_{between}"
+        names[JOINER.join((a, HEART, KISS, b))] = f"kiss_{between}"
+    parents = [(a,) for a in adults] + [p for p in pairs if p != ("👩", "👨")]
+    offspring = [(c,) for c in CHILDREN] + [("👧", "👦"), ("👦", "👦"), ("👧", "👧")]
+    for family in (p + c for p in parents for c in offspring):
+        names[JOINER.join(family)] = "_".join(["family", *((adults | CHILDREN)[m] for m in family)])
+    return names
+
 
 @cache
 def short_names() -> dict[str, str]:
@@ -243,17 +305,32 @@ def _class(extra: str = "") -> str:
 
 
 SYMBOL = _class()
-# Splits a text into single emoji (listed joined sequences first, then one
-# symbol with an optional skin tone) and the runs between them.
-_joined = "|".join(
-    sorted(
-        (s.replace(VARIATION, VARIATION + "?") for s in OVERRIDES if JOINER in s),
-        key=len,
-        reverse=True,
-    )
-)
+# All of the ranges and little else, in three: what a text without symbols is looked through for.
+POSSIBLE = r"[\x{A9}\x{AE}\x{203C}-\x{3299}\x{1F004}-\x{1FAF8}]"
+
+
+def _trie_pattern(sequences: list[str]) -> str:
+    """A pattern of the listed sequences in which each prefix stands once and the longest match comes first."""
+    trie: dict = {}
+    for sequence in sequences:
+        node = trie
+        for c in sequence:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [c + ("" if c == JOINER else f"{VARIATION}?") + pattern(below) for c, below in sorted(node.items()) if c]
+        if not ways:
+            return ""
+        return "(?:" + "|".join(ways) + ")" + ("?" if "" in node else "")
+
+    return pattern(trie)
+
+
+# Splits a text into single emoji (joined sequences first, then one symbol with an
+# optional skin tone) and the runs between them.
 PIECES = (
-    rf"(?:{_joined}|[{REGIONAL[0]}-{REGIONAL[-1]}]{{2}}|{SYMBOL}(?:[\x{{1F3FB}}-\x{{1F3FF}}])?){VARIATION}?"
+    rf"(?:{_trie_pattern(list(joined_names()))}|[{REGIONAL[0]}-{REGIONAL[-1]}]{{2}}|{SYMBOL}(?:[\x{{1F3FB}}-\x{{1F3FF}}])?){VARIATION}?"
     rf"|[^{SYMBOL[1:]}+"
 )
 
@@ -265,16 +342,23 @@ def flags() -> dict[str, str]:
     return {f: locale("", c).getDisplayCountry(locale.ENGLISH).replace(" ", "_") for c, f in spelt.items()}
 
 
+MAPS = 256
+
+
 @cache
 def short_names_json() -> str:
-    """The names, with every skin tone of the symbols that take one."""
+    """The names, with every skin tone of the symbols that take one, in maps chosen by a checksum of the sequence."""
     names = dict(short_names())
     for symbol, name in short_names().items():
         if len(symbol) == 1 and symbol not in SKIN_TONES and _takes_tone(symbol):
             for tone, suffix in SKIN_TONES.items():
                 names[symbol + tone] = f"{name}_{suffix}"
+    names.update(joined_names())
     names.update(flags())
-    return json.dumps(names, ensure_ascii=False)
+    maps: list[dict[str, str]] = [{} for _ in range(MAPS)]
+    for sequence, name in names.items():
+        maps[zlib.crc32(sequence.encode()) % MAPS][sequence] = name
+    return json.dumps(maps, ensure_ascii=False)
 
 
 def _takes_tone(symbol: str) -> bool:

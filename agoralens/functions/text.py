@@ -64,18 +64,24 @@ def string_array(values: list[str]) -> Column:
 
 
 def demojize(text: Column) -> Column:
-    """Replace each emoji by ``:short_name:``; texts without one are only scanned."""
-    names = F.from_json(F.lit(emoji.short_names_json()), "map<string,string>")
+    """Replace each emoji by ``:short_name:``; texts without one are only scanned.
+
+    The scan is for three wide ranges.  What it finds is split exactly, and only single
+    pieces are looked up, each in the map that its checksum chooses.
+    """
+    maps = F.from_json(F.lit(emoji.short_names_json()), "array<map<string,string>>")
 
     def named(piece: Column) -> Column:
-        name = F.try_element_at(names, F.replace(piece, F.lit(emoji.VARIATION), F.lit("")))
-        return F.when(
-            piece.rlike(emoji.SYMBOL), F.coalesce(F.concat(F.lit(":"), name, F.lit(":")), piece)
-        ).otherwise(piece)
+        def name(bare: Column) -> Column:
+            own = F.get(maps, F.pmod(F.crc32(bare.cast("binary")), F.lit(emoji.MAPS)).cast("int"))
+            return F.coalesce(F.concat(F.lit(":"), F.try_element_at(own, bare), F.lit(":")), piece)
+
+        found = let(F.replace(piece, F.lit(emoji.VARIATION), F.lit("")), name)
+        return F.when(piece.rlike(emoji.POSSIBLE), found).otherwise(piece)
 
     def replaced(t: Column) -> Column:
         pieces = F.regexp_extract_all(t, F.lit(f"({emoji.PIECES})"), F.lit(0))
-        return F.when(t.rlike(emoji.SYMBOL), F.array_join(F.transform(pieces, named), "")).otherwise(t)
+        return F.when(t.rlike(emoji.POSSIBLE), F.array_join(F.transform(pieces, named), "")).otherwise(t)
 
     return let(text, replaced)
 

@@ -125,3 +125,31 @@ def test_preview(spark):
 def test_thread_reference(spark, url, post, comment, reason):
     (got,) = apply(spark, T.thread_reference, [url])
     assert (got.post_id, got.comment_id, got.reason) == (post, comment, reason)
+
+
+def test_joined_sequences_are_named_whole(spark):
+    cases = {
+        "👨‍💻": ":man_technologist:", "👩🏽‍🚀 up": ":woman_astronaut_medium_skin_tone: up", "🧑‍🏫": ":teacher:",
+        "🏃‍♀️": ":woman_running:", "🏃🏿‍♂️": ":man_running_dark_skin_tone:", "👨‍👩‍👧‍👦": ":family_man_woman_girl_boy:",
+        "👩‍❤️‍💋‍👨": ":kiss_woman_man:", "👩‍❤‍👩": ":couple_with_heart_woman_woman:", "🏴‍☠️": ":pirate_flag:", "🐈‍⬛!": ":black_cat:!",
+        "🏳️‍🌈🏳️‍⚧️": ":rainbow_flag::transgender_flag:", "👨‍🦰": ":man_red_hair:", "❤️‍🔥": ":heart_on_fire:",
+        "👨‍👩": ":man:‍:woman:", "、日本": "、日本", "3️⃣ ©": "3️⃣ :copyright:", "🇩🇪🇩": ":Germany:🇩",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.n for r in df.select("t", T.demojize(F.col("t")).alias("n")).collect()} == cases
+
+
+def test_every_listed_sequence_is_one_piece(spark):
+    names = emoji.joined_names()
+    assert len(names) > 900
+    df = spark.createDataFrame([(s, s.replace("‍", "️‍") + "️") for s in names], "plain string, varied string")
+    for column in ("plain", "varied"):
+        found = df.select("plain", T.demojize(F.col(column)).alias("n")).collect()
+        assert all(r.n == f":{names[r.plain]}:" for r in found)
+
+
+def test_the_wide_scan_holds_all_symbols():
+    import re
+
+    wide = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", emoji.POSSIBLE))
+    assert all(wide.match(chr(c)) for a, b in emoji.RANGES for c in (a, b))
