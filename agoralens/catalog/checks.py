@@ -95,23 +95,31 @@ check(
 _lemma_rows = ", ".join(
     f"({quoted([x]) if x else 'null'}, {quoted([y]) if y else 'null'})" for x, y in LEMMAS
 )
-check(
-    "lemmatized_text",
-    f"""{BASE}, {LABELLED}, {CLEANED},
-    given as (select * from (values {_lemma_rows}) v(surface, lemma) union all
+LEMMATIZED = f"""given as (select * from (values {_lemma_rows}) v(surface, lemma) union all
         select distinct surface, substr(surface, 1, length(surface) - 1) from
         (select unnest(string_split(lower(text), ' ')) as surface from documents)
         where surface like '%s' and length(surface) > 4),
     lemmas as (select surface, min(lemma) as lemma from given where surface is not null and lemma is not null group by surface),
     places as (select comment_id, unnest(kept_words) as w, generate_subscripts(kept_words, 1) as i from joined_text),
     lines as (select comment_id, string_agg(coalesce(lemma, w), ' ' order by i) as line
-        from places left join lemmas on surface = w group by comment_id)
+        from places left join lemmas on surface = w group by comment_id)"""
+check(
+    "lemmatized_text",
+    f"""{BASE}, {LABELLED}, {CLEANED}, {LEMMATIZED}
     select comment_id, coalesce(line, '') as processed_text from joined_text left join lines using (comment_id)""",
 )
+for _name in ("lemmatized_features", "stream_lemmatized_features"):
+    check(
+        _name,
+        f"""{BASE}, {LABELLED}, {CLEANED}, {LEMMATIZED}
+        select comment_id, sentiment, round(sentiment_score, 6) as sentiment_score, line as processed_text,
+               cast(len(kept_words) as integer) as word_count
+        from joined_text join lines using (comment_id) where len(kept_words) >= 3""",
+    )
 _symbols = ", ".join(f"({i}, {quoted([name])})" for i, (_, name) in enumerate(SYMBOLS))
 check(
     "symbol_names",
-    f"""select doc_id, name as cleaned from documents
+    f"""select doc_id, trim({clean('text')} || ' ' || name) as cleaned from documents
     join (values {_symbols}) v(i, name) on i = doc_id % {len(SYMBOLS)}""",
 )
 check(

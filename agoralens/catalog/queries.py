@@ -103,22 +103,34 @@ def _lemmas(spark):
     return spark.createDataFrame(LEMMAS, "surface string, lemma string")
 
 
-@query
-def lemmatized_text(spark, sf_dir):
+def _lemma_table(spark, sf_dir):
     """The listed lemmas, and for every other word of the corpus that ends in s the word without it."""
-    df = _cleaned(spark, sf_dir)
     words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split(F.lower("text"), " ")).alias("surface"))
     plurals = words.filter("surface like '%s' and length(surface) > 4").distinct().select(
         "surface", F.expr("left(surface, length(surface) - 1)").alias("lemma")
     )
-    return J.lemmatize(df, _lemmas(spark).unionByName(plurals), "comment_id").select("comment_id", "processed_text")
+    return _lemmas(spark).unionByName(plurals)
+
+
+@query
+def lemmatized_text(spark, sf_dir):
+    df = _cleaned(spark, sf_dir)
+    return J.lemmatize(df, _lemma_table(spark, sf_dir)).select("comment_id", "processed_text")
+
+
+@query
+def lemmatized_features(spark, sf_dir):
+    """Stage one with a table of lemmas."""
+    df = preprocess.preprocess(view(spark, sf_dir, "comments"), lemmas=_lemma_table(spark, sf_dir))
+    return rounded(df, "sentiment_score").select("comment_id", "sentiment", "sentiment_score", "processed_text", "word_count")
 
 
 @query
 def symbol_names(spark, sf_dir):
-    texts = F.array(*[F.lit(text) for text, _ in SYMBOLS])
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    return df.select("doc_id", T.clean_text(F.get(texts, F.pmod("doc_id", F.lit(len(SYMBOLS))).cast("int"))).alias("cleaned"))
+    """All texts, with symbols behind them."""
+    symbols = F.get(F.array(*[F.lit(text) for text, _ in SYMBOLS]), F.pmod("doc_id", F.lit(len(SYMBOLS))).cast("int"))
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat_ws(" ", "text", symbols).alias("text"))
+    return df.select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query
@@ -795,6 +807,17 @@ def stream_comment_features(spark, sf_dir):
     )
 
 
+@query
+def stream_lemmatized_features(spark, sf_dir):
+    """Stage one with a table of lemmas on a stream of several batches."""
+    comments = _stream(spark, sf_dir, "documents", "comments", BATCHES)
+    base = shared_dir(spark, "lemmatized")
+    lemmas = materialize(_lemma_table(spark, sf_dir), "lemma-table")
+    streams.features_to_table(comments, f"{base}/rows", f"{base}/state", lemmas=lemmas).awaitTermination()
+    df = spark.read.parquet(f"{base}/rows")
+    return rounded(df, "sentiment_score").select("comment_id", "sentiment", "sentiment_score", "processed_text", "word_count")
+
+
 @query
 def stream_daily_counts(spark, sf_dir):
     labelled = add_sentiment_labels(_stream(spark, sf_dir, "documents", "comments", BATCHES))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import materialize
-from .ranking import first_n_by_cutoff, join_null_safe
+from .ranking import first_n_by_cutoff
 
 
 def with_posts(comments: DataFrame, posts: DataFrame) -> DataFrame:
@@ -37,29 +37,34 @@ def first_comments(comments: DataFrame, limit: int = 20) -> DataFrame:
     return first_n_by_cutoff(comments, ["post_id"], F.struct("created_utc", "comment_id"), limit)
 
 
-def lemmatize(
-    df: DataFrame, lemmas: DataFrame, key: str, text: str = "cleaned_text", output: str = "processed_text"
-) -> DataFrame:
-    """Stop-word removal and lemma lookup with a table of (surface, lemma) of any size.
+def with_lemma_table(df: DataFrame, lemmas: DataFrame, words: str) -> DataFrame:
+    """Replace the tokens of an array column by their lemmas in a table of (surface, lemma) of any size.
 
     Of several lemmas of a surface the first in order counts.  Rows without a surface or
     a lemma say nothing, and a token without a lemma stays as it is.
 
-    The table is first cut to the surfaces that occur in the texts and that the lemma
-    changes, and written down, so that the planner knows its size and broadcasts it if
-    that allows.  Each document meets a token once, however often it has it; a document
-    gets the few lemmas it needs as a map and applies them in place.
+    The rows are written down once, so that what their tokens cost is paid once.  The
+    table is cut to the surfaces that occur in them and that the lemma changes, and
+    written down, so that the planner knows its size and broadcasts it if that allows.
+    Each row meets a token once, however often it has it; it gets the few lemmas that it
+    needs as a map and applies them in place.
     """
     table = (
         lemmas.filter("surface is not null and lemma is not null")
         .groupBy("surface").agg(F.min("lemma").alias("lemma")).filter("surface <> lemma")
     )
-    words = T.without_stop_words(T.tokens(F.col(text)))
-    pairs = df.select(F.col(key), F.explode(F.array_distinct(words)).alias("surface"))
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    pairs = rows.select("_row", F.explode(F.array_distinct(words)).alias("surface"))
     used = materialize(table.join(pairs.select("surface").distinct(), "surface", "left_semi"), "lemmas")
-    own = pairs.join(used, "surface").groupBy(key).agg(
-        F.map_from_entries(F.collect_set(F.struct("surface", "lemma"))).alias("_lemmas")
+    own = pairs.join(used, "surface").groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("surface", "lemma"))).alias("_lemmas")
     )
     looked_up = F.transform(words, lambda t: F.coalesce(F.try_element_at("_lemmas", t), t))
-    joined = join_null_safe(df, own, [key], "left")
-    return joined.withColumn(output, F.coalesce(F.array_join(looked_up, " "), F.lit(""))).drop("_lemmas")
+    return rows.join(own, "_row", "left").withColumn(words, looked_up).drop("_row", "_lemmas")
+
+
+def lemmatize(df: DataFrame, lemmas: DataFrame, text: str = "cleaned_text", output: str = "processed_text") -> DataFrame:
+    """Stop-word removal and lemma lookup with a table of any size; a null text gives an empty one."""
+    words = T.without_stop_words(T.tokens(F.col(text)))
+    found = with_lemma_table(df.withColumn("_words", words), lemmas, "_words")
+    return found.withColumn(output, F.coalesce(F.array_join("_words", " "), F.lit(""))).drop("_words")

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.labels import vote_signal
 from ..functions.wordlists import STOP_WORDS
 from ..operators.labeling import add_sentiment_labels
+from ..operators.lookups import with_lemma_table
 
 REQUIRED = ("score", "subreddit")
 
@@ -17,7 +18,7 @@ def preprocess(
     comments: DataFrame,
     text: str = "text",
     stop_words: list[str] = STOP_WORDS,
-    lemmas: dict[str, str] | None = None,
+    lemmas: dict[str, str] | DataFrame | None = None,
     min_words: int = 3,
 ) -> DataFrame:
     """Label, clean, tokenise and describe each comment; drop those with too few words.
@@ -27,7 +28,15 @@ def preprocess(
     on as one struct: as a plain filter, the optimizer would move it below the
     projections and clean every text twice.  Filters on the input columns still
     reach the scan, and labels that nobody reads are not computed.
+
+    ``lemmas`` is a small dict, or a table of (surface, lemma) of any size, of which
+    duplicates and nulls count as in ``with_lemma_table``.  With a table the cleaned rows
+    are written down, so their texts are still cleaned once; a stream then needs
+    ``streams.features_to_table``.
     """
+    by_table = isinstance(lemmas, DataFrame)
+    if by_table and comments.isStreaming:
+        raise ValueError("a stream looks lemmas up batch by batch: use features_to_table")
     missing = sorted({"text", text, *REQUIRED} - set(comments.columns))
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
@@ -38,7 +47,11 @@ def preprocess(
     kept = [c for c in comments.columns if c not in derived]
     cleaned = comments.withColumn("cleaned_text", T.clean_text(F.col(text)))
     cleaned = cleaned.withColumn("_all", T.tokens(F.col("cleaned_text")))
-    cleaned = cleaned.withColumn("_words", T.with_lemmas(T.without_stop_words(F.col("_all"), stop_words), lemmas))
+    words = T.without_stop_words(F.col("_all"), stop_words)
+    if by_table:
+        cleaned = with_lemma_table(cleaned.withColumn("_words", words), lemmas, "_words")
+    else:
+        cleaned = cleaned.withColumn("_words", T.with_lemmas(words, lemmas))
 
     letters = F.length("cleaned_text") - F.greatest(F.size("_all") - 1, F.lit(0))
     texts = {

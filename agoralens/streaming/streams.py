@@ -31,6 +31,22 @@ def comment_features(comments: DataFrame, **settings) -> DataFrame:
     return preprocess(comments, **settings)
 
 
+def features_to_table(
+    comments: DataFrame, path: str, checkpoint: str, available_now: bool = True, **settings
+) -> StreamingQuery:
+    """Stage one of each batch, appended to a table; ``lemmas`` may be a table of any size.
+
+    The table of lemmas is read anew by each batch.  A batch that is run again after a
+    failure overwrites its own part, so each comment lands once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        preprocess(batch, **settings).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = comments.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def distinct_comments(comments: DataFrame, delay: str = "1 day") -> DataFrame:
     """Each comment once, as long as its copies arrive within the delay."""
     return comments.withWatermark("created_utc", delay).dropDuplicatesWithinWatermark(["comment_id"])

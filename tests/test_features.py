@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from agoralens.operators import features as Fe
 from agoralens.plans.engineer import engineer_features
 from agoralens.plans.preprocess import preprocess
+from agoralens.streaming import streams
 
 
 def test_preprocess_keeps_long_texts_and_adds_columns(spark, make_comments):
@@ -96,3 +97,25 @@ def test_engineered_columns(spark):
     sparse, _ = engineer_features(df, max_features=4)
     norm = sparse.select(F.col("tfidf")).first().tfidf.norm(2)
     assert norm == pytest.approx(1)
+
+
+def test_preprocess_with_a_table_of_lemmas(spark, make_comments, tmp_path):
+    rows = [{"text": "Cats saw issues and dogs cats"}, {"comment_id": None, "text": "cats mice dogs"}, {"text": "the"}]
+    comments = make_comments(rows + rows[:1])
+    table = [("cats", "feline"), ("cats", "cat"), ("dogs", "dog"), ("mice", None), (None, "x"), ("issues", "issue")]
+    lemmas = spark.createDataFrame(table, "surface string, lemma string")
+    found = preprocess(comments, lemmas=lemmas)
+    want = preprocess(comments, lemmas={"cats": "cat", "dogs": "dog", "issues": "issue"})
+    assert found.columns == want.columns and sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert "cat mice dog" in {r.processed_text for r in found.collect()}
+    stream = streams.read_stream(spark, _written(comments, f"{tmp_path}/in"), comments.schema)
+    with pytest.raises(ValueError, match="features_to_table"):
+        preprocess(stream, lemmas=lemmas)
+    streams.features_to_table(stream, f"{tmp_path}/out", f"{tmp_path}/state", lemmas=lemmas).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def _written(df, path):
+    df.write.parquet(path)
+    return path

@@ -74,10 +74,10 @@ def test_lemma_table_of_any_size(spark, fillers):
     rows = [("cats", "feline"), ("cats", "cat"), ("dogs", "dog"), ("dogs", "dog"), ("mice", None), (None, "x"), ("saw", "saw")]
     filler = spark.range(fillers).selectExpr("concat('w', id) as surface", "'x' as lemma")
     table = spark.createDataFrame(rows, "surface string, lemma string").unionByName(filler)
-    got = sorted(map(str, [(r.id, r.processed_text) for r in J.lemmatize(df, table, "id").collect()]))
+    got = sorted(map(str, [(r.id, r.processed_text) for r in J.lemmatize(df, table).collect()]))
     want = [("1", "cat saw issues, dog cat"), ("2", ""), ("3", ""), ("4", ""), (None, "cat"), ("1", "dog mice")]
     assert got == sorted(map(str, want))
-    assert J.lemmatize(df, table.limit(0), "id").filter("id = '1'").count() == 2
+    assert J.lemmatize(df, table.limit(0)).filter("id = '1'").count() == 2
 
 
 REQUESTS = [
