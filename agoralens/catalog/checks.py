@@ -749,6 +749,12 @@ _collected = f"""{BASE} select comment_id, text, subreddit, score, {STAMP.format
     controversiality from comments"""
 check("csv_comments", _collected)
 check("newest_snapshot", _collected)
+check(
+    "rejected_threads",
+    f"""{BASE} select case ((score % 7) + 7) % 7 when 1 then 'bad_json' when 2 then 'no_post_id' when 3 then 'no_comments'
+        when 4 then 'no_comment_id' when 5 then 'bad_json' else 'kept' end as reason, count(*) as posts
+    from comments group by 1""",
+)
 check(
     "accumulated_batches",
     f"""{BASE} select comment_id, score, case when score < 0 then controversiality end as controversiality,

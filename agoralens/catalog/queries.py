@@ -755,6 +755,28 @@ def csv_comments(spark, sf_dir):
     return tables.read_comments_csv(spark, path, schema).withColumn("created_utc", stamp("created_utc"))
 
 
+@query
+def rejected_threads(spark, sf_dir):
+    """Each comment as a post of its own, some of them spoilt, by what becomes of them."""
+    text = F.substring("text", 1, 50)
+    one = F.struct(F.col("comment_id").alias("id"), text.alias("body"), "score")
+    post = F.struct(F.col("post_id").alias("id"), "subreddit", F.array(one).alias("comments"))
+    value = F.to_json(post)
+    kind = F.pmod("score", F.lit(7))
+    spoilt = (
+        F.when(kind == 1, F.substring(value, 1, 40))
+        .when(kind == 2, F.to_json(F.struct("subreddit", F.array(one).alias("comments"))))
+        .when(kind == 3, F.to_json(F.struct(F.col("post_id").alias("id"), F.array().cast("array<string>").alias("comments"))))
+        .when(kind == 4, F.to_json(F.struct(F.col("post_id").alias("id"), F.array(F.struct(text.alias("body"))).alias("comments"))))
+        .when(kind == 5, F.lit(None))
+        .otherwise(value)
+    )
+    raw = view(spark, sf_dir, "comments").select(spoilt.alias("value"))
+    kept = tables.flatten_threads(raw).select(F.lit("kept").alias("reason"))
+    every = kept.unionByName(tables.rejected_threads(raw).select("reason"))
+    return every.groupBy("reason").agg(F.count(F.lit(1)).alias("posts"))
+
+
 @query
 def newest_snapshot(spark, sf_dir):
     rows = _collected(spark, sf_dir)
@@ -770,9 +792,11 @@ def accumulated_batches(spark, sf_dir):
     path = f"{shared_dir(spark, 'batches')}/comments"
     with_category = rows.filter("score >= 0").withColumn("category", F.lit("hot")).drop("controversiality")
     both = tables.accumulate([rows.filter("score < 0"), with_category])
-    tables.append_batch(both.filter("category is null"), path)
-    tables.append_batch(both.filter("category is not null"), path)
-    df = spark.read.schema(both.schema).parquet(path)
+    first, second = both.filter("category is null"), both.filter("category is not null")
+    first.limit(10).write.parquet(f"{path}/batch=one")  # a job that died half-way
+    for batch, rows in (("one", first), ("two", second), ("one", first)):
+        tables.commit_batch(rows, path, batch)
+    df = tables.read_batches(spark, path, both.schema)
     return df.select("comment_id", "score", "controversiality", "category")
 
 

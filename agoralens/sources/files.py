@@ -19,3 +19,10 @@ def names(spark: SparkSession, path: str) -> list[str]:
 def remove(spark: SparkSession, path: str) -> None:
     store, where = _at(spark, path)
     store.delete(where, True)
+
+
+def mark(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless it is there; whether this call has created it."""
+    store, where = _at(spark, path)
+    store.mkdirs(where.getParent())
+    return bool(store.createNewFile(where))

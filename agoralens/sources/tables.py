@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .files import names
+from .csv import read_csv
+from .files import mark, names
 from .schema import COMMENTS, RAW_THREAD
 
 SITE = "https://reddit.com"
@@ -24,17 +25,9 @@ def read_comments(spark: SparkSession, path: str, schema: T.StructType = COMMENT
 def read_comments_csv(spark: SparkSession, path: str, schema: T.StructType = COMMENTS) -> DataFrame:
     """Comments at rest as CSV with a header; texts may hold line breaks and quotes.
 
-    The columns are those of the header, typed by the schema.  Multi-line files
-    cannot be split, so a large dataset is better kept as parquet.
+    The columns are those of the header, typed by the schema.  Files are read in splits.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .csv(path)
-    )
+    return read_csv(spark, path, schema)
 
 
 def write_csv(df: DataFrame, path: str) -> str:
@@ -75,6 +68,33 @@ def append_batch(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def commit_batch(df: DataFrame, root: str, batch: str) -> bool:
+    """Add one batch to an accumulated table exactly once; whether it was new.
+
+    The rows are written to a folder of the batch, and then its id to the log beside
+    them, in one step of the store.  A batch that the log has is not written again; what
+    a job left that died before that is overwritten, and readers, who follow the log,
+    have not seen it.
+    """
+    if not re.fullmatch(r"[\w-]+", batch):
+        raise ValueError(f"a batch is named by letters, digits, - and _, not {batch!r}")
+    spark = df.sparkSession
+    if batch in committed_batches(spark, root):
+        return False
+    df.write.mode("overwrite").parquet(f"{root}/batch={batch}")
+    return mark(spark, f"{root}/_log/{batch}")
+
+
+def committed_batches(spark: SparkSession, root: str) -> list[str]:
+    return names(spark, f"{root}/_log")
+
+
+def read_batches(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """All committed batches; columns that a batch lacks are null."""
+    found = [f"{root}/batch={b}" for b in committed_batches(spark, root)]
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
 def accumulate(batches: list[DataFrame]) -> DataFrame:
     """All batches as one table; columns a batch lacks are null."""
     result = batches[0]
@@ -83,13 +103,39 @@ def accumulate(batches: list[DataFrame]) -> DataFrame:
     return result
 
 
+def _judged_threads(raw: DataFrame, column: str) -> DataFrame:
+    """Posts as (raw, post, reason); the reason is null for those that give comments."""
+    known = T.StructType([*RAW_THREAD.fields, T.StructField("_broken", T.StringType())])
+    posts = raw.select(
+        F.col(column).alias("raw"), F.from_json(column, known, {"columnNameOfCorruptRecord": "_broken"}).alias("post")
+    )
+    comments = F.col("post.comments")
+    reason = (
+        F.when(F.col("raw").isNull() | F.col("post").isNull() | F.col("post._broken").isNotNull(), "bad_json")
+        .when(F.col("post.id").isNull(), "no_post_id")
+        .when(comments.isNull() | (F.size(comments) == 0), "no_comments")
+        .when(F.exists(comments, lambda c: c.isNull() | c["id"].isNull()), "no_comment_id")
+    )
+    return posts.withColumn("reason", reason)
+
+
+def rejected_threads(raw: DataFrame, column: str = "value") -> DataFrame:
+    """The posts that ``flatten_threads`` has no rows of, as (raw, reason); on a stream, too.
+
+    A post is kept whole or rejected whole: ``bad_json`` (or a value of a wrong type),
+    ``no_post_id``, ``no_comments`` or ``no_comment_id``.
+    """
+    return _judged_threads(raw, column).filter("reason is not null").select("raw", "reason")
+
+
 def flatten_threads(raw: DataFrame, column: str = "value") -> DataFrame:
     """JSON posts with their comments to one row per comment.
 
     Seconds since the epoch become UTC timestamps, permalinks get the site's
-    address, a missing controversiality is 0.
+    address, a missing controversiality is 0.  Posts that can't be read whole are left
+    to ``rejected_threads``.
     """
-    thread = raw.select(F.from_json(column, RAW_THREAD).alias("post"))
+    thread = _judged_threads(raw, column).filter("reason is null")
     rows = thread.select("post", F.explode("post.comments").alias("c"))
     return rows.select(
         F.col("c.id").alias("comment_id"),

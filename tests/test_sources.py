@@ -1,5 +1,6 @@
 import json
 import os
+import random
 from datetime import datetime
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from agoralens.session import shared_dir
 from agoralens.sources import tables
 from agoralens.sources.schema import COMMENTS
+from agoralens.streaming import streams
 
 
 def test_csv_keeps_line_breaks_quotes_and_types(spark):
@@ -107,3 +109,60 @@ def test_a_damaged_old_snapshot_does_not_matter(spark):
     assert sorted(r.id for r in tables.read_newest(spark, root, "numbers").collect()) == [0, 1, 2]
     with pytest.raises(FileNotFoundError):
         tables.read_newest(spark, root, "others")
+
+
+def test_large_csv_is_read_by_many_tasks(spark):
+    """Records that span lines and splits, whatever the size of the splits; the same as one task reads."""
+    rng = random.Random(4)
+    bits = ["a", '"', ",", "\n", "\n\n", "\r\n", "ü", "😀", '""', " ", "x" * 30, "\\"]
+    rows = [(f"c{i}", "".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 5, 40, 400]))), i) for i in range(300)]
+    df = spark.createDataFrame([(i, t or None, n) for i, t, n in rows], "comment_id string, text string, score long").coalesce(1)
+    path = tables.write_csv(df, shared_dir(spark, "csv"))
+    whole = spark.read.schema(df.schema).options(header=True, multiLine=True, escape='"').csv(path)
+    expected = sorted(map(str, whole.collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("97", "1000", "40000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            back = tables.read_comments_csv(spark, path, df.schema)
+            assert sorted(map(str, back.collect())) == expected and len(expected) == len(rows)
+            lines = spark.read.text(path)
+            assert lines.rdd.getNumPartitions() > 20 or size == "40000"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    with pytest.raises(ValueError, match="without a type"):
+        tables.read_comments_csv(spark, path, df.select("text").schema)
+
+
+def test_batches_are_committed_once(spark):
+    root = shared_dir(spark, "committed")
+    schema = "comment_id string, score int"
+    assert tables.read_batches(spark, root, spark.createDataFrame([], schema).schema).count() == 0
+    one, two = (spark.createDataFrame(r, schema) for r in ([("a", 1), ("b", 2)], [("c", 3)]))
+    spark.createDataFrame([("a", 1)], schema).write.parquet(f"{root}/batch=one")  # a job that died before it committed
+    assert tables.read_batches(spark, root, one.schema).count() == 0
+    assert tables.commit_batch(one, root, "one") and tables.commit_batch(two, root, "two")
+    assert not tables.commit_batch(one, root, "one") and tables.committed_batches(spark, root) == ["one", "two"]
+    two.write.mode("overwrite").parquet(f"{root}/batch=three")
+    assert sorted(map(tuple, tables.read_batches(spark, root, one.schema).collect())) == [("a", 1), ("b", 2), ("c", 3)]
+    with pytest.raises(ValueError, match="a batch is named"):
+        tables.commit_batch(two, root, "../x")
+
+
+def test_bad_posts_are_told(spark):
+    good = {"id": "p1", "comments": [{"id": "c1", "body": "x", "score": 3}]}
+    rows = {
+        json.dumps(good): None, "not json": "bad_json", None: "bad_json", '{"id": "p"': "bad_json", "": "bad_json",
+        json.dumps({**good, "comments": []}): "no_comments", json.dumps({"id": "p1"}): "no_comments",
+        json.dumps({**good, "id": None}): "no_post_id", json.dumps({**good, "comments": [{"body": "x"}]}): "no_comment_id",
+        json.dumps({**good, "comments": [{"id": "c", "score": "many"}]}): "bad_json",
+    }
+    raw = spark.createDataFrame([(k,) for k in rows], "value string")
+    assert {r["raw"]: r.reason for r in tables.rejected_threads(raw).collect()} == {k: v for k, v in rows.items() if v}
+    assert [r.comment_id for r in tables.flatten_threads(raw).collect()] == ["c1"]
+    path = shared_dir(spark, "posts")
+    raw.write.parquet(path)
+    stream = streams.read_stream(spark, path, raw.schema)
+    assert streams.run_to_table(tables.rejected_threads(stream), "rejected").count() == len(rows) - 1
