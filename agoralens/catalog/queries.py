@@ -361,6 +361,34 @@ def train_and_predict(spark, sf_dir):
     )
 
 
+@query
+def model_certificate(spark, sf_dir):
+    """Per class, the rows that a model of texts and numbers is fitted on, that it is optimal there, and how it does on others.
+
+    Optimal: no derivative of what is minimised is above 0.001.
+    """
+    processed = engineer.add_features(materialize(_processed(spark, sf_dir), "processed"))
+    rows = engineer.fit_tfidf(processed).transform(processed)
+    parts = materialize(B.stratified_split(rows), "split")
+    train, test = (parts.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+    model = M.train_model(train, max_iterations=500, tolerance=1e-9)
+    path = shared_dir(spark, "model")
+    model.save(path)
+    loaded = M.SentimentModel.load(path)
+    steep = M.gradients(loaded, train).groupBy("class").agg(F.max(F.abs("gradient")).alias("g"))
+    optimal = steep.select(L.label_name(F.col("class")).alias("sentiment"), (F.col("g") < 1e-3).alias("optimal"))
+    both = model.predict(test).select("comment_id", "sentiment", "predicted_label").join(
+        loaded.predict(test).select("comment_id", F.col("predicted_label").alias("again")), "comment_id")
+    held_out = both.groupBy("sentiment").agg(
+        F.count(F.lit(1)).alias("held_out"), F.every(F.col("predicted_label") == F.col("again")).alias("same_when_loaded"),
+        F.count_if(F.col("predicted_label") == F.col("sentiment")).alias("_right"),
+    )
+    totals = held_out.agg((F.sum("_right") > F.max("held_out")).alias("r")).scalar()
+    counts = train.groupBy("sentiment").agg(F.count(F.lit(1)).alias("fitted_on"))
+    found = counts.join(optimal, "sentiment").join(held_out.drop("_right"), "sentiment")
+    return found.withColumn("better_than_majority", totals)
+
+
 @query
 def text_model_facts(spark, sf_dir):
     """Per class, what must hold for the held-out rows of a model of texts, before and after it is saved and loaded."""

@@ -124,6 +124,7 @@ def train_model(
     label: str = "sentiment",
     max_iterations: int = 50,
     regularisation: float = 0.01,
+    tolerance: float = 1e-6,
 ) -> SentimentModel:
     """A multinomial logistic regression over the scaled features and the sparse vectors.
 
@@ -140,6 +141,44 @@ def train_model(
         labelCol="label",
         maxIter=max_iterations,
         regParam=regularisation,
+        tol=tolerance,
         standardization=True,
     )
     return SentimentModel(scaling, vectors, learner.fit(ready.select("features", "label")))
+
+
+def gradients(model: SentimentModel, train: DataFrame, label: str = "sentiment") -> DataFrame:
+    """How far each coefficient is from the optimum of what ``train_model`` minimises over these rows.
+
+    One row per class and term (-1 for the intercept) with the derivative of the mean
+    log-loss plus the penalty, for features scaled by their deviations, as the penalty
+    is.  All are 0 at the optimum.  The entries of sparse vectors are summed per term
+    by a shuffle of partial sums; the coefficients are as many as features and classes.
+    """
+    spark = train.sparkSession
+    classifier = model.classifier
+    classes = range(classifier.numClasses)
+    scored = classifier.transform(model.features(add_label_ids(train, label, "label")))
+    vector = F.unwrap_udt("features")
+    terms = F.when(vector["type"] == 0, vector["indices"]).otherwise(
+        F.sequence(F.lit(0), F.greatest(F.size(vector["values"]) - 1, F.lit(0))))
+    rest = [(vector_to_array("probability")[k] - (F.col("label") == k).cast("double")).alias(f"r{k}") for k in classes]
+    rows = scored.select(F.arrays_zip(terms.alias("term"), vector["values"].alias("value")).alias("entries"), *rest)
+    every = rows.withColumn("entries", F.concat(F.array(F.struct(F.lit(-1).alias("term"), F.lit(1.0).alias("value"))), "entries"))
+    entries = every.select(F.explode("entries").alias("e"), *[f"r{k}" for k in classes]).select("e.*", *[f"r{k}" for k in classes])
+    sums = entries.groupBy("term").agg(
+        F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"),
+        *[F.sum(F.col("value") * F.col(f"r{k}")).alias(f"g{k}") for k in classes],
+    )
+    n = rows.agg(F.count(F.lit(1)).cast("double")).scalar()
+    matrix, own = classifier.coefficientMatrix.toArray(), classifier.interceptVector.toArray()
+    known = [(-1, *map(float, own))] + [(j, *map(float, matrix[:, j])) for j in range(matrix.shape[1])]
+    weights = spark.createDataFrame(known, "term int, " + ", ".join(f"w{k} double" for k in classes))
+    deviation = F.sqrt((F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1))
+    joined = sums.join(weights, "term").withColumn("n", n).withColumn("d", F.when(F.col("term") == -1, 1.0).otherwise(deviation))
+    penalty = F.when(F.col("term") == -1, 0.0).otherwise(F.lit(float(classifier.getRegParam())))
+    one = F.array(*[
+        F.struct(F.lit(k).alias("class"), (F.col(f"g{k}") / F.col("n") / F.col("d") + penalty * F.col(f"w{k}") * F.col("d")).alias("gradient"))
+        for k in classes
+    ])
+    return joined.filter("d > 0").select("term", F.inline(one))
