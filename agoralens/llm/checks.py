@@ -265,8 +265,8 @@ CHECKS["op3_warc_derivatives"] = rf"""
                'source-header: HTTP/1.1 200 OK' || nl || 'source-header: Content-Type: text/html; charset=utf-8' || nl
                || 'source-header: Content-Length: ' || strlen(body) || nl
                || 'source-payload-digest: ' || payload_digest || nl
-               || case when title <> '' then 'title: ' || title || nl else '' end
-               || array_to_string(['outlink: ' || x || nl for x in regexp_extract_all(body, '{warc.LINKS}', 1)], '')
+               || case when title <> '' then 'title: ' || regexp_replace(title, '{warc.CONTROL}', '', 'g') || nl else '' end
+               || array_to_string(['outlink: ' || regexp_replace(x, '{warc.CONTROL}', '', 'g') || nl for x in regexp_extract_all(body, '{warc.LINKS}', 1)], '')
                as block
         from responses
         union all
@@ -280,7 +280,7 @@ CHECKS["op3_warc_derivatives"] = rf"""
     select page_id, record_type, record_id, refers_to, url as target_uri, content_type, content_length, block_digest,
            payload_digest,
            sha256('{warc.VERSION}' || nl || 'WARC-Type: ' || record_type || nl || 'WARC-Record-ID: ' || record_id || nl
-                  || 'WARC-Refers-To: ' || refers_to || nl || coalesce('WARC-Target-URI: ' || url || nl, '')
+                  || 'WARC-Refers-To: ' || refers_to || nl || coalesce('WARC-Target-URI: ' || regexp_replace(url, '{warc.CONTROL}', '', 'g') || nl, '')
                   || 'WARC-Date: {warc.DATE}' || nl || 'WARC-Block-Digest: ' || block_digest || nl
                   || 'Content-Type: ' || content_type || nl || 'Content-Length: ' || content_length || nl || nl
                   || block || nl || nl) as record_sha256

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 VERSION = "WARC/1.1"
 END = "\r\n"
-# What is no text: scripts, styles and the like with their content, and comments.
+# What is no text: scripts, styles and the like with their content, and comments.  Those
+# that are not closed go on to the end, as they do for a browser; a head does not.
 HIDDEN = (
-    r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>"
-    r"|<template\b.*?</template\s*>|<head\b.*?</head\s*>|<!--.*?-->"
+    r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<noscript\b.*?(?:</noscript\s*>|\z)"
+    r"|<template\b.*?(?:</template\s*>|\z)|<head\b.*?</head\s*>|<!--.*?(?:-->|\z)"
 )
 # Elements that start a new line.
 BLOCKS = (
@@ -25,6 +26,8 @@ ENTITIES = {
 }
 LINKS = r'(?i)<a\s[^>]*?href="([^"]*)"'
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
+# What would break or forge a line of a record's header or fields.
+CONTROL = r"[\x00-\x1F\x7F]+"
 DATE = "2024-01-01T00:00:00Z"
 RESULTS = (
     "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "content_length", "block",
@@ -43,6 +46,11 @@ def sha256(value: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(value, 256))
 
 
+def one_line(value: Column) -> Column:
+    """A value without control characters, for a line of its own."""
+    return F.regexp_replace(value, CONTROL, "")
+
+
 def page_responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """Response records of a table (page_id, url, html): page_id, record_id, target_uri, date, block.
 
@@ -86,7 +94,8 @@ def derivatives(responses: DataFrame) -> DataFrame:
     whole record as text, which is ready to be written.
 
     A message without an empty line has headers alone and an empty body.  A null block
-    is an empty message.  A null address leaves out its header.  Repeated responses
+    is an empty message.  A null address leaves out its header.  Control characters in an
+    address, a link, the title or a header line are left out of the lines made of them.  Repeated responses
     have equal derivatives, since ids depend on the response's id.  An empty table
     gives an empty result.  All is built-in functions on single rows; each step is
     pinned by a generator, so that a page is converted once.
@@ -106,10 +115,10 @@ def derivatives(responses: DataFrame) -> DataFrame:
     links = F.regexp_extract_all("body", F.lit(LINKS), F.lit(1))
     digest = sha256(F.col("body"))
     fields = F.concat(
-        F.concat_ws("", F.transform(F.split("head", END), lambda line: F.concat(F.lit("source-header: "), line, F.lit(END)))),
+        F.concat_ws("", F.transform(F.split("head", END), lambda line: F.concat(F.lit("source-header: "), one_line(line), F.lit(END)))),
         F.lit("source-payload-digest: "), digest, F.lit(END),
-        F.when(title != "", F.concat(F.lit("title: "), title, F.lit(END))).otherwise(""),
-        F.concat_ws("", F.transform(links, lambda link: F.concat(F.lit("outlink: "), link, F.lit(END)))),
+        F.when(title != "", F.concat(F.lit("title: "), one_line(title), F.lit(END))).otherwise(""),
+        F.concat_ws("", F.transform(links, lambda link: F.concat(F.lit("outlink: "), one_line(link), F.lit(END)))),
     )
     records = F.array(
         _derived("metadata", "application/warc-fields", fields, digest),
@@ -125,7 +134,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
         "Content-Type": "content_type", "Content-Length": "content_length",
     }
     header = F.concat(F.lit(VERSION + END), *[
-        F.coalesce(F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit(END)), F.lit(""))
+        F.coalesce(F.concat(F.lit(f"{name}: "), one_line(F.col(c).cast("string")), F.lit(END)), F.lit(""))
         for name, c in lines.items()
     ])
     return digests.select(

@@ -1,9 +1,11 @@
 """Operators for training data against brute force, on small tables that hold the awkward cases."""
 
+import base64
 import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -388,7 +390,7 @@ def test_quality_rules(table):
     found = quality_rules.apply_quality_rules(table(rows))
     by = {r.doc_id: r for r in found.collect()}
     assert by[1].quality_kept and by[1].n_words == "n"
-    assert [i for i in by if by[i].quality_base_failed] == [2, 3, 4, 8, 9] or not by[7].quality_kept
+    assert [i for i in by if by[i].quality_base_failed] == [2, 3, 4, 7, 8, 9]
     assert by[8].quality_n_repeat_words == 9 and by[2].quality_n_words == 0
     assert by[5].quality_failed_rules[0] == "symbols" and by[6].quality_failed_rules == ["stop_words"]
     for i, text in rows:
@@ -436,7 +438,7 @@ def test_few_rows_move(table):
     df = table([(i, str(i)) for i in range(5000)])
     old, new = ({r.doc_id: r.shard for r in hash_ring.shard_rows(df, n).collect()} for n in (24, 25))
     moved = sum(old[i] != new[i] for i in old)
-    assert sum(s == 24 for s in new.values()) == 200 and moved < 5000 * 0.25
+    assert sum(s == 24 for s in new.values()) == 200 and moved < 5000 * 0.1
 
 
 def test_archive_records(table, spark):
@@ -462,6 +464,67 @@ def test_archive_records(table, spark):
     assert [r.content_length for r in warc.derivatives(plain).filter("record_type = 'conversion'").collect()] == [0, 0]
 
 
+def test_thresholds_of_the_rules(table):
+    """Values on a threshold pass, those one step beyond fail."""
+    def text(words, symbols=0, stops=10, lines=()):
+        own = [f"w{i:05d}" for i in range(words - stops)] + ["the"] * stops
+        own = [w for pair in itertools.zip_longest(own[: words - stops], own[words - stops :]) for w in pair if w]
+        return "\n".join([" ".join(own) + "#" * symbols, *lines])
+
+    cases = {}
+    for i, (words, stops) in enumerate([(49, 10), (50, 10), (200, 10), (200, 9), (200, 11)]):
+        cases[i] = text(words, stops=stops)
+    rows = list(cases.items())
+    by = {r.doc_id: r for r in quality_rules.apply_quality_rules(table(rows)).collect()}
+    assert [by[i].quality_base_failed for i in range(5)] == [True, False, False, False, False]
+    assert [by[i].quality_kept for i in range(1, 5)] == [True, True, False, True]
+    symbols = []
+    for k in range(200):  # 5 % of the characters in words, which the symbols are part of, too
+        t = text(60, symbols=k)
+        chars, n = len("".join(t.split())), k
+        symbols.append((1000 + k, t, n * 20 <= chars))
+    by = {r.doc_id: r.quality_kept for r in quality_rules.apply_quality_rules(table([s[:2] for s in symbols])).collect()}
+    assert by == {i: ok for i, _, ok in symbols} and {ok for _, _, ok in symbols} == {True, False}
+
+
+def test_packed_rank_ids(table, spark):
+    """What the query packs: ids of the rank file, lossless, repeated rows each time."""
+    import tiktoken
+
+    path = public_tokenizers.path(queries.RANKS)
+    tokens = packing.RankIds(spark, path, public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["word", "ünï", "😀", "x" * 30, "12 3"]) for _ in range(rng.choice([0, 1, 40, 900])))) for i in range(40)]
+    rows += [rows[3], rows[3], (None, "no id"), (None, None), (7, "another text of the same id")]
+    packed = packing.pack(table(rows), tokens, "text", tokens.vocabulary).collect()
+    library = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, special_tokens={},
+        mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))})
+    size = packing.LENGTH
+    expected = Counter()
+    for key, text in rows:
+        own = library.encode_ordinary(text or "")
+        expected.update((key, at, tuple(own[at : at + size])) for at in range(0, max(len(own), 1), size))
+    found = Counter()
+    for r in packed:
+        ids = np.frombuffer(r.ids, "<u2").tolist()
+        assert len(ids) == size and set(ids[r.segments[-1] :]) <= {tokens.vocabulary}
+        for k, (document, at) in enumerate(zip(r.documents, r.offsets, strict=True)):
+            found[document, at, tuple(ids[r.segments[k] : r.segments[k + 1]])] += 1
+    assert found == expected
+
+
+def test_values_can_not_forge_lines(spark):
+    page = '<a href="http://x/\r\nWARC-Type: response\n">l</a><!-- never closed <b>t</b>' + "<!--" * 20_000
+    pages = spark.createDataFrame([(1, "http://a\r\nWARC-Type: x", page)], "page_id long, url string, html string")
+    start = time.perf_counter()
+    meta, conversion = sorted(warc.derivatives(warc.page_responses(pages)).collect(), key=lambda r: r.record_type)[::-1]
+    assert time.perf_counter() - start < 30 and conversion.block == "l"
+    assert "outlink: http://x/WARC-Type: response\r\n" in meta.block
+    assert meta.record.split("\r\n\r\n")[0].count("\r\nWARC-Type: ") == 1
+    assert "WARC-Target-URI: http://aWARC-Type: x\r\n" in meta.record
+
+
 def test_empty_tables(table, spark):
     none = table([])
     path = public_tokenizers.path(queries.WORD_BPE)
