@@ -36,7 +36,7 @@ from .texts import with_row
 
 BLOCK = 4 << 20
 # Words that are sent to all tasks with their ids: no more than so many of ``FOLDED`` bytes.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 19
 # Maps of the constants: a few keys each.
 PAIR_MAPS, WORD_MAPS, BYTE_MAPS = 1 << 15, 1 << 14, 1 << 8
 # Words of more bytes are merged in the second Python step with a heap, as each step of
@@ -234,7 +234,7 @@ def encode(
     def fold(table: Column) -> Column:
         return F.transform("words", lambda w: folded(w, table))
 
-    long_words = F.transform("words", lambda w: F.when(F.octet_length(w) > FOLDED, w))
+    long_words = F.filter("words", lambda w: F.octet_length(w) > FOLDED)
     coded = rows.mapInArrow(glue, schema).select(
         "rows", "sizes", "at", long_words.alias("long_words"), let(table, fold).alias("coded")
     )
@@ -249,8 +249,8 @@ def encode(
 
 def _frequent(rows: DataFrame, table: Column) -> pa.Table:
     """The most frequent words, with their ids: as many as ``FREQUENT`` allows, by the logarithm of their counts."""
-    words = rows.select(F.explode("words").alias("word")).filter(F.octet_length("word") <= FOLDED)
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    words = rows.mapInArrow(_counted, "word string, c long").filter(F.octet_length("word") <= FOLDED)
+    counts = words.groupBy("word").agg(F.sum("c").alias("c")).filter("c > 1")
     counts = materialize(counts.select("word", F.floor(8 * F.log2("c")).cast("int").alias("scale")), "words")
     total, least = 0, 2**31 - 1
     for scale, n in sorted(map(tuple, counts.groupBy("scale").count().collect()), reverse=True):  # 8 rows for each power of 2
@@ -262,6 +262,13 @@ def _frequent(rows: DataFrame, table: Column) -> pa.Table:
     return chosen.select("word", let(table, lambda t: folded(F.col("word"), t)).alias("ids")).toArrow()
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each batch with their counts."""
+    for batch in batches:
+        found = pc.value_counts(batch["words"].flatten())
+        yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "c"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], known: pa.Array) -> Iterator[pa.RecordBatch]:
     """One row per block: its rows, their numbers of words, each word's place in a list of words, and that list.
 
@@ -297,8 +304,9 @@ def _applied(batches: Iterator[pa.RecordBatch], sent, known: pa.Array) -> Iterat
     for batch in batches:
         for i in range(batch.num_rows):
             rows, sizes, at, long_words, coded = (batch[c][i].values for c in ("rows", "sizes", "at", "long_words", "coded"))
-            for word in np.flatnonzero(coded.is_null().to_numpy(zero_copy_only=False)).tolist():
-                merged = _by_heap(long_words[word].as_py().encode(), sent.value)
+            missing = np.flatnonzero(coded.is_null().to_numpy(zero_copy_only=False)).tolist()
+            for word, text in zip(missing, long_words.to_pylist(), strict=True):
+                merged = _by_heap(text.encode(), sent.value)
                 coded = pa.concat_arrays([coded.slice(0, word), pa.array([merged], coded.type), coded.slice(word + 1)])
             lengths = np.append(known_lengths, pc.list_value_length(coded).to_numpy(zero_copy_only=False))
             tokens = np.append(known_tokens, coded.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
