@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -37,13 +37,15 @@ def first_comments(comments: DataFrame, limit: int = 20) -> DataFrame:
     return first_n_by_cutoff(comments, ["post_id"], F.struct("created_utc", "comment_id"), limit)
 
 
-def with_lemma_table(df: DataFrame, lemmas: DataFrame, words: str) -> DataFrame:
-    """Replace the tokens of an array column by their lemmas in a table of (surface, lemma) of any size.
+def with_lemma_table(df: DataFrame, lemmas: DataFrame, words: Column, output: str) -> DataFrame:
+    """Add the tokens of each row with their lemmas in a table of (surface, lemma) of any size.
 
     Of several lemmas of a surface the first in order counts.  Rows without a surface or
     a lemma say nothing, and a token without a lemma stays as it is.
 
-    The rows are written down once, so that what their tokens cost is paid once.  The
+    The rows are written down once, so that what their columns cost is paid once.
+    ``words`` is an array that is cheap to derive from these columns: it is neither
+    written nor shuffled with them, but derived again where it is needed.  The
     table is cut to the surfaces that occur in them and that the lemma changes, and
     written down, so that the planner knows its size and broadcasts it if that allows.
     Each row meets a token once, however often it has it; it gets the few lemmas that it
@@ -60,11 +62,11 @@ def with_lemma_table(df: DataFrame, lemmas: DataFrame, words: str) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("surface", "lemma"))).alias("_lemmas")
     )
     looked_up = F.transform(words, lambda t: F.coalesce(F.try_element_at("_lemmas", t), t))
-    return rows.join(own, "_row", "left").withColumn(words, looked_up).drop("_row", "_lemmas")
+    return rows.join(own, "_row", "left").withColumn(output, looked_up).drop("_row", "_lemmas")
 
 
 def lemmatize(df: DataFrame, lemmas: DataFrame, text: str = "cleaned_text", output: str = "processed_text") -> DataFrame:
     """Stop-word removal and lemma lookup with a table of any size; a null text gives an empty one."""
     words = T.without_stop_words(T.tokens(F.col(text)))
-    found = with_lemma_table(df.withColumn("_words", words), lemmas, "_words")
+    found = with_lemma_table(df, lemmas, words, "_words")
     return found.withColumn(output, F.coalesce(F.array_join("_words", " "), F.lit(""))).drop("_words")

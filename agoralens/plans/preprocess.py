@@ -46,11 +46,13 @@ def preprocess(
     ]
     kept = [c for c in comments.columns if c not in derived]
     cleaned = comments.withColumn("cleaned_text", T.clean_text(F.col(text)))
-    cleaned = cleaned.withColumn("_all", T.tokens(F.col("cleaned_text")))
-    words = T.without_stop_words(F.col("_all"), stop_words)
     if by_table:
-        cleaned = with_lemma_table(cleaned.withColumn("_words", words), lemmas, "_words")
+        words = T.without_stop_words(T.tokens(F.col("cleaned_text")), stop_words)
+        cleaned = with_lemma_table(cleaned.select(*kept, "cleaned_text"), lemmas, words, "_words")
+        cleaned = cleaned.withColumn("_all", T.tokens(F.col("cleaned_text")))
     else:
+        cleaned = cleaned.withColumn("_all", T.tokens(F.col("cleaned_text")))
+        words = T.without_stop_words(F.col("_all"), stop_words)
         cleaned = cleaned.withColumn("_words", T.with_lemmas(words, lemmas))
 
     letters = F.length("cleaned_text") - F.greatest(F.size("_all") - 1, F.lit(0))

@@ -1,5 +1,6 @@
 import math
 from datetime import datetime
+from glob import glob
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,19 @@ def test_preprocess_with_a_table_of_lemmas(spark, make_comments, tmp_path):
 def _written(df, path):
     df.write.parquet(path)
     return path
+
+
+def test_lemma_lookup_keeps_each_text_once(spark, make_comments):
+    # Token arrays are derived again: neither the rows at rest nor the shuffled ones hold them.
+    comments = make_comments([{"text": f"the cats of house {i} and the dogs met"} for i in range(20)])
+    lemmas = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "surface string, lemma string")
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/agoralens-{spark.sparkContext.applicationId}/tokens-*"
+    before = set(glob(path))
+    found = preprocess(comments, lemmas=lemmas)
+    assert {r.processed_text for r in found.collect()} == {f"cat house {i} dog met" for i in range(20)}
+    (rest,) = set(glob(path)) - before
+    rows = spark.read.parquet(rest)
+    assert set(rows.columns) == {*comments.columns, "cleaned_text", "_row"}
+    assert all(".zstd." in name for name in glob(f"{rest}/part-*"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_words" not in plan.split("Join LeftOuter", 1)[1]
