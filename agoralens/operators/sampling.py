@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,9 +61,11 @@ def balance_classes(
 
     parts = []
     if large:
-        cutoffs = hash_cutoffs(keys.filter(F.col(label).isin(large)), label, "_key", F.lit(target))
-        rows = keyed.filter(F.col(label).isin(large))
-        parts.append(rows.join(F.broadcast(cutoffs), label).filter(F.col("_key") <= F.col("cutoff")).select(original))
+        # At most two keys.  As constants they are compared before costly columns of ``df`` are computed.
+        cutoffs = hash_cutoffs(keys.filter(F.col(label).isin(large)), label, "_key", F.lit(target)).collect()
+        first = [(F.col(label) == c[label]) & (F.col("_key") <= c["cutoff"]) for c in cutoffs]
+        if first:
+            parts.append(keyed.filter(reduce(or_, first)).select(original))
     if small and target:
         ranked = hash_rank(keys.filter(F.col(label).isin(small)), label, "_key", "_rank")
         draws = reduce(

@@ -8,13 +8,15 @@ from dataclasses import dataclass
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import string_array, terms
+from ..functions.text import bigrams, string_array, term_words, terms
 from ..functions.wordlists import TFIDF_STOP_WORDS
 
 MAX_FEATURES = 1000
+# Words that are fetched per wanted term, so that those of equal frequency are all known.
+TIES = 4
 # Stands for "one document" in the term counts; no term is empty.
 _DOCUMENT = ""
 
@@ -26,16 +28,24 @@ def term_counts(df: DataFrame, text: str = "processed_text", stop_words: list[st
     row.  The only shuffle carries one partial count per term and partition; pairs
     of document and term are never shuffled.
     """
-    found = df.select(F.coalesce(terms(F.col(text), stop_words), F.array().cast("array<string>")).alias("t"))
-    marks = F.concat(
-        F.transform("t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(
-            F.array_distinct("t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
-        ),
-        F.array(F.struct(F.lit(_DOCUMENT).alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
-    )
+    return _counts(df, terms(F.col(text), stop_words))
+
+
+def _counts(df: DataFrame, found: Column) -> DataFrame:
+    """Occurrences and documents of what an array column lists, and of the empty term.
+
+    Sorted, equal terms of a document are neighbours, and the first of them counts the
+    document: one row per occurrence goes into the partial counts.
+    """
+    listed = df.select(F.sort_array(F.coalesce(found, F.array().cast("array<string>"))).alias("t"))
+
+    def mark(t: Column, i: Column) -> Column:
+        again = F.coalesce(F.get("t", i - 1) == t, F.lit(False))
+        return F.struct(t.alias("term"), F.lit(1).alias("tf"), F.when(again, 0).otherwise(1).alias("df"))
+
+    document = F.array(F.struct(F.lit(_DOCUMENT).alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
     return (
-        found.select(F.inline(marks))
+        listed.select(F.inline(F.concat(F.transform("t", mark), document)))
         .groupBy("term")
         .agg(F.sum("tf").alias("term_frequency"), F.sum("df").alias("document_frequency"))
     )
@@ -95,20 +105,23 @@ def fit_tfidf(
     max_features: int = MAX_FEATURES,
     stop_words: list[str] = TFIDF_STOP_WORDS,
 ) -> TfidfModel:
-    """Vocabulary and weights ``ln((1 + n) / (1 + df)) + 1`` from one pass over the corpus.
+    """Vocabulary and weights ``ln((1 + n) / (1 + df)) + 1``.
 
-    The driver receives ``max_features`` terms and the row of the empty term, which
-    is kept by sorting it first.
+    Words are counted first.  A bigram occurs no more often than either of its words, so
+    one with a word below the last wanted rank can't be among the terms: only bigrams of
+    two frequent words are counted, and the many rare ones never reach the shuffle.  The
+    terms are those that ``vocabulary`` finds.  The driver receives the row of the empty
+    term, which is kept by sorting it first, and a few times ``max_features`` words.
     """
-    is_document = F.col("term") == _DOCUMENT
-    rows = (
-        term_counts(df, text, stop_words)
-        .orderBy(F.desc(is_document), F.desc("term_frequency"), F.asc("term"))
-        .limit(max_features + 1)
-        .collect()
-    )
-    documents = next((r.document_frequency for r in rows if r.term == _DOCUMENT), 0)
-    chosen = sorted((r.term, r.document_frequency) for r in rows if r.term != _DOCUMENT)
+    words = term_words(F.col(text), stop_words)
+    most = TIES * max_features
+    found = _most_frequent(_counts(df, words), most + 1)
+    documents = next((r.document_frequency for r in found if r.term == _DOCUMENT), 0)
+    singles = [r for r in found if r.term != _DOCUMENT]
+    pairs = _counts(df, bigrams(words, _frequent(singles, max_features, most)))
+    rows = singles + [r for r in _most_frequent(pairs, max_features + 1) if r.term != _DOCUMENT]
+    rows = sorted(rows, key=lambda r: (-r.term_frequency, r.term))[:max_features]
+    chosen = sorted((r.term, r.document_frequency) for r in rows)
     return TfidfModel(
         [term for term, _ in chosen],
         [math.log((1 + documents) / (1 + found)) + 1 for _, found in chosen],
@@ -116,6 +129,21 @@ def fit_tfidf(
     )
 
 
+def _most_frequent(counts: DataFrame, n: int) -> list[Row]:
+    is_document = F.col("term") == _DOCUMENT
+    return counts.orderBy(F.desc(is_document), F.desc("term_frequency"), F.asc("term")).limit(n).collect()
+
+
+def _frequent(singles: list[Row], wanted: int, most: int) -> list[str] | None:
+    """The words at least as frequent as the last wanted one; None if they are not all known."""
+    if not 0 < wanted <= len(singles):
+        return None
+    least = singles[wanted - 1].term_frequency
+    if len(singles) >= most and singles[-1].term_frequency >= least:
+        return None
+    return [r.term for r in singles if r.term_frequency >= least]
+
+
 def long_weights(df: DataFrame, model: TfidfModel, key: str, vector: str = "tfidf") -> DataFrame:
     """One row per document and term of weight above zero: key, ``term_index``, ``term``, ``weight``."""
     names = string_array(model.terms)

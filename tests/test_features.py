@@ -136,3 +136,12 @@ def test_lemma_lookup_keeps_each_text_once(spark, make_comments):
     assert all(".zstd." in name for name in glob(f"{rest}/part-*"))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "_words" not in plan.split("Join LeftOuter", 1)[1]
+
+
+def test_mean_word_length_of_any_spaces(spark):
+    texts = ["one three", "é 😀😀", " a bc", "a bc ", "a  bc", "a\tbc d", "a\u00a0bc", "a\u2028bc d", "a\nbc\n", "one", "", " ", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = df.select("i", Fe.mean_word_length(F.col("text")).alias("m")).orderBy("i").collect()
+    words = [(t or "").split() for t in texts]
+    want = [sum(map(len, w)) / len(w) if w else None for w in words]
+    assert [r.m for r in rows] == want

@@ -3,7 +3,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from agoralens.functions import text
 from agoralens.functions.wordlists import TFIDF_STOP_WORDS
 from agoralens.operators import tfidf as TF
 
@@ -69,3 +71,22 @@ def test_empty_vocabulary_is_refused(spark):
     df = spark.createDataFrame([("the",)], "processed_text string")
     with pytest.raises(ValueError):
         TF.fit_tfidf(df).transform(df)
+
+
+def test_rare_bigrams_are_not_counted(spark):
+    words = F.split("text", " ")
+    df = spark.createDataFrame([("aa bb aa cc dd aa",), ("bb",), (None,)], "text string")
+    found = [r.p for r in df.select(text.bigrams(words, ["aa", "bb"]).alias("p")).collect()]
+    assert found == [["aa bb", "bb aa"], [], None]
+    assert df.select(text.bigrams(words).alias("p")).first().p == ["aa bb", "bb aa", "aa cc", "cc dd", "dd aa"]
+
+
+@pytest.mark.parametrize("wanted", [1, 2, 3, 4, 5, 8, 100])
+def test_vocabulary_of_words_and_of_frequent_bigrams(spark, wanted):
+    # Ties at every rank, more of them than are fetched, bigrams as frequent as their words.
+    texts = ["aa bb aa bb cc", "aa bb dd ee", "ff gg hh ii jj kk ll mm nn oo", None, "", "the", "aa bb aa bb", "é zz é zz"]
+    df = spark.createDataFrame([(t,) for t in texts], "processed_text string")
+    rows = TF.vocabulary(df, max_features=wanted).collect()
+    model = TF.fit_tfidf(df, max_features=wanted)
+    want = sorted((r.term, math.log((1 + len(texts)) / (1 + r.document_frequency)) + 1) for r in rows)
+    assert model.terms == [t for t, _ in want] and model.idf == pytest.approx([w for _, w in want])
