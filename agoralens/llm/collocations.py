@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,9 @@ TRIGGER = 16
 PART_BYTES = 8 << 20
 PARTITION_BYTES = 64 << 20
 BUCKET_BYTES = 32 << 20
+# Of a part, so many bytes of chunks or so many phrases are looked at together.
+BLOCK_BYTES = 1 << 20
+BLOCK_ROWS = 1 << 15
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -214,49 +218,66 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, bytes]]:
 
 
 class _Part:
-    """The words and phrases of the chunks of one part of the dictionary."""
+    """The words and phrases of the chunks of one part of the dictionary.
+
+    Tasks of one executor hold a part each.  What is kept of each word is as narrow as
+    its values; what is wider is made from a block of chunks or phrases at a time.
+    """
 
     def __init__(self, chunks: pa.Table, buckets: int):
         self.part = chunks["part"][0].as_py()
-        self.buckets = buckets
         merged = chunks.group_by(["lang", "chunk"]).aggregate([("parses", "sum")])
-        self.langs = merged["lang"].to_pylist()
-        parts = [c.as_buffer() for c in merged["chunk"].combine_chunks()]
-        raw = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
-        starts = np.cumsum([0, *[len(p) + 1 for p in parts]])
-        self.at, self.ends, self.ids, counts = words_of(_TABLE[raw], starts)
-        self.raw = raw
-        row = np.repeat(np.arange(len(counts)), counts)
-        n = len(row)
-        weights = merged["parses_sum"].to_numpy()[row]
-        breaks = np.concatenate([[0], np.cumsum(raw == _BREAK)])[self.at]
-        nexts = np.concatenate([[0], np.cumsum(raw == _NEXT)])[self.at]
-        base = np.repeat(nexts[np.cumsum(counts) - counts], counts) if n else nexts
-        self.weights = np.where(nexts > base, 0, weights)  # words after the mark are counted in their own chunk
-        names, codes = np.unique(np.array(self.langs, object).astype(str), return_inverse=True)
-        self.names, self.code = names, codes[row]
-        seeds = np.array([_seed(x) for x in names.tolist()], np.uint64)
-        self.lang = seeds[self.code]
-        self.row = row
-        left = np.zeros(n, np.int64)  # words of the piece from here on, up to the longest phrase
-        same = np.append((breaks[1:] == breaks[:-1]) & (row[1:] == row[:-1]), False) if n else np.zeros(0, bool)
-        run = np.ones(n, bool)
-        for k in range(LONGEST):
+        langs = merged["lang"].combine_chunks().dictionary_encode()
+        self.names = langs.dictionary
+        self.seeds = np.array([_seed(x) for x in self.names.to_pylist()], np.uint64)
+        codes = langs.indices.to_numpy().astype(np.min_scalar_type(len(self.names)))
+        parses = merged["parses_sum"].to_numpy()
+        parses = parses.astype(np.min_scalar_type(int(parses.max())))
+        # Words with one mark behind each; the last one of a chunk has that of another piece.
+        texts = pc.binary_join_element_wise(merged["chunk"].combine_chunks(), b"", b"\n")
+        del merged, langs
+        starts = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1)
+        self.raw = np.frombuffer(texts.buffers()[2], np.uint8, starts[-1])
+        self.totals = np.zeros(len(self.names), np.int64)
+        words = []
+        row = 0
+        while row < len(texts):
+            stop = max(row + 1, int(np.searchsorted(starts, starts[row] + BLOCK_BYTES, side="right")) - 1)
+            words.append(self._words(starts[row : stop + 1], codes[row:stop], parses[row:stop], buckets))
+            row = stop
+        # ``at``: the first byte of each word; ``left``: words of the piece from here on, up to the longest phrase;
+        # ``keys``: bucket and 32 bits of each pair of words.
+        at, self.ids, self.weights, self.code, self.left, self.keys = (np.concatenate(x) for x in zip(*words, strict=True))
+        self.at = np.append(at, np.int32(len(self.raw)))
+
+    def _words(self, starts: np.ndarray, codes: np.ndarray, parses: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+        """What is kept of the words of some chunks."""
+        at, ends, ids, counts = words_of(self.raw[starts[0] : starts[-1]], starts - starts[0])
+        marks = self.raw[starts[0] : starts[-1]][ends]
+        code = np.repeat(codes, counts)
+        weights = np.repeat(parses, counts)
+        nexts = np.cumsum(marks == _NEXT) - (marks == _NEXT)
+        weights[nexts > np.repeat(nexts[np.cumsum(counts) - counts], counts)] = 0  # counted in their own chunk
+        self.totals += np.bincount(code, weights, len(self.totals)).astype(np.int64)
+        left = np.ones(len(at), np.int8)
+        run = marks != _BREAK
+        for k in range(1, LONGEST):
             left += run
-            run = run & np.append(same[k:], np.zeros(min(k, n), bool))[:n]
-        self.left = left
-        self.pairs = np.flatnonzero(left >= 2)
-        full = mix(mix(self.ids[self.pairs], self.ids[self.pairs + 1]), self.lang[self.pairs])
-        key = (full >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | full & np.uint64(0xFFFFFFFF)
-        self.distinct, self.of = np.unique(key, return_inverse=True)
-        self.bucket = (self.distinct >> np.uint64(32)).astype(np.int64)
+            more = max(0, len(run) - k)
+            run[:more] &= marks[k:] != _BREAK
+            run[more:] = False
+        pairs = np.flatnonzero(left >= 2)
+        full = mix(mix(ids[pairs], ids[pairs + 1]), self.seeds[code[pairs]])
+        keys = (full >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | full & np.uint64(0xFFFFFFFF)
+        return (at + starts[0]).astype(np.int32), ids, weights, code, left, keys
 
     def ask(self, least: int) -> pa.Table:
         """Each distinct pair of words once, with what it counts here up to ``least``."""
-        counts = np.bincount(self.of, self.weights[self.pairs], len(self.distinct)) if len(self.pairs) else np.zeros(0)
-        counts = np.minimum(counts, least).astype(np.min_scalar_type(least))
-        keys = self.distinct.astype(np.uint32)
-        rows = [(self.part, b, len(at), keys[at].tobytes(), counts[at].tobytes()) for b, at in grouped(self.bucket)]
+        order, heads = _equal(self.keys)
+        distinct = self.keys[order[heads]]
+        counts = np.minimum(_sums(self.weights[self.left >= 2][order], heads), least).astype(np.min_scalar_type(least))
+        keys = distinct.astype(np.uint32)
+        rows = [(self.part, b, len(at), keys[at].tobytes(), counts[at].tobytes()) for b, at in grouped(_bucket(distinct))]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         names = ("part", "bucket", "n", "keys", "counts")
@@ -265,37 +286,66 @@ class _Part:
     def phrases(self, answers: dict[int, bytes]) -> pa.Table:
         """The words, and the phrases whose pairs can all be frequent, with what they count here."""
         n = len(self.ids)
-        frequent = np.zeros(n + LONGEST, bool)
-        if len(self.pairs):
-            frequent[self.pairs] = answered(answers, self.bucket)[self.of]
-        own = self.weights > 0
-        out = []
-        names, ok = self.ids, own
+        frequent = self._frequent_pairs(answers)
+        out = [_counted(self.names, 0, pa.array([""] * len(self.names)), self.totals)]
+        ok = self.weights > 0
         for size in range(1, LONGEST + 1):
             if size > 1:
-                names = mix(names[: max(0, n - size + 1)], self.ids[size - 1 :])
-                ok = ok[: len(names)] & frequent[size - 2 : size - 2 + len(names)] & (self.left[: len(names)] >= size)
-            at = np.flatnonzero(ok)
-            _, first, of = np.unique(mix(names[at], self.lang[at]), return_index=True, return_inverse=True)
-            if not len(at):
-                continue
-            sums = np.bincount(of, self.weights[at], len(first)).astype(np.int64)
-            first = at[first]
-            out.append(self._rows(size, first, sums))
-        totals = np.bincount(self.code, self.weights, len(self.names)).astype(np.int64) if n else np.zeros(len(self.names), np.int64)
-        out.append(_counted(pa.array(self.names.tolist(), pa.string()), 0, pa.array([""] * len(self.names)), totals))
+                ok &= frequent[size - 2 : size - 2 + n]
+                ok &= self.left >= size
+            at = np.flatnonzero(ok).astype(np.int32)
+            order, heads = _equal(self._names(size, at))
+            sums = _sums(self.weights[at][order], heads)
+            out.extend(self._rows(size, at[order[heads]], sums))
         return pa.concat_tables(out)
 
-    def _rows(self, size: int, first: np.ndarray, sums: np.ndarray) -> pa.Table:
-        begin, length = self.at[first], self.ends[first + size - 1] - self.at[first]
-        ends = np.cumsum(length)
-        place = np.repeat(begin - (ends - length), length) + np.arange(ends[-1])
-        data = self.raw[place]
-        data[data == _NEXT] = _SPACE
-        offsets = np.concatenate([[0], ends]).astype(np.int32)
-        phrases = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data))
-        langs = pa.DictionaryArray.from_arrays(pa.array(self.code[first], pa.int32()), pa.array(self.names.tolist(), pa.string()))
-        return _counted(langs.cast(pa.string()), size, phrases, sums)
+    def _frequent_pairs(self, answers: dict[int, bytes]) -> np.ndarray:
+        """For each word, and some more places, whether the pair that it starts can be frequent."""
+        frequent = np.zeros(len(self.ids) + LONGEST, bool)
+        order, heads = _equal(self.keys)
+        known = answered(answers, _bucket(self.keys[order[heads]]))
+        pairs = np.flatnonzero(self.left >= 2).astype(np.int32)
+        frequent[pairs[order]] = np.repeat(known, np.diff(np.append(heads, len(order))))
+        return frequent
+
+    def _names(self, size: int, at: np.ndarray) -> np.ndarray:
+        """The identifiers of phrases, by their first words."""
+        names = np.empty(len(at), np.uint64)
+        for i in range(0, len(at), BLOCK_ROWS):
+            own = at[i : i + BLOCK_ROWS]
+            ids = self.ids[own]
+            for k in range(1, size):
+                ids = mix(ids, self.ids[own + k])
+            names[i : i + BLOCK_ROWS] = mix(ids, self.seeds[self.code[own]])
+        return names
+
+    def _rows(self, size: int, first: np.ndarray, sums: np.ndarray) -> Iterator[pa.Table]:
+        for i in range(0, len(first), BLOCK_ROWS):
+            own = first[i : i + BLOCK_ROWS]
+            begin = self.at[own]
+            length = self.at[own + size] - 1 - begin
+            ends = np.cumsum(length)
+            data = self.raw[np.repeat(begin - (ends - length), length) + np.arange(ends[-1])]
+            data[data == _NEXT] = _SPACE
+            offsets = np.concatenate([[0], ends]).astype(np.int32)
+            phrases = pa.StringArray.from_buffers(len(own), pa.py_buffer(offsets), pa.py_buffer(data))
+            yield _counted(self.names.take(pa.array(self.code[own])), size, phrases, sums[i : i + BLOCK_ROWS])
+
+
+def _equal(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that has equal keys together, and the places in it where the keys change."""
+    order = np.argsort(keys).astype(np.int32)
+    new = np.ones(len(keys), bool)
+    new[1:] = (ordered := keys[order])[1:] != ordered[:-1]
+    return order, np.flatnonzero(new)
+
+
+def _sums(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, heads, dtype=np.int64) if len(heads) else np.zeros(0, np.int64)
+
+
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(32)).astype(np.int32)
 
 
 def _counted(langs: pa.Array, size: int, phrases: pa.Array, sums: np.ndarray) -> pa.Table:

@@ -4,10 +4,13 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -101,6 +104,37 @@ def test_chunks_hold_each_phrase_once():
     assert len({c for _, c in again} & {c for r, c in chunks if r == 0}) >= len(again) - 2  # cut alike wherever it stands
 
 
+def test_collocations_with_small_blocks(table, monkeypatch):
+    rows = phrases(3)
+    for size in (1, 40):
+        monkeypatch.setattr(collocations, "BLOCK_BYTES", size)
+        monkeypatch.setattr(collocations, "BLOCK_ROWS", size)
+        chunks = pa.Table.from_batches(collocations._parsed(iter([pa.record_batch({
+            "lang": [g or "und" for _, _, g in rows], "text": [t for _, t, _ in rows]})]), 1))
+        part = collocations._Part(chunks, 1)
+        answers = {0: collocations._frequent(part.ask(6), 6)["data"][0].as_py()}
+        found = part.phrases(answers).to_pylist()
+        df = table(rows).sparkSession.createDataFrame([tuple(r.values()) for r in found], collocations.COUNTED).filter("a >= 6 or size = 0")
+        assert sorted(map(tuple, collocations._ranked(df, 80, 25).select(
+            "lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())) == brute_collocations(rows, 6, 25)
+
+
+def test_memory_of_a_part():
+    """The words of a part take a few times its bytes, whatever is made of them on the way."""
+    rng = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(400)) for _ in range(1500)]
+    chunks = pa.Table.from_batches(collocations._parsed(iter([pa.record_batch({"lang": ["en"] * len(texts), "text": texts})]), 1))
+    size = pc.sum(pc.binary_length(chunks["chunk"])).as_py()
+    frequent = collocations._frequent(collocations._Part(chunks, 1).ask(30), 30)["data"][0].as_py()
+    for run in (lambda p: p.ask(30), lambda p: p.phrases({0: frequent})):
+        tracemalloc.start()
+        run(collocations._Part(chunks, 1))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 13 * size, peak / size
+
+
 def test_large_counts_are_exact(spark):
     """Products beyond 64 bits."""
     big = 9 * 10**13
