@@ -6,9 +6,10 @@ tasks.  For the others, tasks glue the documents they read into blocks of a few
 list the distinct words of each, so a word is encoded once a block however often it
 occurs there.  A word is an array of its bytes; a fold over it merges
 the two neighbours of the lowest rank until none are left that have one.  The ranks are
-a literal: an array of small maps, chosen by the checksum of the bytes looked up, as a
+a constant: an array of small maps, chosen by the checksum of the bytes looked up, as a
 single map would be searched from its start.  Decoding takes the bytes of each id from a
-literal array and concatenates them.
+constant array and concatenates them.  Constants are rows of the shared folder, read as
+scalar subqueries.
 
 Only counts of words are shuffled.  A row is encoded in the task that reads it, and a
 block holds ``BLOCK`` bytes of words or one longer row.
@@ -18,14 +19,13 @@ from __future__ import annotations
 
 import base64
 import contextlib
-import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -122,7 +122,17 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[str, int]:
     return pairs
 
 
-def _literal(ranks: dict[bytes, int]) -> Column:
+def _constant(spark: SparkSession, value, kind: pa.DataType) -> Column:
+    """A value as a scalar subquery over a table of one row.
+
+    As a literal it would be written out in the text of each plan it is in, which the
+    session keeps, and be shipped with each stage as an object for each of its entries.
+    """
+    row = spark.createDataFrame(pa.table({"value": pa.array([value], kind)}))
+    return materialize(row, "constant").scalar()
+
+
+def _vocabulary(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
     """The vocabulary as one constant.
 
     ``pairs``, ``words`` and ``bytes`` are arrays of maps, each key in the map that its
@@ -131,27 +141,24 @@ def _literal(ranks: dict[bytes, int]) -> Column:
     their digits.  ``signs`` has the character of each id.
     """
 
-    def dealt(entries: dict, count: int) -> list[dict]:
-        maps: list[dict] = [{} for _ in range(count)]
+    def dealt(entries: dict, count: int) -> list[list[tuple]]:
+        maps: list[list[tuple]] = [[] for _ in range(count)]
         for key, value in entries.items():
-            maps[zlib.crc32(key.encode()) % count][key] = value
+            maps[zlib.crc32(key.encode()) % count].append((key, value))
         return maps
 
-    def constant(value, kind: str) -> Column:  # the optimizer folds it
-        return F.from_json(F.lit(json.dumps(value, separators=(",", ":"), ensure_ascii=False)), kind)
-
     words = {}
     for token, rank in ranks.items():
         with contextlib.suppress(UnicodeDecodeError):
             words[token.decode()] = rank
     bytes_ = {token.hex().upper(): _sign(rank) for token, rank in ranks.items() if len(token) == 1}
-    signs = [_sign(i) for i in range(max(ranks.values()) + 1)]
-    return F.struct(
-        constant(dealt(pair_ranks(ranks), PAIR_MAPS), "array<map<string,int>>").alias("pairs"),
-        constant(dealt(words, WORD_MAPS), "array<map<string,int>>").alias("words"),
-        constant(dealt(bytes_, BYTE_MAPS), "array<map<string,string>>").alias("bytes"),
-        constant(signs, "array<string>").alias("signs"),
-    )
+    value = {
+        "pairs": dealt(pair_ranks(ranks), PAIR_MAPS), "words": dealt(words, WORD_MAPS), "bytes": dealt(bytes_, BYTE_MAPS),
+        "signs": [_sign(i) for i in range(max(ranks.values()) + 1)],
+    }
+    numbers, signs = (pa.list_(pa.map_(pa.string(), t)) for t in (pa.int32(), pa.string()))
+    kind = pa.struct({"pairs": numbers, "words": numbers, "bytes": signs, "signs": pa.list_(pa.string())})
+    return _constant(spark, value, kind)
 
 
 def _looked_up(table: Column, name: str, key: Column) -> Column:
@@ -224,7 +231,7 @@ def encode(
                      words.alias("words"))
     schema = StructType.fromDDL("rows array<struct<x:int>>, sizes array<int>, at array<int>, words array<string>")
     schema["rows"].dataType.elementType = rows.schema["row"].dataType
-    table = _literal(ranks)
+    table = _vocabulary(df.sparkSession, ranks)
     known = _frequent(rows.select("words"), table)
     frequent = df.sparkSession.sparkContext.broadcast(known)
 
@@ -235,8 +242,8 @@ def encode(
         return F.transform("words", lambda w: folded(w, table))
 
     long_words = F.filter("words", lambda w: F.octet_length(w) > FOLDED)
-    coded = rows.mapInArrow(glue, schema).select(
-        "rows", "sizes", "at", long_words.alias("long_words"), let(table, fold).alias("coded")
+    coded = rows.mapInArrow(glue, schema).withColumn("table", table).select(
+        "rows", "sizes", "at", long_words.alias("long_words"), let(F.col("table"), fold).alias("coded")
     )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +265,8 @@ def _frequent(rows: DataFrame, table: Column) -> pa.Table:
         if total > FREQUENT:
             break
         least = scale
-    chosen = counts.filter(F.col("scale") >= least)
-    return chosen.select("word", let(table, lambda t: folded(F.col("word"), t)).alias("ids")).toArrow()
+    chosen = counts.filter(F.col("scale") >= least).withColumn("table", table)
+    return chosen.select("word", let(F.col("table"), lambda t: folded(F.col("word"), t)).alias("ids")).toArrow()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,10 +342,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     error.  One token's bytes need not be whole characters, so the result is binary.
     """
     ranks = read_ranks(path)
-    pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
+    pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = base64.b64encode(token).decode()
-    literal = F.from_json(F.lit(json.dumps(pieces)), "array<binary>")
+        pieces[rank] = token
+    constant = _constant(df.sparkSession, pieces, pa.list_(pa.binary()))
 
     def joined(table: Column) -> Column:
         def piece(i: Column) -> Column:
@@ -349,4 +356,5 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
         # A cast of bytes to a string keeps them as they are, and only strings can be joined in one go.
         return F.array_join(F.transform(F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")), piece), "").cast("binary")
 
-    return df.withColumn(decoded, let(literal, joined))
+    table = "_" * (1 + max(map(len, df.columns)))  # no column of the input
+    return df.withColumn(table, constant).withColumn(decoded, let(F.col(table), joined)).drop(table)

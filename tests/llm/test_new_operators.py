@@ -251,6 +251,16 @@ def test_byte_bpe_without_frequent_words(table, reference, monkeypatch):
             assert r.t == reference.encode_ordinary(r.text)
 
 
+def test_plans_without_the_vocabulary(table, capsys):
+    """The session keeps the text of each plan; it doesn't hold the vocabulary."""
+    coded = byte_bpe.encode(table([(1, "the cat", "en")]).withColumn("table", F.lit(1)).withColumn("_", F.lit(2)), RANKS, public_tokenizers.PATTERN)
+    found = byte_bpe.decode(coded, RANKS)
+    assert found.columns == [*coded.columns, "decoded"] and found.select("table", "_", "decoded").first() == (1, 2, b"the cat")
+    for frame in (coded, found):
+        frame.explain(True)
+        assert 0 < len(capsys.readouterr().out) < 200_000
+
+
 def test_classes_of_the_pattern(spark):
     """The Java classes are those of the library, whatever the version of Unicode that the runtime has."""
     characters = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
