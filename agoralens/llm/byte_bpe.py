@@ -12,7 +12,8 @@ constant array and concatenates them.  Constants are rows of the shared folder,
 scalar subqueries.
 
 Only counts of words are shuffled.  A row is encoded in the task that reads it, and a
-block holds ``BLOCK`` bytes of words or one longer row.
+block holds the words of ``BLOCK`` bytes of texts or of one longer row.  A task has two
+Python steps at work: the first is sent the frequent words, the second only their ids.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ PAIR_MAPS, WORD_MAPS, BYTE_MAPS = 1 << 15, 1 << 14, 1 << 8
 # Words of more bytes are merged in the second Python step with a heap, as each step of
 # the fold looks at the whole word, which is quadratic in its length.
 FOLDED = 128
+# More than a word of ``FOLDED`` bytes has places; a power of two.
+PLACES = 256
 _END = "\x00"  # says that no pair of a word is left; the characters of ids start after it
 
 # Letters and numbers that Unicode has since version 13, which the pattern
@@ -137,8 +140,8 @@ def _vocabulary(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
 
     ``pairs``, ``words`` and ``bytes`` are arrays of maps, each key in the map that its
     checksum chooses, as a single map would be searched from its start: the ids of pairs
-    of characters, of whole tokens that are text, and the characters of single bytes by
-    their digits.  ``signs`` has the character of each id.
+    of characters, times ``PLACES``, of whole tokens that are text, and the characters of
+    single bytes by their digits.  ``signs`` has the character of each id.
     """
 
     def dealt(entries: dict, count: int) -> list[list[tuple]]:
@@ -153,11 +156,11 @@ def _vocabulary(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
             words[token.decode()] = rank
     bytes_ = {token.hex().upper(): _sign(rank) for token, rank in ranks.items() if len(token) == 1}
     value = {
-        "pairs": dealt(pair_ranks(ranks), PAIR_MAPS), "words": dealt(words, WORD_MAPS), "bytes": dealt(bytes_, BYTE_MAPS),
+        "pairs": dealt({pair: rank * PLACES for pair, rank in pair_ranks(ranks).items()}, PAIR_MAPS), "words": dealt(words, WORD_MAPS), "bytes": dealt(bytes_, BYTE_MAPS),
         "signs": [_sign(i) for i in range(max(ranks.values()) + 1)],
     }
-    numbers, signs = (pa.list_(pa.map_(pa.string(), t)) for t in (pa.int32(), pa.string()))
-    kind = pa.struct({"pairs": numbers, "words": numbers, "bytes": signs, "signs": pa.list_(pa.string())})
+    longs, numbers, signs = (pa.list_(pa.map_(pa.string(), t)) for t in (pa.int64(), pa.int32(), pa.string()))
+    kind = pa.struct({"pairs": longs, "words": numbers, "bytes": signs, "signs": pa.list_(pa.string())})
     return _constant(spark, value, kind)
 
 
@@ -171,7 +174,8 @@ def folded(word: Column, table: Column) -> Column:
 
     The array of bytes is written with a character for each id, so a merge overlays two
     characters by that of their bytes together, whose id is the rank.  Each step of the
-    fold merges the leftmost pair of the lowest rank.
+    fold merges the leftmost pair of the lowest rank, which is the least sum of rank, times
+    ``PLACES``, and place.
     """
 
     def sign(i: Column) -> Column:
@@ -181,17 +185,16 @@ def folded(word: Column, table: Column) -> Column:
         return F.sequence(F.lit(1), n)
 
     def step(signs: Column, _: Column) -> Column:
-        def merged(ranks: Column) -> Column:
-            at = F.array_position(ranks, F.array_min(ranks)).cast("int")
-            return F.when(at.isNull(), F.concat(signs, F.lit(_END))).otherwise(
-                F.overlay(signs, sign(F.array_min(ranks)), at, F.lit(2))
-            )
+        def merged(least: Column) -> Column:
+            at = least.bitwiseAND(PLACES - 1).cast("int")
+            rank = F.shiftright(least, PLACES.bit_length() - 1).cast("int")
+            return F.when(least.isNull(), F.concat(signs, F.lit(_END))).otherwise(F.overlay(signs, sign(rank), at, F.lit(2)))
 
         pairs = F.transform(
             F.sequence(F.lit(1), F.greatest(F.char_length(signs) - 1, F.lit(1))),
-            lambda i: _looked_up(table, "pairs", F.substring(signs, i, F.lit(2))),
+            lambda i: _looked_up(table, "pairs", F.substring(signs, i, F.lit(2))) + i,
         )
-        return F.when(F.endswith(signs, F.lit(_END)), signs).otherwise(let(pairs, merged))
+        return F.when(F.endswith(signs, F.lit(_END)), signs).otherwise(let(F.array_min(pairs), merged))
 
     def merges(n: Column) -> Column:
         digits = F.hex(word.cast("binary"))
@@ -226,17 +229,20 @@ def encode(
     ranks = read_ranks(path)
     sent = df.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary file, whatever the data
     kept = [c for c in (df.columns if keep is None else keep) if c not in (ids, packed)]
-    words = F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    words = F.regexp_extract_all(whole, F.lit(java_pattern(pattern)), F.lit(0))
     rows = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.lit(0).alias("_")).alias("row"),
-                     words.alias("words"))
+                     F.octet_length(whole).alias("size"), words.alias("words"))
     schema = StructType.fromDDL("rows array<struct<x:int>>, sizes array<int>, at array<int>, words array<string>")
     schema["rows"].dataType.elementType = rows.schema["row"].dataType
     table = _vocabulary(df.sparkSession, ranks)
     known = _frequent(rows.select("words"), table)
-    frequent = df.sparkSession.sparkContext.broadcast(known)
+    # Each for the one step that needs it, as a worker holds all that it is sent.
+    frequent, frequent_ids = (df.sparkSession.sparkContext.broadcast(known[c].combine_chunks()) for c in ("word", "ids"))
+    del known
 
     def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _blocks(batches, frequent.value["word"].combine_chunks())
+        return _blocks(batches, frequent.value)
 
     def fold(table: Column) -> Column:
         return F.transform("words", lambda w: folded(w, table))
@@ -247,7 +253,7 @@ def encode(
     )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _applied(batches, sent, frequent.value["ids"].combine_chunks())
+        return _applied(batches, sent, frequent_ids.value)
 
     out = coded.mapInArrow(apply, with_row(rows, "ids array<int>, packed binary"))
     return out.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(kept)], F.col("ids").alias(ids),
@@ -280,23 +286,27 @@ def _blocks(batches: Iterator[pa.RecordBatch], known: pa.Array) -> Iterator[pa.R
     """One row per block: its rows, their numbers of words, each word's place in a list of words, and that list.
 
     The list is that of the known words, which is left out, and then the others of the block.
+    The known words are looked for among those of the block, whose table is small, not the
+    other way round.
     """
     for batch in batches:
         words = batch["words"]
-        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         flat = words.flatten()
-        bytes_ = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False), dtype=np.int64)])
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        size = bytes_[ends]
+        ends, size = (np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) for n in (sizes, batch["size"].to_numpy()))
         start = 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(size, size[start] + BLOCK, side="right")) - 1)
             own = flat.slice(ends[start], ends[stop] - ends[start]).dictionary_encode()
-            place = pc.fill_null(pc.index_in(own.dictionary, value_set=known), -1).to_numpy().copy()
+            found = pc.index_in(known, value_set=own.dictionary)
+            both = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+            place = np.full(len(own.dictionary), -1, np.int32)
+            place[found.drop_null().to_numpy()] = both
             new = np.flatnonzero(place < 0)
             place[new] = len(known) + np.arange(len(new))
             at = pa.array(place[own.indices.to_numpy()], pa.int32())
             columns = [batch["row"].slice(start, stop - start), pa.array(sizes[start:stop], pa.int32()), at, own.dictionary.take(pa.array(new))]
+            del own, found, both, place, new, at
             yield pa.RecordBatch.from_arrays(
                 [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns],
                 names=["rows", "sizes", "at", "words"],
@@ -306,8 +316,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], known: pa.Array) -> Iterator[pa.R
 
 def _applied(batches: Iterator[pa.RecordBatch], sent, known: pa.Array) -> Iterator[pa.RecordBatch]:
     """The rows of blocks with their ids, put together from those of the known words and of the block's others."""
-    known_lengths = pc.list_value_length(known).to_numpy(zero_copy_only=False).astype(np.int64)
-    known_tokens = known.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    known_lengths = pc.list_value_length(known).to_numpy(zero_copy_only=False)
+    known_tokens = known.flatten().to_numpy(zero_copy_only=False)
     for batch in batches:
         for i in range(batch.num_rows):
             rows, sizes, at, long_words, coded = (batch[c][i].values for c in ("rows", "sizes", "at", "long_words", "coded"))
@@ -315,13 +325,16 @@ def _applied(batches: Iterator[pa.RecordBatch], sent, known: pa.Array) -> Iterat
             for word, text in zip(missing, long_words.to_pylist(), strict=True):
                 merged = _by_heap(text.encode(), sent.value)
                 coded = pa.concat_arrays([coded.slice(0, word), pa.array([merged], coded.type), coded.slice(word + 1)])
-            lengths = np.append(known_lengths, pc.list_value_length(coded).to_numpy(zero_copy_only=False))
-            tokens = np.append(known_tokens, coded.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
-            starts = np.concatenate([[0], np.cumsum(lengths)])
+            # Ids of a block have 32-bit offsets anyway, as lists of Arrow.
+            lengths = np.append(known_lengths, pc.list_value_length(coded).to_numpy(zero_copy_only=False)).astype(np.int32)
+            tokens = np.append(known_tokens, coded.flatten().to_numpy(zero_copy_only=False)).astype(np.int32, copy=False)
+            starts = np.cumsum(lengths, dtype=np.int32) - lengths
             at = at.to_numpy(zero_copy_only=False)
             each = lengths[at]
-            ends = np.cumsum(each)
-            ids = tokens[np.repeat(starts[at] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+            ends = np.cumsum(each, dtype=np.int32)
+            place = np.repeat(starts[at] - (ends - each), each)
+            place += np.arange(len(place), dtype=np.int32)
+            ids = tokens[place]
             per_row = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)])
             edges = np.concatenate([[0], ends])[per_row].astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(edges * 4), pa.py_buffer(ids.astype("<u4"))])

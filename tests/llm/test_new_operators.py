@@ -23,6 +23,8 @@ from agoralens.llm.periodic_runs import find_runs, repetitive, runs_of
 from agoralens.llm.suffix_tree import SuffixTree
 
 RANKS = public_tokenizers.path(queries.RANKS)
+# Has to outlive what is allocated from it.
+POOL = pa.proxy_memory_pool(pa.default_memory_pool())
 # Columns whose names clash with those of results and of inner steps.
 SCHEMA = "doc_id long, text string, lang string, n string, `row` string, runs int, ids string, `a b` int, words string"
 
@@ -251,6 +253,27 @@ def test_byte_bpe_without_frequent_words(table, reference, monkeypatch):
             assert r.t == reference.encode_ordinary(r.text)
 
 
+def test_blocks_hold_no_table_of_the_frequent_words():
+    """A worker has the frequent words as they were sent; what a block adds to them is smaller."""
+    known = pa.array([f" frequent{i}" for i in range(200_000)])
+    texts = [[" frequent7", " rare", " frequent199999", " rare"], [], [" frequent7", " rarer"]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([{"_": i} for i in range(3)]), pa.array([sum(map(len, t)) for t in texts], pa.int32()), pa.array(texts, pa.list_(pa.string()))],
+        names=["row", "size", "words"],
+    )
+    default = pa.default_memory_pool()
+    pa.set_memory_pool(POOL)
+    try:
+        (block,) = byte_bpe._blocks([batch], known)
+    finally:
+        pa.set_memory_pool(default)
+    assert 0 < POOL.max_memory() < known.nbytes
+    words = block["words"][0].as_py()
+    assert words == [" rare", " rarer"] and block["sizes"][0].as_py() == [4, 0, 2] and len(block["rows"][0]) == 3
+    listed = [known[at].as_py() if at < len(known) else words[at - len(known)] for at in block["at"][0].as_py()]
+    assert listed == [w for t in texts for w in t]
+
+
 def test_plans_without_the_vocabulary(table, capsys):
     """The session keeps the text of each plan; it doesn't hold the vocabulary."""
     coded = byte_bpe.encode(table([(1, "the cat", "en")]).withColumn("table", F.lit(1)).withColumn("_", F.lit(2)), RANKS, public_tokenizers.PATTERN)
