@@ -21,7 +21,7 @@ from __future__ import annotations
 import base64
 import contextlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from .texts import with_row
 
 BLOCK = 4 << 20
 # Words that are sent to all tasks with their ids: no more than so many of ``FOLDED`` bytes.
-FREQUENT = 1 << 19
+FREQUENT = 3 << 18
 # Maps of the constants: a few keys each.
 PAIR_MAPS, WORD_MAPS, BYTE_MAPS = 1 << 15, 1 << 14, 1 << 8
 # Words of more bytes are merged in the second Python step with a heap, as each step of
@@ -125,14 +125,14 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[str, int]:
     return pairs
 
 
-def _constant(spark: SparkSession, value, kind: pa.DataType) -> Column:
-    """A value as a scalar subquery over a table of one row.
+def _constant(spark: SparkSession, value, kind: pa.DataType, cast: str | None = None) -> Column:
+    """A value as a scalar subquery over a table of one row, cast to another type before it is written.
 
     As a literal it would be written out in the text of each plan it is in, which the
     session keeps, and be shipped with each stage as an object for each of its entries.
     """
     row = spark.createDataFrame(pa.table({"value": pa.array([value], kind)}))
-    return materialize(row, "constant").scalar()
+    return materialize(row.select(F.col("value").cast(cast)) if cast else row, "constant").scalar()
 
 
 def _vocabulary(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
@@ -164,12 +164,18 @@ def _vocabulary(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
     return _constant(spark, value, kind)
 
 
-def _looked_up(table: Column, name: str, key: Column) -> Column:
+def _looked_up(table: dict[str, Column], name: str, key: Column) -> Column:
     mask = {"pairs": PAIR_MAPS, "words": WORD_MAPS, "bytes": BYTE_MAPS}[name] - 1
     return F.try_element_at(F.get(table[name], F.crc32(key.cast("binary")).bitwiseAND(mask).cast("int")), key)
 
 
-def folded(word: Column, table: Column) -> Column:
+def _unpacked(table: Column, body: Callable[[dict[str, Column]], Column]) -> Column:
+    """The body over the fields of the vocabulary; that of pairs, which most lookups need, is taken out once."""
+    names = ("words", "bytes", "signs")
+    return let(table, lambda t: let(t["pairs"], lambda pairs: body({"pairs": pairs} | {name: t[name] for name in names})))
+
+
+def folded(word: Column, table: dict[str, Column]) -> Column:
     """The ids of one word: its own, or those that ranked merges of its bytes leave.
 
     The array of bytes is written with a character for each id, so a merge overlays two
@@ -191,7 +197,7 @@ def folded(word: Column, table: Column) -> Column:
             return F.when(least.isNull(), F.concat(signs, F.lit(_END))).otherwise(F.overlay(signs, sign(rank), at, F.lit(2)))
 
         pairs = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.char_length(signs) - 1, F.lit(1))),
+            places(F.greatest(F.char_length(signs) - 1, F.lit(1))),
             lambda i: _looked_up(table, "pairs", F.substring(signs, i, F.lit(2))) + i,
         )
         return F.when(F.endswith(signs, F.lit(_END)), signs).otherwise(let(F.array_min(pairs), merged))
@@ -244,12 +250,12 @@ def encode(
     def glue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _blocks(batches, frequent.value)
 
-    def fold(table: Column) -> Column:
+    def fold(table: dict[str, Column]) -> Column:
         return F.transform("words", lambda w: folded(w, table))
 
     long_words = F.filter("words", lambda w: F.octet_length(w) > FOLDED)
     coded = rows.mapInArrow(glue, schema).withColumn("table", table).select(
-        "rows", "sizes", "at", long_words.alias("long_words"), let(F.col("table"), fold).alias("coded")
+        "rows", "sizes", "at", long_words.alias("long_words"), _unpacked(F.col("table"), fold).alias("coded")
     )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +278,7 @@ def _frequent(rows: DataFrame, table: Column) -> pa.Table:
             break
         least = scale
     chosen = counts.filter(F.col("scale") >= least).withColumn("table", table)
-    return chosen.select("word", let(F.col("table"), lambda t: folded(F.col("word"), t)).alias("ids")).toArrow()
+    return chosen.select("word", _unpacked(F.col("table"), lambda t: folded(F.col("word"), t)).alias("ids")).toArrow()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,13 +317,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], known: pa.Array) -> Iterator[pa.R
                 [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns],
                 names=["rows", "sizes", "at", "words"],
             )
+            del columns
+            pa.default_memory_pool().release_unused()
             start = stop
 
 
 def _applied(batches: Iterator[pa.RecordBatch], sent, known: pa.Array) -> Iterator[pa.RecordBatch]:
     """The rows of blocks with their ids, put together from those of the known words and of the block's others."""
-    known_lengths = pc.list_value_length(known).to_numpy(zero_copy_only=False)
-    known_tokens = known.flatten().to_numpy(zero_copy_only=False)
+    # Ids of a block have 32-bit offsets anyway, as lists of Arrow.
+    lengths = np.array(pc.list_value_length(known), np.int32)
+    starts = np.cumsum(lengths, dtype=np.int32) - lengths
+    tokens = np.array(known.flatten(), np.int32)
+    words, known_ids = len(lengths), len(tokens)
     for batch in batches:
         for i in range(batch.num_rows):
             rows, sizes, at, long_words, coded = (batch[c][i].values for c in ("rows", "sizes", "at", "long_words", "coded"))
@@ -325,10 +336,9 @@ def _applied(batches: Iterator[pa.RecordBatch], sent, known: pa.Array) -> Iterat
             for word, text in zip(missing, long_words.to_pylist(), strict=True):
                 merged = _by_heap(text.encode(), sent.value)
                 coded = pa.concat_arrays([coded.slice(0, word), pa.array([merged], coded.type), coded.slice(word + 1)])
-            # Ids of a block have 32-bit offsets anyway, as lists of Arrow.
-            lengths = np.append(known_lengths, pc.list_value_length(coded).to_numpy(zero_copy_only=False)).astype(np.int32)
-            tokens = np.append(known_tokens, coded.flatten().to_numpy(zero_copy_only=False)).astype(np.int32, copy=False)
-            starts = np.cumsum(lengths, dtype=np.int32) - lengths
+            own = pc.list_value_length(coded).to_numpy(zero_copy_only=False)
+            lengths, starts = _put(lengths, words, own), _put(starts, words, known_ids + np.cumsum(own, dtype=np.int32) - own)
+            tokens = _put(tokens, known_ids, coded.flatten().to_numpy(zero_copy_only=False))
             at = at.to_numpy(zero_copy_only=False)
             each = lengths[at]
             ends = np.cumsum(each, dtype=np.int32)
@@ -339,6 +349,16 @@ def _applied(batches: Iterator[pa.RecordBatch], sent, known: pa.Array) -> Iterat
             edges = np.concatenate([[0], ends])[per_row].astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(edges * 4), pa.py_buffer(ids.astype("<u4"))])
             yield pa.RecordBatch.from_arrays([rows, pa.ListArray.from_arrays(edges, ids), packed], names=["row", "ids", "packed"])
+            del rows, sizes, at, long_words, coded, each, ends, place, ids, packed
+            pa.default_memory_pool().release_unused()
+
+
+def _put(array: np.ndarray, first: int, values: np.ndarray) -> np.ndarray:
+    """The array with the values from a place on; it is copied only if there is no room."""
+    if first + len(values) > len(array):
+        array = np.concatenate([array[:first], np.empty(2 * len(values), array.dtype)])
+    array[first : first + len(values)] = values
+    return array
 
 
 def _by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -358,15 +378,14 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
-    constant = _constant(df.sparkSession, pieces, pa.list_(pa.binary()))
+    # A cast of bytes to a string keeps them as they are, and only strings can be joined in one go.
+    constant = _constant(df.sparkSession, pieces, pa.list_(pa.binary()), "array<string>")
 
     def joined(table: Column) -> Column:
         def piece(i: Column) -> Column:
-            found = F.get(table, i)
-            known = F.when(found.isNull(), F.raise_error(F.concat(F.lit("no token has the id "), i.cast("string"))))
-            return F.coalesce(found.cast("string"), known.cast("string"))
+            unknown = F.raise_error(F.concat(F.lit("no token has the id "), i.cast("string")))
+            return F.coalesce(F.get(table, i), unknown.cast("string"))
 
-        # A cast of bytes to a string keeps them as they are, and only strings can be joined in one go.
         return F.array_join(F.transform(F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")), piece), "").cast("binary")
 
     table = "_" * (1 + max(map(len, df.columns)))  # no column of the input
